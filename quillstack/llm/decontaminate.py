@@ -103,8 +103,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
 
     def pass_over(b: int) -> DataFrame:
         some = wins if blocks == 1 else wins.where(F.pmod(F.xxhash64("win_words"), F.lit(blocks)) == b)
-        # A null mark stands for the document itself; one pass counts the documents.
-        listed = F.concat(F.array(F.lit(None).cast("long")), "marks") if b == 0 else F.col("marks")
+        # A null mark stands for the document itself; the first pass counts the documents, the others' joins drop it.
+        listed = F.concat(F.array(F.lit(None).cast("long")), "marks")
         each = marks.select("doc_id", "text_key", "words", F.explode(listed).alias("mark"))
         each = each.withColumn("print", F.shiftright("mark", PLACE_BITS)).withColumn("place", (F.lit(PLACE) - F.col("mark").bitwiseAND(F.lit(PLACE))).cast("int"))
         start = F.col("place") - F.col("at")
