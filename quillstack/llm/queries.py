@@ -102,8 +102,8 @@ s AS (SELECT DISTINCT doc_id, sh FROM (
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
-both AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-reach(v, r) AS (SELECT a, a FROM both UNION SELECT both.b, reach.r FROM reach JOIN both ON both.a = reach.v),
+pairs AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(v, r) AS (SELECT a, a FROM pairs UNION SELECT pairs.b, reach.r FROM reach JOIN pairs ON pairs.a = reach.v),
 c AS (SELECT v, min(r) AS r FROM reach GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.r, w.doc_id) AS component_id, coalesce(c.r, w.doc_id) = w.doc_id AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.v = w.doc_id
