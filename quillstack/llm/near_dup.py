@@ -163,7 +163,8 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         if turn == 1:
             open_ids = active.select(F.col("vid").alias("o_vid")).distinct()
             fine = scratch.keep(sets.join(open_ids, F.col("vid") == F.col("o_vid"), "left_semi").mapInArrow(_fine_signatures, "vid long, fine array<long>"), "fine")
-            active = scratch.keep(active.join(fine.withColumnRenamed("vid", "f_vid"), F.col("vid") == F.col("f_vid")).drop("f_vid"), "active")
+            known = fine.join(reps.select(F.col("vid").alias("r_vid"), "bands"), F.col("vid") == F.col("r_vid")).select(F.col("vid").alias("f_vid"), "fine", "bands")
+            active = scratch.keep(active.join(known, F.col("vid") == F.col("f_vid")).drop("f_vid"), "active")
         sizes = active.groupBy("key", "comp").agg(F.count("*").alias("size"))
         largest = sizes.groupBy(F.col("key").alias("g_key")).agg(F.max(F.struct("size", "comp")).alias("top"))
         minor = active.join(largest, F.col("key") == F.col("g_key")).where(F.col("comp") != F.col("top.comp"))
@@ -171,7 +172,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         chosen = minor.select("key", "vid", "comp").withColumn("at", order).where(F.col("at") <= 16 * 4**turn)
         named = chosen.select(F.col("key").alias("c_key"), F.col("vid").alias("c_vid"))
         full = active.join(named, (F.col("key") == F.col("c_key")) & (F.col("vid") == F.col("c_vid")), "left_semi")
-        leaders = scratch.keep(full.select("key", F.col("vid").alias("l_vid"), F.col("n").alias("l_n"), F.col("sig").alias("l_sig"), F.col("comp").alias("l_comp"), F.col("fine").alias("l_fine")), "leaders")
+        leaders = scratch.keep(full.select("key", F.col("vid").alias("l_vid"), F.col("n").alias("l_n"), F.col("sig").alias("l_sig"), F.col("comp").alias("l_comp"), F.col("fine").alias("l_fine"), F.col("bands").alias("l_bands")), "leaders")
     scratch.drop(members, sets, reps)
     return _result(feats, classes, labels)
 
@@ -190,7 +191,9 @@ def _links(active: DataFrame, leaders: DataFrame, sets: DataFrame, percent: int,
         & (_estimate("sig", "l_sig") >= percent / 100 - 0.23)
     )
     if "fine" in active.columns:
-        near = F.when(near, _fine_estimate("fine", "l_fine") >= percent / 100 - 0.06).otherwise(F.lit(False)) & (active["key"] == leaders["key"])
+        # Two documents share many buckets: they meet in the first of them, where one or the other leads some time.
+        meet = near & (active["key"] == F.array_min(F.array_intersect("bands", "l_bands")))
+        near = F.when(meet, _fine_estimate("fine", "l_fine") >= percent / 100 - 0.06).otherwise(F.lit(False)) & (active["key"] == leaders["key"])
     met = active.join(leaders, near)
     pairs = met.select(F.col("vid").alias("a"), F.col("l_vid").alias("b"), F.col("comp").alias("ca"), F.col("l_comp").alias("cb")).distinct()
     pairs = scratch.keep(pairs, "pairs")
