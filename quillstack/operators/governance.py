@@ -48,7 +48,7 @@ def access_scope(acl: Column) -> Column:
 
 def valid_principals(acl: Column) -> Column:
     """Trimmed, distinct entries of the known forms."""
-    return F.array_distinct(F.filter(F.transform(acl, F.trim), lambda p: p.rlike(r"^(user|role|group|project|public):[A-Za-z0-9_.*@-]+$")))
+    return F.array_distinct(F.filter(F.transform(acl, lambda p: F.trim(p)), lambda p: p.rlike(r"^(user|role|group|project|public):[A-Za-z0-9_.*@-]+$")))
 
 
 def parse_acl(text: Column) -> Column:

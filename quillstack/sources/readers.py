@@ -180,7 +180,7 @@ def map_records(records: DataFrame) -> DataFrame:
         known = [F.nullif(F.trim(F.col(f"`{lower[a]}`").cast("string")), F.lit("")) for a in ALIASES[name] if a in lower]
         return F.coalesce(*known, F.lit(None).cast("string")) if known else F.lit(None).cast("string")
 
-    tags = F.filter(F.transform(F.split(F.coalesce(first("tags"), F.lit("")), r"[,;|]"), F.trim), lambda t: t != "")
+    tags = F.filter(F.transform(F.split(F.coalesce(first("tags"), F.lit("")), r"[,;|]"), lambda t: F.trim(t)), lambda t: t != "")
     return records.select(first("id").alias("id"), first("title").alias("title"), first("text").alias("text"), first("author").alias("author"), parse_date(first("date")).alias("date"), F.array_distinct(tags).alias("tags"), parse_level(first("classification")).alias("classification"))
 
 
