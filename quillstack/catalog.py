@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import governing, remembering, retrieval
+from .plans import governing, measuring, remembering, retrieval
 
-MODULES = (retrieval, governing, remembering)
+MODULES = (retrieval, governing, remembering, measuring)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
