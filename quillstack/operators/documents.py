@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.text import STOPWORDS, fold, sentences, words
+from ..functions.text import STOPWORDS, fold, let, sentences, words
 
 #: Personal data that a pattern alone recognises.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -65,8 +65,13 @@ def pii_spans(text: Column) -> Column:
 def _occurrences(text: Column, value: Column) -> Column:
     """0-based starts of all occurrences of a value."""
     pieces = F.split(text, F.concat(F.lit(r"\Q"), value, F.lit(r"\E")))
-    sizes = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p))
-    return F.transform(sizes, lambda n, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b) + i * F.length(value))
+    sizes = F.transform(pieces, lambda p: F.length(p))
+
+    def starts(n: Column) -> Column:
+        before = F.slice(n, F.lit(1), F.size(n) - 1)
+        return F.transform(before, lambda _, i: F.aggregate(F.slice(n, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b) + i * F.length(value))
+
+    return let(sizes, starts)
 
 
 def redact_simple(text: Column) -> Column:
