@@ -74,6 +74,7 @@ def _features(k: int):
                 ],
                 names=["doc_id", "n_shingles", "d1", "d2", "bands", "sig"],
             )
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -95,11 +96,12 @@ def _full_sets(k: int):
 def _fine_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = MinHasher(1, FINE, 1, seed=8)
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            piece = batch.slice(at, 256)
+        for at in range(0, batch.num_rows, 64):
+            piece = batch.slice(at, 64)
             minima = [hasher.minima(np.asarray(v.values).view(np.uint64)) for v in piece.column(1)]
             packed = hasher.packed(np.array(minima))
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(packed) + 1, dtype=np.int32) * (FINE // 64)), pa.array(packed.ravel()))], names=["vid", "fine"])
+        pa.default_memory_pool().release_unused()
 
 
 def _fine_estimate(a: str, b: str) -> F.Column:

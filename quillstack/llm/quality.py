@@ -216,6 +216,7 @@ def with_scores(documents: DataFrame, model: Model, name: str = "score") -> Data
                 begins = np.concatenate(([0], np.cumsum([len(b) for b in bags])[:-1]))
                 scores = model.score(np.concatenate(bags), begins)
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(scores, pa.float64())], names=[*piece.schema.names, name])
+            pa.default_memory_pool().release_unused()
 
     return documents.mapInArrow(run, schema)
 
