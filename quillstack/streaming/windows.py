@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, at: str, late: str = "1 hour", files: int | None = None) -> DataFrame:
@@ -54,32 +55,22 @@ def replay_after(events: DataFrame, last_id: int) -> DataFrame:
     return events.where(F.col("event_id") > last_id)
 
 
-class LastTurns(StatefulProcessor):
-    """Keeps the last ``limit`` turns of a session and forgets a session idle for ``ttl_ms``; emits the session after each batch."""
-
-    def __init__(self, limit: int = 500, ttl_ms: int = 43_200_000):
-        self.limit, self.ttl_ms = limit, ttl_ms
-
-    def init(self, handle) -> None:
-        self.turns = handle.getListState("turns", T.StructType([T.StructField("turn", T.LongType()), T.StructField("text", T.StringType())]), ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timer_values):
-        import pandas as pd
-
-        held = [tuple(t) for t in self.turns.get()]
-        for batch in rows:
-            held += list(zip(batch["turn"].tolist(), batch["text"].tolist(), strict=True))
-        held = sorted(held)[-self.limit :]
-        self.turns.put(held)
-        yield pd.DataFrame({"conv_id": [key[0]], "n": [len(held)], "last_turn": [held[-1][0] if held else None]})
-
-    def close(self) -> None:
-        pass
-
-
 def session_buffer(turns: DataFrame, limit: int = 500, ttl_ms: int = 43_200_000) -> DataFrame:
-    """(conv_id, n, last_turn) after each batch of turns; ``spark.sql.streaming.stateStore.providerClass`` has to be RocksDB's."""
-    return turns.groupBy("conv_id").transformWithStateInPandas(LastTurns(limit, ttl_ms), "conv_id long, n long, last_turn long", "update", "processingTime")
+    """(conv_id, n, last_turn) after each batch: a session keeps its last ``limit`` turns and is forgotten when idle for ``ttl_ms``."""
+
+    def update(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = [int(t) for t in state.get[0].split(",")] if state.exists and state.get[0] else []
+        for batch in batches:
+            held += [int(t) for t in batch["turn"]]
+        held = sorted(held)[-limit:]
+        state.update((",".join(map(str, held)),))
+        state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame({"conv_id": [key[0]], "n": [len(held)], "last_turn": [held[-1] if held else None]})
+
+    return turns.groupBy("conv_id").applyInPandasWithState(update, "conv_id long, n long, last_turn long", "turns string", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def upsert(batch: DataFrame, current: DataFrame, key: str, at: str) -> DataFrame:
