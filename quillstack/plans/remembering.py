@@ -67,7 +67,7 @@ def promotion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def poisoning_burst(spark: SparkSession, sf: str) -> DataFrame:
-    rows = m.bursts(events(spark, sf), "user_id", "ts", 24, 8, 24)
+    rows = m.bursts(events(spark, sf), "user_id", "ts", 24, 8)
     return rows.select("user_id", seconds(F.col("window_start")).alias("window_start"), "n")
 
 
