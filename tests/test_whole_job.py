@@ -3,7 +3,7 @@
 import duckdb
 
 from quillstack import catalog
-from quillstack.operators import memory
+from quillstack.operators import memory, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +23,16 @@ def test_poisoning_burst_equals_brute_force(spark):
       GROUP BY s.user_id, s.ts HAVING count(*) >= 8"""
     ours = catalog.QUERIES["poisoning_burst"](spark, sf).select("user_id", "window_start", "n").collect()
     assert len(ours) and sorted(map(tuple, ours)) == sorted(duckdb.sql(brute).fetchall())
+
+
+def test_knn_asks_every_fiftieth_vector(spark):
+    sf = "/root/testdata/sf0.01"
+    brute = f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM '{sf}/embeddings.parquet'),
+      s AS (SELECT a.vec_id, b.vec_id AS candidate, round(greatest(0, least(1, list_cosine_similarity(a.v, b.v))), 5) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, candidate) AS rnk FROM s) WHERE rnk <= 10"""
+    theirs = sorted(duckdb.sql(brute).fetchall())
+    assert sorted(map(tuple, catalog.QUERIES["knn_topk"](spark, sf).select("vec_id", "candidate", "score", "rnk").collect())) == theirs
+    # More queries than a block holds are searched in several blocks, with the same result.
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    blocked = search.knn(v.where("vec_id % 50 = 0"), v, "vec_id", "vec_id", "embedding", 10, block=3)
+    assert sorted(map(tuple, blocked.select("vec_id", "candidate", "score", "rnk").collect())) == theirs
