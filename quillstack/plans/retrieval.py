@@ -129,7 +129,7 @@ def near_duplicate_selection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mmr_selection(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _request_candidates(spark, sf).withColumn("embedding", feature_hash(F.substring("text", 1, 600)))
+    rows = _request_candidates(spark, sf).withColumn("embedding", feature_hash(F.col("text")))
     return selection.mmr(rows.select("request", "key", "score", "embedding"))
 
 
@@ -150,7 +150,7 @@ def context_package(spark: SparkSession, sf: str) -> DataFrame:
     rows = _request_candidates(spark, sf)
     gone = near_duplicate_selection(spark, sf).select("request", "key")
     left = rows.join(gone, ["request", "key"], "left_anti")
-    ordered = selection.mmr(left.withColumn("embedding", feature_hash(F.substring("text", 1, 600))).select("request", "key", "score", "embedding"))
+    ordered = selection.mmr(left.withColumn("embedding", feature_hash(F.col("text"))).select("request", "key", "score", "embedding"))
     placed = left.join(ordered, ["request", "key"])
     budget = placed.select("request", "key", "position", tx.estimate_tokens(F.col("text")).alias("tokens"), F.lit(350).cast("long").alias("cap"), F.lit(20).alias("overhead"), F.lit("sources").alias("section"), F.lit(6).alias("section_overhead"), F.lit(1500).alias("budget"))
     filled = selection.fill_budget(budget).where("included")

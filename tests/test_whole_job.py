@@ -4,6 +4,7 @@ import duckdb
 
 from quillstack import catalog
 from quillstack.operators import memory, search
+from quillstack.plans import retrieval
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +37,13 @@ def test_knn_asks_every_fiftieth_vector(spark):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     blocked = search.knn(v.where("vec_id % 50 = 0"), v, "vec_id", "vec_id", "embedding", 10, block=3)
     assert sorted(map(tuple, blocked.select("vec_id", "candidate", "score", "rnk").collect())) == theirs
+
+
+def test_mmr_sees_text_after_600_characters(spark, monkeypatch):
+    head, same, other = "alpha beta " * 60, "gamma delta " * 400, "omega sigma kappa lambda " * 200
+    texts = [(1, "a", 1.0, head + same), (1, "b", 0.9, head + same), (1, "c", 0.8, head + other)]
+    rows = spark.createDataFrame(texts, "request long, key string, score double, text string")
+    monkeypatch.setattr(retrieval, "_request_candidates", lambda spark, sf: rows)
+    order = [r["key"] for r in retrieval.mmr_selection(spark, SF).orderBy("position").collect()]
+    # b repeats a, c differs only after character 600: with the first 600 alone all are alike and the order is a, b, c.
+    assert order == ["a", "c", "b"]
