@@ -2,68 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..scratch import Scratch, delete_path, shared_root  # noqa: F401
 
 #: Words of the mixing and near-duplicate contracts are separated by these ASCII blanks.
 BLANKS = r"[\x20\x09-\x0D]+"
 
-_own_roots: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_roots:
-        _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="quillstack-")
-    return _own_roots[app]
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage; a lost executor never loses them.
-
-    ``keep`` writes a frame as Parquet and reads it back, ``drop`` removes one that no later plan reads.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
-        self._count = 0
-
-    def path(self, name: str) -> str:
-        self._count += 1
-        return f"{self.base}/{self._count:03d}-{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
-        # Parquet files may hold no nulls although the column allows them: read with the frame's own types.
-        schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-        table = self.spark.read.schema(schema).parquet(path)
-        self._paths[id(table)] = path
-        table._scratch_path = path
-        return table
-
-    def drop(self, *tables: DataFrame | None) -> None:
-        for table in tables:
-            path = getattr(table, "_scratch_path", None)
-            if path:
-                delete_path(self.spark, path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

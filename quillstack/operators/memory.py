@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.text import acronym, content_terms, dice, fold, numbers_with_units, squeeze
+from ..graph import components
+from ..scratch import Scratch
 
 
 def current_versions(items: DataFrame, lineage: str = "lineage", version: str = "version") -> DataFrame:
@@ -133,27 +133,10 @@ def relate(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("relation", relation).where(F.col("relation").isNotNull()).select("a", "b", "relation", "similarity")
 
 
-def clusters(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(id, root): connected components with the smallest member as root, by minima over edges and jumps to the label's label."""
-    spark = edges.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(root or f"file://{tempfile.mkdtemp(prefix='quillstack-')}/{uuid.uuid4().hex}")
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("root")).checkpoint()
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("id").alias("v"), F.col("root").alias("r")), "v").groupBy(F.col("u").alias("id")).agg(F.min("r").alias("r"))
-        lower = labels.join(near, "id", "left").select("id", F.least("root", "r").alias("root"))
-        jumped = lower.join(lower.select(F.col("id").alias("root"), F.col("root").alias("up")), "root", "left").select("id", F.coalesce("up", "root").alias("root"))
-        new = jumped.checkpoint()
-        changed = new.join(labels.withColumnRenamed("root", "old"), "id").where(F.col("root") != F.col("old")).limit(1).count()
-        labels = new
-        if not changed:
-            break
-    return labels
+def clusters(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, root): connected components with the smallest member as root, by star rounds until nothing changes."""
+    joined = components(edges.select(F.col(a).alias("a"), F.col(b).alias("b")), Scratch(edges.sparkSession, "clusters"))
+    return joined.select(F.col("v").alias("id"), "root").unionByName(joined.select(F.col("root").alias("id"), "root").distinct())
 
 
 def cluster_report(items: DataFrame, edges: DataFrame) -> DataFrame:

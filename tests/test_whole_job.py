@@ -47,3 +47,9 @@ def test_mmr_sees_text_after_600_characters(spark, monkeypatch):
     order = [r["key"] for r in retrieval.mmr_selection(spark, SF).orderBy("position").collect()]
     # b repeats a, c differs only after character 600: with the first 600 alone all are alike and the order is a, b, c.
     assert order == ["a", "c", "b"]
+
+
+def test_clusters_of_a_long_descending_chain(spark):
+    chain = [1, *range(300, 1, -1)]
+    edges = spark.createDataFrame(list(zip(chain, chain[1:], strict=False)), "a long, b long")
+    assert {(r["id"], r["root"]) for r in memory.clusters(edges).collect()} == {(i, 1) for i in chain}
