@@ -72,8 +72,10 @@ def poisoning_burst(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def contradiction_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    parts = table(spark, sf, "lineitem").where("l_quantity >= 49").groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b")).where("a <> b")
-    return m.clusters(parts.select("a", "b").distinct())
+    """All parts of an order are one cluster: each is linked to the smallest of them."""
+    parts = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("b")).distinct()
+    smallest = parts.groupBy("l_orderkey").agg(F.min("b").alias("a"))
+    return m.clusters(parts.join(smallest, "l_orderkey").where("a <> b").select("a", "b").distinct())
 
 
 def entity_aliases(spark: SparkSession, sf: str) -> DataFrame:

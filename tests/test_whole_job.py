@@ -53,3 +53,28 @@ def test_clusters_of_a_long_descending_chain(spark):
     chain = [1, *range(300, 1, -1)]
     edges = spark.createDataFrame(list(zip(chain, chain[1:], strict=False)), "a long, b long")
     assert {(r["id"], r["root"]) for r in memory.clusters(edges).collect()} == {(i, 1) for i in chain}
+
+
+def test_contradiction_clusters_link_all_parts_of_an_order(spark, tmp_path):
+    orders = {1: [9, 5, 7], 2: [7, 12], 3: [20, 21, 22, 23], 4: [30], 5: [40, 40], 6: [23, 24]}
+    rows = [(o, p, 1 + p % 50) for o, parts in orders.items() for p in parts]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = {(r["id"], r["root"]) for r in catalog.QUERIES["contradiction_clusters"](spark, str(tmp_path)).collect()}
+    assert found == {(p, 5) for p in (5, 7, 9, 12)} | {(p, 20) for p in (20, 21, 22, 23, 24)}
+
+
+def test_contradiction_clusters_equal_union_find(spark):
+    sf = "/root/testdata/sf0.001"
+    up: dict[int, int] = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    rows = duckdb.sql(f"SELECT l_partkey, min(l_partkey) OVER (PARTITION BY l_orderkey) FROM '{sf}/lineitem.parquet'").fetchall()
+    for p, low in rows:
+        x, y = sorted((root(p), root(low)))
+        up[y] = x
+    brute = {(p, root(p)) for pair in rows if pair[0] != pair[1] for p in pair}
+    assert {(r["id"], r["root"]) for r in catalog.QUERIES["contradiction_clusters"](spark, sf).collect()} == brute
