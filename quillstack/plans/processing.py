@@ -23,6 +23,11 @@ def near_dup_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return duplicates.jaccard_pairs(table(spark, sf, "documents"), "doc_id")
 
 
+def near_dup_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The membership that ``near_dup_jaccard`` needs: which documents each id of its pairs stands for."""
+    return duplicates.shingle_classes(table(spark, sf, "documents"), "doc_id")
+
+
 def pii_counts(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
     return table(spark, sf, "documents").select("doc_id", F.regexp_count(text, F.lit(d.EMAIL)).cast("long").alias("emails"), F.regexp_count(text, F.lit(d.IPV4)).cast("long").alias("addresses"), F.md5(d.redact_simple(text)).alias("redacted_md5"))
@@ -138,7 +143,7 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return _drained(windows.coalesce_served(stream, ["user_id"], "ts", "2 hours"), spark).select("user_id", F.unix_micros("started").alias("started"), "n")
 
 
-_FUNCTIONS = (exact_dup, near_dup_jaccard, pii_counts, pii_luhn, pii_spans, classify_sensitivity, injection_score, hidden_text, html_extract, html_title, chunk_documents, token_estimate, term_stats, statement_extraction, session_summary, ingest_actions, sync_actions, import_mapping, trace_export, stream_daily, stream_sessions)
+_FUNCTIONS = (exact_dup, near_dup_jaccard, near_dup_classes, pii_counts, pii_luhn, pii_spans, classify_sensitivity, injection_score, hidden_text, html_extract, html_title, chunk_documents, token_estimate, term_stats, statement_extraction, session_summary, ingest_actions, sync_actions, import_mapping, trace_export, stream_daily, stream_sessions)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 _FOLD = "replace(strip_accents(lower(text)), 'œ', 'oe')"
 _EMAIL = d.EMAIL

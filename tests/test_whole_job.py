@@ -3,7 +3,7 @@
 import duckdb
 
 from quillstack import catalog
-from quillstack.operators import memory, search
+from quillstack.operators import duplicates, memory, search
 from quillstack.plans import retrieval
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +78,22 @@ def test_contradiction_clusters_equal_union_find(spark):
         up[y] = x
     brute = {(p, root(p)) for pair in rows if pair[0] != pair[1] for p in pair}
     assert {(r["id"], r["root"]) for r in catalog.QUERIES["contradiction_clusters"](spark, sf).collect()} == brute
+
+
+def test_near_duplicates_with_membership_equal_brute_force(spark):
+    base = [f"w{i}" for i in range(40)]
+    loop = ["a", "b", "c"] * 4
+    texts = [base, base, [*base, "x"], [*base, "x"], base[:20], loop, loop + ["a", "b"], ["q", "r"], ["q", "r"], ["z"] + base[1:], []]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = {i: {tuple(t[j : j + 3]) for j in range(max(len(t) - 2, 1))} for i, t in enumerate(texts) if t}
+    brute = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * 100 >= len(sets[a] | sets[b]) * 80}
+    of = {r["doc_id"]: r["class_id"] for r in duplicates.shingle_classes(docs, "doc_id").collect()}
+    linked = {(r["a"], r["b"]) for r in duplicates.jaccard_pairs(docs, "doc_id").collect()}
+    assert set(of) == set(sets) and (5, 6) in brute and of[6] == 5
+    assert {(a, b) for a in of for b in of if a < b and (of[a] == of[b] or tuple(sorted((of[a], of[b]))) in linked)} == brute
+
+
+def test_near_dup_membership_is_registered(spark):
+    rows = catalog.QUERIES["near_dup_classes"](spark, SF).collect()
+    ids = {r["doc_id"] for r in rows}
+    assert len(ids) == len(rows) and all(r["class_id"] <= r["doc_id"] and r["class_id"] in ids for r in rows)
