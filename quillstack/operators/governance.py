@@ -35,10 +35,12 @@ def clearance(*levels: Column) -> Column:
 
 
 def merge_acls(df: DataFrame, key: str, acl: str, level: str) -> DataFrame:
-    """Derived rights: the intersection of all sources' lists and the highest level."""
-    lists = F.collect_set(acl)
-    shared = F.aggregate(F.slice(F.col("_lists"), 2, 1_000_000), F.element_at("_lists", 1), lambda a, b: F.array_intersect(a, b))
-    return df.groupBy(key).agg(lists.alias("_lists"), F.max(level).alias("level")).select(key, F.array_sort(shared).alias("acl"), "level")
+    """Derived rights: the principals that all sources' lists have, and the highest level. Missing lists set no limit."""
+    total = df.groupBy(key).agg(F.count(acl).alias("_n"), F.max(level).alias("level"))
+    held = df.select(F.col(key).alias("_key"), F.explode(F.array_distinct(acl)).alias("_p")).groupBy("_key", "_p").agg(F.count("*").alias("_c"))
+    shared = held.join(total.select(key, "_n"), F.col("_key").eqNullSafe(F.col(key)) & (F.col("_c") == F.col("_n"))).groupBy("_key").agg(F.array_sort(F.collect_list("_p")).alias("_acl"))
+    merged = total.join(shared, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return merged.select(key, F.coalesce("_acl", F.array().cast("array<string>")).alias("acl"), "level")
 
 
 def access_scope(acl: Column) -> Column:

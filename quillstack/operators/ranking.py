@@ -52,7 +52,7 @@ def policy_days(kind: Column, policy: dict[str, int], override: int | None = Non
 
 def infer_intent(texts: DataFrame, key: str, tokens: str, keywords: DataFrame, default: str) -> DataFrame:
     """The intent with most keyword hits; equal counts go to the one listed first (``priority``). No hit: the default."""
-    found = texts.select(key, F.explode(tokens).alias("keyword")).join(F.broadcast(keywords.limit(10_000)), "keyword")
+    found = texts.select(key, F.explode(tokens).alias("keyword")).join(keywords, "keyword")
     counts = found.groupBy(key, "intent").agg(F.count("*").alias("hits"), F.min("priority").alias("priority"))
     best = counts.groupBy(key).agg(F.max_by(F.struct("intent", "hits"), F.struct(F.col("hits"), -F.col("priority"))).alias("best"))
     return texts.select(key).join(best, key, "left").select(key, F.coalesce("best.intent", F.lit(default)).alias("intent"), F.coalesce("best.hits", F.lit(0)).alias("hits"))

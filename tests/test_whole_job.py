@@ -3,7 +3,7 @@
 import duckdb
 
 from quillstack import catalog
-from quillstack.operators import duplicates, memory, search
+from quillstack.operators import duplicates, governance, memory, ranking, search
 from quillstack.plans import retrieval
 
 SF = "/root/testdata/sf0.001"
@@ -97,3 +97,18 @@ def test_near_dup_membership_is_registered(spark):
     rows = catalog.QUERIES["near_dup_classes"](spark, SF).collect()
     ids = {r["doc_id"] for r in rows}
     assert len(ids) == len(rows) and all(r["class_id"] <= r["doc_id"] and r["class_id"] in ids for r in rows)
+
+
+def test_merged_rights_have_no_cap(spark):
+    rows = [(1, ["a", "b", "c"], 0), (1, ["c", "b"], 2), (1, ["b", "b", "d", "c"], 1), (2, ["a"], 1), (2, ["b"], 0), (3, ["z", "y"], 3), (3, None, 1), (None, ["n"], 0)]
+    merged = governance.merge_acls(spark.createDataFrame(rows, "g long, acl array<string>, level int"), "g", "acl", "level")
+    assert {(r["g"], tuple(r["acl"]), r["level"]) for r in merged.collect()} == {(1, ("b", "c"), 2), (2, (), 1), (3, ("y", "z"), 3), (None, ("n",), 0)}
+    # No list of a group is left out: nothing takes a slice of them.
+    assert "slice(" not in merged._jdf.queryExecution().toString()
+
+
+def test_all_keywords_count_for_intent(spark):
+    keywords = spark.createDataFrame([("other", 1, f"k{i}") for i in range(10_500)] + [("last", 2, "needle")], "intent string, priority int, keyword string")
+    texts = spark.createDataFrame([(1, ["needle", "k10400"]), (2, ["needle"]), (3, ["none"])], "id long, t array<string>")
+    found = {r["id"]: (r["intent"], r["hits"]) for r in ranking.infer_intent(texts, "id", "t", keywords, "general").collect()}
+    assert found == {1: ("other", 1), 2: ("last", 1), 3: ("general", 0)}
