@@ -1,16 +1,18 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
-Equal vectors are one node of the graph. Two random projection forests deal the nodes into blocks, and the best ``degree`` of
-its block start a node's list. Then each round joins every node's list and a sample of the nodes that list it (neighbours of
-neighbours), skips pairs that have met, and merges what improves a list; it ends when few entries change. A query starts
-from its own node's list and expands the ``beam`` best candidates of its list that it has not expanded, ``hops`` times. The
-candidates kept are scored again in double precision on the original vectors, equal vectors are listed again, and the best
-``top`` in order of score, then vec_id, are returned.
-
-Scale: vectors travel to blocks of nodes once a block and round, however many of its nodes need them; lists travel as arrays.
-Blocks and merge groups have a bounded number of nodes: blocks above the bound are split by hash, so identical or crowded
-vectors do not make a large group. Reverse lists are samples of at most ``reverse`` entries, drawn by rank before the shuffle;
-sampling them is part of the method, and every node keeps its own full list. A few thousand sampled vectors fit the trees.
+Equal vectors are one node of the graph. A few random projection trees deal the nodes into blocks, and the best ``degree`` of
+its block start a node's list. Then each round meets neighbours of neighbours: every node brings together at most ``sample`` new
+and as many old entries of its list and of the nodes that list it, compares the pairs of which one is new, and what improves a
+list is merged into it; it ends when few entries are new. A query starts from its own node's list and expands the best
+candidates of its beam that it has not expanded, ``hops`` times. The candidates kept are scored again in double precision on the
+original vectors, equal vectors are listed again, and the best ``top`` in order of score, then vec_id, are returned.
+The same steps run at every size of the table.
+
+Scale: a node takes part in at most 4 * ``sample`` meetings a round whatever the size of the table, so its vector goes to a bounded
+number of blocks of nodes, once each, and at most that many rows of improvements come back. Blocks hold a bounded number of
+nodes and of bytes: those above the bound are split by hash, so crowded vectors do not make a large group. Samples of the lists
+that name a node are drawn by rank before the shuffle; sampling them is part of the method, and every node keeps its own full
+list. A few thousand sampled vectors fit the trees.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, those of another length than most, and
 rows without vec_id take no part; of rows with equal vec_id each is a candidate for the others; with at most ``top``
@@ -20,11 +22,13 @@ candidates all are returned; an empty table gives no rows; other columns are ign
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .common import Scratch, ordinals
@@ -32,20 +36,30 @@ from .common import Scratch, ordinals
 LISTS = "node long, ids array<long>, sims array<float>, fresh array<boolean>"
 SAMPLE = 4096
 TREE_DEPTH = 8
+#: Bytes of vectors that one block of nodes may need.
+BLOCK_BYTES = 256 << 20
 
 
 def usable_vectors(embeddings: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, vec_id, vec): rows that take part, numbered in order of vec_id."""
-    vec = F.col("embedding").cast("array<double>")
+    """(row, vec_id, vec): rows that take part, numbered in order of vec_id. ``vec`` keeps the values as they came."""
+    element = getattr(embeddings.schema["embedding"].dataType, "elementType", None)
+    kind = "array<float>" if isinstance(element, T.FloatType) else "array<double>"
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"), F.col("embedding").alias("original"))
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0))
-    rows = scratch.keep(rows.select("vec_id", F.col("vec").cast("array<float>").alias("vec"), F.size("vec").alias("dim")), "usable")
+    rows = scratch.keep(rows.withColumn("dim", F.size("vec")), "usable")
     common = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     rows = rows.where(F.col("dim") == (common[0]["dim"] if common else 0)).drop("dim")
     return scratch.keep(ordinals(rows, [F.col("vec_id"), F.xxhash64("vec")], "row"), "rows")
 
 
+def search_vectors(nodes: DataFrame) -> DataFrame:
+    """(node, vec): single-precision vectors to search with, all divided by one power of two so that no product leaves its range."""
+    largest = nodes.select(F.max(F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))).alias("m")).first()["m"]
+    scale = 2.0 ** math.floor(math.log2(largest)) if largest else 1.0
+    return nodes.select("node", F.transform("vec", lambda x: (x.cast("double") / F.lit(scale)).cast("float")).alias("vec"))
+
+
 class Forest:
     """Random hyperplane trees with medians of a sample, then plain hyperplanes for tables that need more leaves."""
 
@@ -149,35 +163,38 @@ def _merged(lists: DataFrame, k: int, count: int, group_nodes: int = 4096) -> Da
 
 
 def _local_join(k: int):
-    """Improvements for the members of the block's joins: pairs of a join of which one is fresh, better than a list's last."""
+    """Improvements for the members of the block's meetings: pairs of which one is new, better than a list's last."""
 
     def run(key, joins: pa.Table, vectors: pa.Table) -> pa.Table:
         nodes = np.asarray(vectors["node"])
         order = np.argsort(nodes)
         nodes, x, worst = nodes[order], _matrix(vectors["vec"])[order] if len(nodes) else np.zeros((0, 1), np.float32), np.asarray(vectors["worst"])[order]
-        members, lengths = _lists(joins["ids"])
-        fresh = _lists(joins["fresh"])[0].astype(bool)
-        places = np.searchsorted(nodes, members)
-        ends = np.cumsum(lengths)
+        sides = []
+        for name in ("new", "old"):
+            members, lengths = _lists(joins[name])
+            ends = np.cumsum(lengths)
+            sides.append((np.searchsorted(nodes, members), ends - lengths, ends))
         owner, ids, sims, held = [], [], [], 0
 
         def squeeze() -> None:
             if owner:
-                o, i, s, f = _best(np.concatenate(owner), np.concatenate(ids), np.concatenate(sims), np.ones(sum(map(len, owner)), bool), k)
+                o, i, s, _ = _best(np.concatenate(owner), np.concatenate(ids), np.concatenate(sims), np.ones(sum(map(len, owner)), bool), k)
                 owner[:], ids[:], sims[:] = [o], [i], [s]
 
-        for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True):
-            own, first = np.unique(places[a:b], return_index=True)
-            new = np.zeros(len(own), bool)
-            np.logical_or.at(new, np.searchsorted(own, places[a:b]), fresh[a:b])
-            near = x[own] @ x[own].T
-            better = (near > worst[own][:, None]) & (new[:, None] | new[None, :])
-            np.fill_diagonal(better, False)
-            u, w = np.nonzero(better)
-            owner.append(own[u])
-            ids.append(nodes[own[w]])
-            sims.append(near[u, w])
-            held += len(u)
+        def keep(u: np.ndarray, v: np.ndarray, near: np.ndarray) -> None:
+            at, to = np.nonzero((near > worst[u][:, None]) & (u[:, None] != v[None, :]))
+            owner.append(u[at])
+            ids.append(nodes[v[to]])
+            sims.append(near[at, to])
+
+        for n in range(joins.num_rows):
+            new, old = (np.unique(places[starts[n] : ends[n]]) for places, starts, ends in sides)
+            old = np.setdiff1d(old, new, assume_unique=True)
+            both = np.concatenate([new, old])
+            near = x[new] @ x[both].T
+            keep(new, both, near)
+            keep(old, new, near[:, len(new) :].T)
+            held += len(owner[-1]) + len(owner[-2])
             if held > 2_000_000:
                 squeeze()
                 held = len(owner[0])
@@ -190,42 +207,48 @@ def _local_join(k: int):
     return run
 
 
-def build_graph(nodes: DataFrame, scratch: Scratch, degree: int, rounds: int, reverse: int, seed: int, leaf: int = 512, block_nodes: int = 2048) -> tuple[DataFrame, int]:
-    """The neighbour lists of (node, vec), best first, and the number of nodes."""
-    count = nodes.count()
-    sample = nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(SAMPLE).select("vec").toArrow()
-    sample = _matrix(sample["vec"])
-    starts = []
-    for tree in range(2):
-        dealt = _dealt(nodes, Forest(sample, count, leaf, seed + tree), 2 * leaf, seed + tree) if count else nodes.withColumn("block", F.lit(0).cast("long"))
-        starts.append(dealt.groupBy("block").applyInArrow(_start_lists(degree), LISTS))
-    graph = scratch.keep(_merged(starts[0].unionByName(starts[1]), degree, count), "lists")
-    if count <= leaf:
-        return graph, count
-    home = scratch.keep(_dealt(nodes, Forest(sample, count, block_nodes, seed), block_nodes, seed).select("node", "block"), "home")
+def meetings(graph: DataFrame, sample: int) -> DataFrame:
+    """(node, new, old): whom a node brings together, at most ``sample`` of its list and of those that list it, new and old apart."""
+    picked = lambda wanted: F.slice(F.transform(F.filter(F.arrays_zip("ids", "fresh"), lambda e: e["fresh"] == F.lit(wanted)), lambda e: e["ids"]), 1, sample)
+    own = graph.select("node", picked(True).alias("new"), picked(False).alias("old"))
+    marked = F.concat(F.transform("new", lambda i: F.struct(i.alias("id"), F.lit(True).alias("fresh"))), F.transform("old", lambda i: F.struct(i.alias("id"), F.lit(False).alias("fresh"))))
+    edges = own.select("node", F.explode(marked).alias("e")).select(F.col("e.id").alias("id"), "node", F.col("e.fresh").alias("fresh"))
+    turn = F.row_number().over(Window.partitionBy("id", "fresh").orderBy(F.xxhash64("node", "id")))
+    back = edges.withColumn("turn", turn).where(F.col("turn") <= sample).groupBy(F.col("id").alias("b_node"))
+    back = back.agg(F.collect_list(F.when(F.col("fresh"), F.col("node"))).alias("b_new"), F.collect_list(F.when(~F.col("fresh"), F.col("node"))).alias("b_old"))
+    both = own.join(back, F.col("node") == F.col("b_node"), "left")
+    none = F.array().cast("array<bigint>")
+    return both.select("node", F.concat("new", F.coalesce("b_new", none)).alias("new"), F.concat("old", F.coalesce("b_old", none)).alias("old"))
+
+
+def build_graph(vectors: DataFrame, scratch: Scratch, degree: int, rounds: int, sample: int, seed: int, trees: int = 4, leaf: int = 1024, block_nodes: int = 512) -> tuple[DataFrame, DataFrame]:
+    """The neighbour lists of (node, vec), best first, and (node, block), the blocks of near nodes."""
+    count = vectors.count()
+    some = vectors.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(SAMPLE).select("vec").toArrow()
+    some = _matrix(some["vec"])
+    dim = some.shape[1] if len(some) else 1
+    block_nodes = max(16, min(block_nodes, BLOCK_BYTES // (4 * sample * dim * 4)))
+    forest = lambda size, turn: Forest(some, count, size, seed + turn) if count else None
+    starts = [_dealt(vectors, forest(leaf, tree), 2 * leaf, seed + tree).groupBy("block").applyInArrow(_start_lists(degree), LISTS) for tree in range(trees)]
+    graph = scratch.keep(_merged(reduce(DataFrame.unionByName, starts), degree, count), "lists")
+    home = scratch.keep(_dealt(vectors, forest(block_nodes, trees), block_nodes, seed).select("node", "block"), "home")
     for _ in range(rounds):
-        edges = graph.select("node", F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select("node", F.col("e.ids").alias("id"), F.col("e.fresh").alias("fresh"))
-        turn = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("fresh"), F.xxhash64("node", "id")))
-        back = edges.withColumn("turn", turn).where(F.col("turn") <= reverse).groupBy(F.col("id").alias("b_node")).agg(F.collect_list(F.struct("node", "fresh")).alias("back"))
-        both = graph.join(back, F.col("node") == F.col("b_node"), "left").join(home.withColumnRenamed("node", "h_node"), F.col("node") == F.col("h_node"))
-        none = F.array().cast("array<struct<node:bigint,fresh:boolean>>")
-        back_list = F.coalesce("back", none)
-        ids = F.concat("ids", F.transform(back_list, lambda e: e["node"]))
-        joins = scratch.keep(both.select("block", "node", ids.alias("ids"), F.concat("fresh", F.transform(back_list, lambda e: e["fresh"])).alias("fresh")), "joins")
+        joins = meetings(graph, sample).join(home.withColumnRenamed("node", "h_node"), F.col("node") == F.col("h_node"))
+        joins = scratch.keep(joins.where(F.size("new") > 0).select("block", "node", "new", "old"), "joins")
         worst = F.when(F.size("sims") >= degree, F.element_at("sims", -1)).otherwise(F.lit(float("-inf")).cast("float"))
-        carried = nodes.join(graph.select(F.col("node").alias("g_node"), worst.alias("worst")), F.col("node") == F.col("g_node")).select("node", "vec", "worst")
-        needed = joins.select(F.col("block").alias("v_block"), F.explode("ids").alias("n_node")).distinct()
-        vectors = needed.join(carried, F.col("n_node") == F.col("node")).select("v_block", "node", "vec", "worst")
-        better = joins.groupBy("block").cogroup(vectors.groupBy("v_block")).applyInArrow(_local_join(degree), LISTS)
-        better = scratch.keep(better, "better")
-        old = graph.withColumn("fresh", F.transform("fresh", lambda f: F.lit(False)))
-        new = scratch.keep(_merged(old.unionByName(better), degree, count), "lists")
+        carried = vectors.join(graph.select(F.col("node").alias("g_node"), worst.alias("worst")), F.col("node") == F.col("g_node")).select("node", "vec", "worst")
+        needed = joins.select(F.col("block").alias("v_block"), F.explode(F.concat("new", "old")).alias("n_node")).distinct()
+        sent = needed.join(carried, F.col("n_node") == F.col("node")).select("v_block", "node", "vec", "worst")
+        better = scratch.keep(joins.groupBy("block").cogroup(sent.groupBy("v_block")).applyInArrow(_local_join(degree), LISTS), "better")
+        # New entries that have met are old now; those beyond the sample keep their turn.
+        met = F.aggregate("fresh", F.struct(F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("out")), lambda acc, f: F.struct((acc["n"] + f.cast("int")).alias("n"), F.concat(acc["out"], F.array(f & (acc["n"] >= sample))).alias("out")))["out"]
+        new = scratch.keep(_merged(graph.withColumn("fresh", met).unionByName(better), degree, count), "lists")
         scratch.drop(graph, joins, better)
         graph = new
-        changed = graph.select(F.sum(F.size(F.filter("fresh", lambda f: f))).alias("n")).first()["n"] or 0
-        if changed < 0.002 * count * degree:
+        unmet = graph.select(F.sum(F.size(F.filter("fresh", lambda f: f))).alias("n")).first()["n"] or 0
+        if unmet <= 0.002 * count * degree:
             break
-    return graph, count
+    return graph, home
 
 
 def _dealt(nodes: DataFrame, forest: Forest, bound: int, seed: int) -> DataFrame:
@@ -233,7 +256,7 @@ def _dealt(nodes: DataFrame, forest: Forest, bound: int, seed: int) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            codes = forest.codes(_matrix(batch.column(1))) if batch.num_rows else np.empty(0, np.int64)
+            codes = forest.codes(_matrix(batch.column(1))) if batch.num_rows and forest else np.zeros(batch.num_rows, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.int64())], names=["node", "vec", "code"])
 
     coded = nodes.select("node", "vec").mapInArrow(run, "node long, vec array<float>, code long")
@@ -263,49 +286,54 @@ def _score_candidates(k: int):
     return run
 
 
-def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scratch, beam: int, hops: int, block_queries: int = 256) -> DataFrame:
-    """(node, ids, sims, fresh) for the query nodes, from their own lists on."""
-    count = queries.count()
-    blocks = max(1, -(-count // block_queries))
-    beams = graph.join(queries.select(F.col("node").alias("q_node")), F.col("node") == F.col("q_node"), "left_semi")
+def greedy_search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, home: DataFrame, scratch: Scratch, beam: int, expand: int, fan: int, hops: int, parts: int = 1) -> DataFrame:
+    """(node, ids, sims, fresh) for the query nodes: the best ``beam`` found from their own lists on.
+
+    Each hop looks at the first ``fan`` neighbours of the ``expand`` best candidates that were not expanded. Queries near each other
+    share a block, so that a vector they need travels once; a block of nodes that holds many queries is searched in ``parts``.
+    """
+    asked = queries.select(F.col("node").alias("q_node")).join(home, F.col("q_node") == F.col("node"))
+    asked = asked.select("q_node", F.xxhash64("block", F.pmod(F.xxhash64("q_node"), F.lit(parts))).alias("block"))
+    beams = graph.join(asked.select("q_node"), F.col("node") == F.col("q_node"), "left_semi")
     beams = scratch.keep(beams.withColumn("fresh", F.transform("ids", lambda i: F.lit(True))), "beams")
     for _ in range(hops):
-        entries = F.slice(F.filter(F.arrays_zip("ids", "fresh"), lambda e: e["fresh"]), 1, beam)
+        entries = F.slice(F.filter(F.arrays_zip("ids", "fresh"), lambda e: e["fresh"]), 1, expand)
         front = beams.select("node", F.explode(entries).alias("e")).select("node", F.col("e.ids").alias("f_id"))
-        reached = front.join(graph.select(F.col("node").alias("g_node"), F.col("ids").alias("next")), F.col("f_id") == F.col("g_node"))
+        reached = front.join(graph.select(F.col("node").alias("g_node"), F.slice("ids", 1, fan).alias("next")), F.col("f_id") == F.col("g_node"))
         found = reached.groupBy(F.col("node").alias("r_node")).agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("found"))
-        # The first `beam` unexpanded entries are expanded now: their marks go.
-        left = F.aggregate("fresh", F.struct(F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("out")), lambda acc, f: F.struct((acc["n"] + f.cast("int")).alias("n"), F.concat(acc["out"], F.array(f & (acc["n"] >= beam))).alias("out")))["out"]
+        # The first unexpanded entries are expanded now: their marks go.
+        left = F.aggregate("fresh", F.struct(F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("out")), lambda acc, f: F.struct((acc["n"] + f.cast("int")).alias("n"), F.concat(acc["out"], F.array(f & (acc["n"] >= expand))).alias("out")))["out"]
         state = beams.join(found, F.col("node") == F.col("r_node"), "left").select("node", "ids", "sims", left.alias("fresh"), F.coalesce("found", F.array().cast("array<bigint>")).alias("found"))
-        state = state.join(nodes.select(F.col("node").alias("v_node"), "vec"), F.col("node") == F.col("v_node")).drop("v_node")
-        state = scratch.keep(state.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks))), "state")
-        needed = state.select(F.col("block").alias("v_block"), F.explode("found").alias("n_node")).distinct()
-        vectors = needed.join(nodes, F.col("n_node") == F.col("node")).select("v_block", "node", "vec")
-        scored = state.groupBy("block").cogroup(vectors.groupBy("v_block")).applyInArrow(_score_candidates(beam), LISTS)
-        new = scratch.keep(scored, "beams")
+        state = state.join(vectors.select(F.col("node").alias("v_node"), "vec"), F.col("node") == F.col("v_node")).drop("v_node")
+        state = scratch.keep(state.join(asked, F.col("node") == F.col("q_node")).drop("q_node"), "state")
+        needed = state.select(F.col("block").alias("v_block"), F.explode(F.array_except("found", "ids")).alias("n_node")).distinct()
+        sent = needed.join(vectors, F.col("n_node") == F.col("node")).select("v_block", "node", "vec")
+        new = scratch.keep(state.groupBy("block").cogroup(sent.groupBy("v_block")).applyInArrow(_score_candidates(beam), LISTS), "beams")
         scratch.drop(beams, state)
         beams = new
     return beams
 
 
-def nearest(embeddings: DataFrame, top: int = 20, every: int = 20, degree: int = 64, rounds: int = 4, reverse: int = 32, beam: int = 96, hops: int = 2, seed: int = 7) -> DataFrame:
+def nearest(embeddings: DataFrame, top: int = 20, every: int = 20, degree: int = 64, rounds: int = 5, sample: int = 24, beam: int = 96, expand: int = 48, fan: int = 48, hops: int = 3, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``, against all rows."""
     scratch = Scratch(embeddings.sparkSession, "ann")
     rows = usable_vectors(embeddings, scratch)
     classes = scratch.keep(rows.groupBy("vec").agg(F.min("row").alias("node")), "classes")
-    nodes = scratch.keep(classes.select("node", "vec"), "nodes")
+    nodes = classes.select("node", "vec")
+    vectors = scratch.keep(search_vectors(nodes), "vectors")
     placed = rows.join(classes.withColumnRenamed("vec", "c_vec"), F.col("vec") == F.col("c_vec")).select("row", "vec_id", "node")
     placed = scratch.keep(placed, "placed")
     asked = scratch.keep(placed.where(F.col("vec_id") % every == 0), "queries")
     query_nodes = scratch.keep(asked.select("node").distinct(), "query-nodes")
-    graph, count = build_graph(nodes, scratch, max(degree, top), rounds, reverse, seed)
-    found = greedy_search(query_nodes, nodes, graph, scratch, max(beam, top + 10), hops) if count > 512 else graph.join(query_nodes, "node", "left_semi")
-    pairs = found.select(F.col("node").alias("q_node"), F.explode(F.slice("ids", 1, top + 10) if count > top + 10 else F.col("ids")).alias("c_node"))
+    graph, home = build_graph(vectors, scratch, max(degree, top + 10), rounds, sample, seed)
+    found = greedy_search(query_nodes, vectors, graph, home, scratch, max(beam, top + 10), expand, fan, hops, parts=-(-16 // every))
+    pairs = found.select(F.col("node").alias("q_node"), F.explode(F.slice("ids", 1, top + 10)).alias("c_node"))
     pairs = pairs.unionByName(query_nodes.select(F.col("node").alias("q_node"), F.col("node").alias("c_node")))
     product = F.aggregate(F.zip_with("q_vec", "c_vec", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.join(nodes.select(F.col("node").alias("a"), F.col("vec").alias("q_vec")), F.col("q_node") == F.col("a"))
     scored = scored.join(nodes.select(F.col("node").alias("b"), F.col("vec").alias("c_vec")), F.col("c_node") == F.col("b"))
     scored = scratch.keep(scored.select("q_node", "c_node", product.alias("score")), "scored")
+    scratch.drop(graph, home, found, vectors, classes, query_nodes)
     # The first rows of each class of equal vectors are all that can be among the top, the query's own row apart.
     first = F.row_number().over(Window.partitionBy("node").orderBy("vec_id", "row"))
     copies = placed.withColumn("at", first).where(F.col("at") <= top + 1).select(F.col("node").alias("p_node"), F.col("row").alias("c_row"), "vec_id")
