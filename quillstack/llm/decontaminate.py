@@ -94,7 +94,7 @@ def _benchmark_windows(benchmark: DataFrame, window: int, k: int, scratch: Scrat
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_windows: int = 200_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (first word from 0, end exclusive), items."""
+    """doc_id, text_key (hash of the text), n_words, n_hit, n_items, items_sha256, contaminated, spans (first word from 0, end exclusive), items."""
     scratch = Scratch(documents.sparkSession, "decontaminate")
     wins, groups, short = _benchmark_windows(benchmark, window, k, scratch)
     blocks = max(1, -(-wins.count() // block_windows))
@@ -125,6 +125,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     spans = F.arrays_zip(F.array_except("places", after).alias("start"), F.array_except(after, F.col("places")).alias("end"))
     return out.select(
         "doc_id",
+        "text_key",
         "n_words",
         F.size("places").cast("long").alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
@@ -137,7 +138,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that share no window with the benchmark. Rows without a doc_id are kept only if none such is hit."""
+    """The documents that share no window with the benchmark. Each row is judged by its own text, also where doc_id repeats or is null."""
     scratch = Scratch(documents.sparkSession, "decontaminate")
-    hit = scratch.keep(contamination(documents, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_qs_hit")).distinct(), "hit")
-    return documents.join(hit, F.col("doc_id").eqNullSafe(F.col("_qs_hit")), "left_anti")
+    hit = contamination(documents, benchmark, **options).where("contaminated")
+    hit = scratch.keep(hit.select(F.col("doc_id").alias("_qs_hit"), F.col("text_key").alias("_qs_key")).distinct(), "hit")
+    return documents.join(hit, F.col("doc_id").eqNullSafe(F.col("_qs_hit")) & (F.xxhash64("text") == F.col("_qs_key")), "left_anti")

@@ -48,7 +48,7 @@ def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key", "spans", "items")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
