@@ -8,7 +8,7 @@ takes by mistake; and so on until no mistake is left. A key is listed if the fir
 So membership is exact for the whole universe and needs no join: the levels are literals of the plan.
 
 Scale: the false-positive rate of level 1 is set so that about as many mistakes as listed keys are expected, however large the
-universe is; all levels together then take a few words per listed key and their size is checked against ``max_words`` before
+universe is, and the number of hashes follows from the rate; all levels together then take a few words per listed key and their size is checked against ``max_words`` before
 they go into the plan. A longer list is cut by key hash into parts, each with a cascade and a pass of its own over the urls; only
 one part's levels are in a plan at a time. The url column is read twice: for the mistakes of level 1 and for the verdicts.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ascii_lower
 
-HASHES = 4
+MAX_HASHES = 32
 
 
 @dataclass(frozen=True)
@@ -70,36 +70,44 @@ def candidate_keys(host: Column, path: Column, labels: list[int], lengths: list[
 class Level:
     words: tuple[int, ...]
     seed: int
+    hashes: int
 
     def takes(self, key: Column) -> Column:
         """Whether the filter takes a key: all its bits are set."""
         bits, out = len(self.words) * 64, F.lit(True)
         table = F.from_json(F.lit("[" + ",".join(map(str, self.words)) + "]"), "array<bigint>")
-        for h in range(HASHES):
+        for h in range(self.hashes):
             at = _bit(key, self.seed, h, bits)
             out = out & (F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1)
         return out
 
 
 def _bit(key: Column, seed: int, h: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed * HASHES + h), key), F.lit(bits).cast("long"))
+    return F.pmod(F.xxhash64(F.lit(seed * MAX_HASHES + h), key), F.lit(bits).cast("long"))
+
+
+def _hashes_for(rate: float) -> int:
+    """The number of hashes that needs the fewest bits for a rate."""
+    return max(1, min(MAX_HASHES, round(-math.log2(rate))))
 
 
 def _words_for(n: int, rate: float) -> int:
-    """64-bit words of a filter with HASHES hashes that keeps the rate for n keys."""
-    bits = -HASHES * max(n, 1) / math.log(1 - min(rate, 0.6) ** (1 / HASHES))
+    """64-bit words of a filter that keeps the rate for n keys."""
+    k = _hashes_for(rate)
+    bits = -k * max(n, 1) / math.log(1 - rate ** (1 / k))
     return max(1, math.ceil(bits / 64))
 
 
-def _level(keys: DataFrame, words: int, seed: int) -> Level:
-    """Bits are united per word before the shuffle; the driver gets at most ``words`` numbers."""
-    places = keys.select(F.explode(F.array(*[_bit(F.col("key"), seed, h, words * 64) for h in range(HASHES)])).alias("at"))
+def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
+    """The filter of ``n`` keys. Bits are united per word before the shuffle; the driver gets at most ``words`` numbers."""
+    words, hashes = _words_for(n, rate), _hashes_for(rate)
+    places = keys.select(F.explode(F.array(*[_bit(F.col("key"), seed, h, words * 64) for h in range(hashes)])).alias("at"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
     rows = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect()
     table = [0] * words
     for row in rows:
         table[row["word"]] = row["bits"]
-    return Level(tuple(table), seed)
+    return Level(tuple(table), seed, hashes)
 
 
 def is_listed(key: Column, levels: list[Level]) -> Column:
@@ -113,20 +121,25 @@ def is_listed(key: Column, levels: list[Level]) -> Column:
 def build_cascade(listed: DataFrame, universe: DataFrame, scratch: Scratch, max_words: int = 1 << 17) -> list[Level]:
     """Levels over (key) frames. ``universe`` may repeat keys; it is scanned once here, listed keys are left out by level."""
     size = listed.count()
-    total = max(universe.count(), 1)
-    words = _words_for(size, min(0.5, max(size, 1) / total))
-    if words > max_words:
-        raise OverflowError(f"{words} words are needed for {size} keys")
-    levels = [_level(listed, words, 1)]
+    rate = _first_rate(size, universe.count())
+    if _words_for(size, rate) > max_words:
+        raise OverflowError(f"{_words_for(size, rate)} words are needed for {size} keys")
+    levels = [_level(listed, size, rate, 1)]
     wrong = scratch.keep(universe.where(levels[0].takes(F.col("key"))).distinct().join(listed, "key", "left_anti"), "mistakes-1")
     right = listed
-    while (n := wrong.count()) and len(levels) < 64:
-        levels.append(_level(wrong, _words_for(n, 0.5), len(levels) + 1))
+    # Every level halves the mistakes of the one before with hashes of its own, so this ends.
+    while n := wrong.count():
+        levels.append(_level(wrong, n, 0.5, len(levels) + 1))
         kept = scratch.keep(right.where(levels[-1].takes(F.col("key"))), f"mistakes-{len(levels)}")
         right, wrong = wrong, kept
     return levels
 
 
+def _first_rate(listed: int, universe: int) -> float:
+    """About as many mistakes as listed keys, and a quarter of the keys at most."""
+    return min(0.25, max(listed, 1) / max(universe, 1))
+
+
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, max_words: int = 1 << 17) -> DataFrame:
     """page_id, host, path, rule (the longest that fits, or null), verdict (the rule's; allow where none fits)."""
     spark = pages.sparkSession
@@ -134,7 +147,8 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, max_words: in
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     rules = tuple({r.key: r for r in rules}.values())
-    parts = _parts(rules, max_words)
+    n_keys = len({r.host.count(".") for r in rules}) * len({len(r.path) for r in rules})
+    parts = _parts(rules, parsed.count() * n_keys if rules else 0, max_words)
     out = parsed.withColumn("rule", F.lit(None).cast("string")).withColumn("blocked", F.lit(False))
     for number, part in enumerate(parts):
         out = _apply(out, part, scratch, spark, max_words)
@@ -143,10 +157,14 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, max_words: in
     return out.select("page_id", "host", "path", "rule", F.when(F.col("blocked"), "block").otherwise("allow").alias("verdict"))
 
 
-def _parts(rules: tuple[Rule, ...], max_words: int) -> list[tuple[Rule, ...]]:
-    # About two words a key leave room for any rate down to 1e-9.
-    n = max(1, math.ceil(2 * len(rules) / max_words))
-    return [rules[i::n] for i in range(n)] if rules else []
+def _parts(rules: tuple[Rule, ...], universe: int, max_words: int) -> list[tuple[Rule, ...]]:
+    """The rules in parts whose first level fits ``max_words`` for a universe of at most so many keys, in one verdict or two."""
+    n = 1
+    while rules and _words_for(size := -(-len(rules) // n), _first_rate(1, universe)) > max_words:
+        if size == 1:
+            raise OverflowError(f"max_words {max_words} is too small for one key")
+        n *= 2
+    return [p for i in range(n) if (p := rules[i::n])]
 
 
 def _apply(judged: DataFrame, rules: tuple[Rule, ...], scratch: Scratch, spark: SparkSession, max_words: int) -> DataFrame:
