@@ -4,14 +4,16 @@ A document is a bag of passages (``PASSAGE_WORDS`` words each, all of its text).
 words and bytes; a small network embeds it, gated attention weighs the passages of a document, and the weighted representation
 is scored by a logistic unit. Only document labels are known; which passages decide is learned with the rest.
 
-Training takes a bounded sample: the ``max_documents`` labelled documents of smallest id hash outside the held-out fold, cut
-where they hold more than ``max_passages`` passages in all. Its encoded passages are small and are fitted on the driver with
+Training takes a bounded sample: the ``max_documents`` labelled documents of smallest id hash outside the held-out fold, one text
+each, as many of them in that order as hold at most ``max_passages`` passages together; one that does not fit is left out. Of a text
+longer than an eighth of that, training sees passages evenly spread over all of it. The sample's encoded passages are small and are fitted on the driver with
 fixed seeds. Everything else - encoding and scoring every passage of every document - runs in tasks over Arrow batches, without
 an exchange. Labels, lang, source and doc_id are never inputs of a score.
 
 Defined cases: a null, empty or blank text has one passage of zeros and gets its score like any other; label rows without doc_id
 or quality are ignored, several for one document are averaged; without labels of both classes every score is their mean (0.5
-without labels); repeated rows score alike; an empty table gives no rows; a null doc_id is not held out.
+without labels); repeated rows score alike, and a doc_id with several texts trains with the one of smallest hash; an empty table
+gives no rows; a null doc_id is not held out; other columns are ignored (``score_documents``) or kept (``keep_good``).
 """
 
 from __future__ import annotations
@@ -169,6 +171,11 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gates: int
     return Model(None, {k: np.asarray(v, np.float32) for k, v in (p | fixed).items()})
 
 
+def _spread(encoded: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` passages, evenly spread over the text."""
+    return encoded if len(encoded) <= most else encoded[np.linspace(0, len(encoded) - 1, most).astype(np.int64)]
+
+
 def is_held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
@@ -180,25 +187,29 @@ def train(documents: DataFrame, labels: DataFrame, max_documents: int = 4000, ma
     sample = known.withColumn("turn", F.xxhash64(F.lit(3), "doc_id")).orderBy("turn", "doc_id").limit(max_documents)
     sample = F.broadcast(scratch.keep(sample.select(F.col("doc_id").alias("s_id"), "label", "turn"), "sample"))  # max_documents rows
 
+    most = max(1, max_passages // 8)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 piece = batch.slice(at, 64)
-                encoded = [encode_text(raw) for raw in _texts(piece.column(2))]
+                encoded = [_spread(encode_text(raw), most) for raw in _texts(piece.column(2))]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(1), pa.array([len(e) for e in encoded], pa.int64()), pa.array([e.tobytes() for e in encoded], pa.binary())],
                     names=["turn", "label", "passages", "encoded"],
                 )
 
-    texts = documents.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("s_id")).select("turn", "label", "text")
+    texts = documents.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("s_id"))
+    # However often a labelled document is repeated, one text of it is encoded and at most max_documents rows come to the driver.
+    texts = texts.groupBy("s_id", "turn", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("turn", "label", "text")
     coded = scratch.keep(texts.mapInArrow(run, "turn long, label int, passages long, encoded binary"), "encoded")
-    left, last = max_passages, None
+    left, fits = max_passages, []
     for row in coded.select("turn", "passages").orderBy("turn", "passages").collect():  # max_documents rows
-        left -= row["passages"]
-        if left < 0:
-            break
-        last = row["turn"]
-    chosen = coded.where(F.col("turn") <= last).orderBy("turn", "passages").collect() if last is not None else []
+        if row["passages"] <= left:
+            left -= row["passages"]
+            fits.append((row["turn"], row["passages"]))
+    wanted = F.broadcast(documents.sparkSession.createDataFrame(fits, "turn long, passages long"))
+    chosen = coded.join(wanted, ["turn", "passages"], "left_semi").orderBy("turn", "passages").collect()
     bags = [np.frombuffer(r["encoded"], np.float32).reshape(-1, WIDTH) for r in chosen]
     return fit(bags, np.array([r["label"] for r in chosen], np.float64))
 
