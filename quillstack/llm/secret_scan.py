@@ -1,9 +1,10 @@
 """Secret scans through a trigram inverted index.
 
-From each rule's regular expression a Boolean query over trigrams is derived: every string that the expression can match
-contains the trigrams of one branch of the query. A block of documents (one Arrow batch) gets an inverted index from the
-trigrams that the rules mention to the documents holding them; a rule's query intersects and unites those postings, and the
-expression runs over the whole text of the documents left. A rule that no trigram is mandatory for runs over every document.
+From each rule's regular expression a Boolean query over trigrams of bytes is derived: every string that the expression can match
+contains the trigrams of one branch of the query. A block of documents (rows of one Arrow batch) gets an inverted index: one pass
+over the bytes of its texts codes the trigram at every place, and those that some rule mentions become postings, trigram to
+documents, as written and with A-Z lower-cased. A rule's query intersects and unites postings, and the expression runs over the
+whole text of the documents left. A rule that no trigram is mandatory for runs over every document.
 
 Scale: the index is partitioned by document block, so its postings are never shuffled and a block lost with an executor is
 built again from its input. There is no exchange at all: one scan, one row out for each row in.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from re import _parser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -57,7 +59,8 @@ def trigram_query(pattern: str, any_case: bool = False) -> tuple[frozenset[str],
     None if some match needs no trigram. The trigrams are lower-case for rules that ignore case.
     """
     branches = [x.lower() if any_case else x for x in _literals(_parser.parse(pattern))]
-    grams = {frozenset(run[i : i + 3] for run in branch.split("\0") for i in range(len(run) - 2)) for branch in branches}
+    runs = [[run.encode().decode("latin-1") for run in branch.split("\0")] for branch in branches]
+    grams = {frozenset(run[i : i + 3] for run in branch for i in range(len(run) - 2)) for branch in runs}
     if not grams or frozenset() in grams:
         return None
     return tuple(sorted((g for g in grams if not any(o < g for o in grams)), key=sorted))
@@ -106,17 +109,8 @@ def _spans(rule: Rule, matcher: re.Pattern[str], text: str) -> list[tuple[int, i
 def scan_block(texts: list[str], rules: tuple[Rule, ...]) -> list[list[list[tuple[int, int]]]]:
     """For each text, the spans by rule: postings of the block, Boolean queries over them, verification."""
     queries = [trigram_query(r.pattern, r.any_case) for r in rules]
-    exact = sorted({t for r, q in zip(rules, queries, strict=True) if q and not r.any_case for branch in q for t in branch})
-    folded = sorted({t for r, q in zip(rules, queries, strict=True) if q and r.any_case for branch in q for t in branch})
-    postings: dict[tuple[bool, str], set[int]] = {(False, t): set() for t in exact} | {(True, t): set() for t in folded}
-    for i, text in enumerate(texts):
-        low = text.encode().lower().decode() if folded else ""
-        for t in exact:
-            if t in text:
-                postings[False, t].add(i)
-        for t in folded:
-            if t in low:
-                postings[True, t].add(i)
+    wanted = {fold: sorted({t for r, q in zip(rules, queries, strict=True) if q and r.any_case == fold for branch in q for t in branch}) for fold in (False, True)}
+    postings = {(fold, t): found for fold, grams in wanted.items() for t, found in inverted_index(texts, grams, fold).items()}
     found: list[list[list[tuple[int, int]]]] = [[[] for _ in rules] for _ in texts]
     for k, (rule, query) in enumerate(zip(rules, queries, strict=True)):
         if query is None:
@@ -129,6 +123,31 @@ def scan_block(texts: list[str], rules: tuple[Rule, ...]) -> list[list[list[tupl
     return found
 
 
+def inverted_index(texts: list[str], grams: list[str], fold: bool, piece: int = 1 << 22) -> dict[str, set[int]]:
+    """Postings of a block: for each of the trigrams the numbers of the texts that hold it. Bytes are read ``piece`` at a time."""
+    postings: dict[str, set[int]] = {t: set() for t in grams}
+    if not grams:
+        return postings
+    known = np.zeros(1 << 24, bool)
+    code_of = {(ord(t[0]) << 16) | (ord(t[1]) << 8) | ord(t[2]): t for t in grams}
+    known[list(code_of)] = True
+    lower = np.arange(256, dtype=np.int32)
+    if fold:
+        lower[ord("A") : ord("Z") + 1] += 32
+    # A line of zeros between texts keeps trigrams of two texts apart; no rule has a NUL.
+    encoded = [t.encode() for t in texts]
+    starts = np.cumsum([0] + [len(e) + 2 for e in encoded[:-1]])
+    raw = np.frombuffer(b"\0\0".join(encoded), np.uint8)
+    for at in range(0, len(raw), piece):
+        b = lower[raw[at : at + piece + 2]]
+        codes = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+        places = np.flatnonzero(known[codes])
+        docs = np.searchsorted(starts, places + at, side="right") - 1
+        for pair in np.unique((codes[places].astype(np.int64) << 32) | docs).tolist():
+            postings[code_of[pair >> 32]].add(pair & 0xFFFFFFFF)
+    return postings
+
+
 def _digest(found: list[list[tuple[int, int]]], rules: tuple[Rule, ...]) -> str:
     spans = sorted((start, k, end) for k, spans in enumerate(found) for start, end in spans)
     return ",".join(f"{rules[k].kind}:{start}:{end}" for start, k, end in spans)

@@ -8,6 +8,9 @@ Scale: one pass over the text for its size, then only (doc_id, size, checksum, s
 have ``n_slots`` rows whatever the input, so the driver may hold and broadcast them. A record's position in its shard is the
 start of its slot there plus its position in the slot, so no task orders more than one slot.
 
+Equal texts are spread like others: a group of copies that holds a third of all bytes cannot live in one of 24 equal shards, and the
+law kept here is that the shards' bytes are near equal.
+
 Defined cases: a null text has 0 bytes and checksum null, an empty one 0 bytes; a null doc_id is spread by its text;
 repeated rows go to the same slot at different positions; an empty table gives no rows; extra columns are ignored.
 """
