@@ -7,16 +7,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..scratch import Scratch
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, a column for each share): exact interpolated percentiles of a group, null values left out.
+
+    Equal values are counted first; the counts are dealt by range of (keys, value), and each range needs only the sum of the ranges
+    before it. So neither a group nor the whole table has to fit one task.
+    """
+    spark = df.sparkSession
+    scratch = Scratch(spark, "percentiles")
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = scratch.keep(counted.repartitionByRange(width, *keys, "_v").withColumn("_part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy(*keys, "_part").agg(F.sum("_c").alias("_s"))
+    group = Window.partitionBy(*keys)
+    sums = sums.withColumn("_before", F.sum("_s").over(group.orderBy("_part")) - F.col("_s")).withColumn("_n", F.sum("_s").over(group))
+    same = F.col("_part") == F.col("_p")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
+    starts = sums.select(F.col("_part").alias("_p"), "_before", "_n", *[F.col(k).alias(f"_k_{k}") for k in keys])
+    placed = ranged.join(starts, same)
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_v"))
+    placed = placed.withColumn("_upto", upto)
+    pick = lambda at: F.min(F.when(F.col("_upto") > at, F.col("_v")))
+    bounds = []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("_n") - 1)
+        bounds += [pick(F.floor(at)).alias(f"_lo_{name}"), pick(F.ceil(at)).alias(f"_hi_{name}"), F.first(at - F.floor(at)).alias(f"_w_{name}")]
+    found = placed.groupBy(*keys).agg(*bounds)
+    between = lambda name: (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_w_{name}")).alias(name)
+    return found.select(*keys, *[between(name) for name in shares])
+
 
 def daily_series(events: DataFrame, at: str, value: str, slow: Column) -> DataFrame:
     """(day, n, p50, p95, total, n_slow): a row for each UTC day of the range, zero where nothing happened."""
-    by_day = events.groupBy(F.to_date(at).alias("day")).agg(
-        F.count("*").alias("n"),
-        F.round(F.percentile(value, 0.5), 4).alias("p50"),
-        F.round(F.percentile(value, 0.95), 4).alias("p95"),
-        F.round(F.sum(value), 4).alias("total"),
-        F.count_if(slow).alias("n_slow"),
-    )
+    dated = events.withColumn("day", F.to_date(at))
+    by_day = dated.groupBy("day").agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"), F.count_if(slow).alias("n_slow"))
+    middle = percentiles(dated, ["day"], value, {"p50": 0.5, "p95": 0.95})
+    by_day = by_day.join(middle, "day", "left").select("day", "n", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), "total", "n_slow")
     span = by_day.agg(F.min("day").alias("a"), F.max("day").alias("b"))
     days = span.select(F.explode(F.sequence("a", "b")).alias("day"))
     return days.join(by_day, "day", "left").fillna(0, ["n", "total", "n_slow"])
@@ -53,9 +83,17 @@ def latest_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFram
 
 
 def not_retried(jobs: DataFrame, key: str, at: str, failed: Column) -> DataFrame:
-    """Failed rows after which no other row of the same key came."""
-    later = jobs.select(F.col(key).alias("_k"), F.col(at).alias("_at"))
-    return jobs.where(failed).join(later, (F.col(key) == F.col("_k")) & (F.col("_at") > F.col(at)), "left_anti")
+    """Failed rows after which no other row of the same key came: those as late as the last row of their key."""
+    last = jobs.groupBy(F.col(key).alias("_k")).agg(F.max(at).alias("_last"))
+    rows = jobs.where(failed).join(last, F.col(key) == F.col("_k"), "left")
+    return rows.where(F.coalesce(F.col("_last") <= F.col(at), F.lit(True))).drop("_k", "_last")
+
+
+def open_edges(edges: DataFrame, key: str, ends: list[str], closed: DataFrame) -> DataFrame:
+    """Edges of which neither end is closed; ``closed`` (id) lists what any of the tables that ends may name has closed."""
+    each = edges.select(F.col(key).alias("_e"), F.explode(F.array_distinct(F.array(*ends))).alias("_end"))
+    shut = each.join(closed.select(F.col("id").alias("_id")).distinct(), F.col("_end") == F.col("_id"), "left_semi").select("_e").distinct()
+    return edges.join(shut, F.col(key) == F.col("_e"), "left_anti")
 
 
 def regressions(runs: DataFrame, series: str, order: str, value: str, drop: float, floor: float) -> DataFrame:

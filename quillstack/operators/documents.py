@@ -19,9 +19,11 @@ CARD = r"\b[3-6][0-9](?:[ -]?[0-9]){11,17}\b"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b"
 PHONE = r"(?<![0-9])(?:\+33[ .-]?|0)[1-9](?:[ .-]?[0-9]{2}){4}(?![0-9])"
 SOCIAL = r"\b[12][ ]?[0-9]{2}[ ]?(?:0[1-9]|1[0-2])[ ]?(?:[0-9]{2}|2[AB])[ ]?[0-9]{3}[ ]?[0-9]{3}[ ]?[0-9]{2}\b"
-PERSON = r"\b(?:M\.|Mme|Mlle|Monsieur|Madame|Dr|Mr\.?|Mrs\.?|Ms\.?)\s+[A-ZÀ-Ý][\w'’-]+(?:\s+[A-ZÀ-Ý][\w'’-]+)?"
-#: Order in which overlapping finds win.
-PII = (("EMAIL", EMAIL), ("IBAN", IBAN), ("NIR", SOCIAL), ("CARD", CARD), ("PHONE", PHONE), ("IP", IPV4), ("PERSON", PERSON))
+#: Names after a civility, which itself stays.
+PERSON = r"(?<=\b(?:M\.|Mme|Mlle|Monsieur|Madame|Mademoiselle|Dr|Docteur|Pr|Mr|Mrs|Ms)[.]?\s)[A-ZÀ-Ý][\w'’-]+(?:\s+[A-ZÀ-Ý][\w'’-]+)?"
+#: The order in which overlapping finds win, and the types that make a content sensitive.
+PII = (("IBAN", IBAN), ("CARD", CARD), ("NIR", SOCIAL), ("EMAIL", EMAIL), ("PHONE", PHONE), ("IP", IPV4), ("PERSON", PERSON))
+SENSITIVE = ("IBAN", "CARD", "NIR")
 
 
 def luhn(digits: Column) -> Column:
@@ -50,11 +52,10 @@ def pii_spans(text: Column) -> Column:
     """array<struct<start,end,type,value>> of valid finds without overlaps: an earlier type of the list, then the longer one, wins."""
 
     def of(kind: str, pattern: str, rank: int) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
         valid = {"CARD": luhn, "IBAN": iban_ok, "NIR": social_ok}.get(kind)
-        found = F.filter(found, valid) if valid else found
-        places = F.flatten(F.transform(found, lambda v: F.transform(_occurrences(text, v), lambda at: F.struct(F.lit(rank).alias("rank"), (-F.length(v)).alias("short"), at.alias("start"), (at + F.length(v)).alias("end"), F.lit(kind).alias("type"), v.alias("value")))))
-        return places
+        found = _places(text, pattern)
+        found = F.filter(found, lambda m: F.coalesce(valid(m["value"]), F.lit(False))) if valid else found
+        return F.transform(found, lambda m: F.struct(F.lit(rank).alias("rank"), (-F.length(m["value"])).alias("short"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"), F.lit(kind).alias("type"), m["value"].alias("value")))
 
     every = F.array_sort(F.concat(*[of(kind, pattern, rank) for rank, (kind, pattern) in enumerate(PII)]))
     empty = F.filter(every, lambda s: F.lit(False))
@@ -62,16 +63,23 @@ def pii_spans(text: Column) -> Column:
     return F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), s["value"].alias("value"))))
 
 
-def _occurrences(text: Column, value: Column) -> Column:
-    """0-based starts of all occurrences of a value."""
-    pieces = F.split(text, F.concat(F.lit(r"\Q"), value, F.lit(r"\E")))
-    sizes = F.transform(pieces, lambda p: F.length(p))
+def has_sensitive(text: Column) -> Column:
+    """Whether a text holds a valid account, card or social number."""
+    found = lambda pattern, valid: F.exists(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), valid)
+    return found(IBAN, iban_ok) | found(CARD, luhn) | found(SOCIAL, lambda n: F.coalesce(social_ok(n), F.lit(False)))
 
-    def starts(n: Column) -> Column:
-        before = F.slice(n, F.lit(1), F.size(n) - 1)
-        return F.transform(before, lambda _, i: F.aggregate(F.slice(n, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b) + i * F.length(value))
 
-    return let(sizes, starts)
+def _places(text: Column, pattern: str) -> Column:
+    """array<struct<start, value>> of a pattern's matches: what splits a text and what is split out of it take turns."""
+    between, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        at = acc["at"] + F.length(pair["between"])
+        return F.struct((at + F.length(pair["found"])).alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), pair["found"].alias("value")))).alias("out"))
+
+    pairs = F.filter(F.arrays_zip(between.alias("between"), found.alias("found")), lambda p: p["found"].isNotNull())
+    return F.aggregate(pairs, start, step)["out"]
 
 
 def redact_simple(text: Column) -> Column:

@@ -35,12 +35,18 @@ def clearance(*levels: Column) -> Column:
 
 
 def merge_acls(df: DataFrame, key: str, acl: str, level: str) -> DataFrame:
-    """Derived rights: the principals that all sources' lists have, and the highest level. Missing lists set no limit."""
-    total = df.groupBy(key).agg(F.count(acl).alias("_n"), F.max(level).alias("level"))
-    held = df.select(F.col(key).alias("_key"), F.explode(F.array_distinct(acl)).alias("_p")).groupBy("_key", "_p").agg(F.count("*").alias("_c"))
+    """Derived rights: the principals that all restricted sources' lists have, and the highest level.
+
+    A list with project:* and an empty or missing one do not narrow access; without a restricted list everybody in the project may
+    read. Principals are counted for each group, so that no list of a group is left out and none has to fit a row with the others.
+    """
+    narrow = F.coalesce((F.size(acl) > 0) & ~F.array_contains(acl, "project:*"), F.lit(False))
+    total = df.groupBy(key).agg(F.count_if(narrow).alias("_n"), F.max(level).alias("level"))
+    held = df.where(narrow).select(F.col(key).alias("_key"), F.explode(F.array_distinct(acl)).alias("_p")).groupBy("_key", "_p").agg(F.count("*").alias("_c"))
     shared = held.join(total.select(key, "_n"), F.col("_key").eqNullSafe(F.col(key)) & (F.col("_c") == F.col("_n"))).groupBy("_key").agg(F.array_sort(F.collect_list("_p")).alias("_acl"))
     merged = total.join(shared, F.col(key).eqNullSafe(F.col("_key")), "left")
-    return merged.select(key, F.coalesce("_acl", F.array().cast("array<string>")).alias("acl"), "level")
+    everybody = F.when(F.col("_n") == 0, F.array(F.lit("project:*"))).otherwise(F.array().cast("array<string>"))
+    return merged.select(key, F.coalesce("_acl", everybody).alias("acl"), "level")
 
 
 def access_scope(acl: Column) -> Column:

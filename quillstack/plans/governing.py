@@ -33,7 +33,7 @@ def acl_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merge_acl(spark: SparkSession, sf: str) -> DataFrame:
-    rows = candidates(spark, sf).withColumn("grp", F.col("doc_id") % 50).select("grp", F.array_append("acl", F.lit("project:*")).alias("acl"), "level")
+    rows = candidates(spark, sf).withColumn("grp", F.col("doc_id") % 50).select("grp", F.when(F.col("doc_id") % 3 == 0, F.array_append("acl", F.lit("role:viewer"))).otherwise(F.col("acl")).alias("acl"), "level")
     merged = g.merge_acls(rows, "grp", "acl", "level")
     return merged.select("grp", F.array_join("acl", ",").alias("acl"), F.col("level").cast("long").alias("level"))
 
@@ -75,9 +75,11 @@ ORACLES = {
     "inclusions_by_type": f"WITH {CANDIDATES}, {_V} SELECT candidate_type || ':' || CASE WHEN candidate_type = 'memory' THEN kind ELSE source_kind END AS type_kind, count(*) AS n FROM v WHERE reason_code IS NULL GROUP BY 1",
     "acl_overlap": f"""WITH {CANDIDATES} SELECT doc_id, list_has_any(acl, ['project:*', 'user:1', 'role:editor', 'role:viewer']) AS allowed,
       CASE WHEN list_contains(acl, 'project:*') THEN 'project' ELSE 'restricted' END AS access_scope, CAST(least(level, 2) AS INTEGER) AS effective FROM c""",
-    "merge_acl": f"""WITH {CANDIDATES}, x AS (SELECT doc_id % 50 AS grp, level, doc_id, unnest(list_distinct(list_append(acl, 'project:*'))) AS p FROM c),
-      n AS (SELECT doc_id % 50 AS grp, count(*) AS n, max(level) AS level FROM c GROUP BY 1), k AS (SELECT grp, p, count(*) AS m FROM x GROUP BY 1, 2)
-      SELECT n.grp, string_agg(p, ',' ORDER BY p) AS acl, any_value(level) AS level FROM n JOIN k ON k.grp = n.grp AND k.m = n.n GROUP BY 1""",
+    "merge_acl": f"""WITH {CANDIDATES}, a AS (SELECT doc_id % 50 AS grp, level, CASE WHEN doc_id % 3 = 0 THEN list_append(acl, 'role:viewer') ELSE acl END AS acl FROM c),
+      r AS (SELECT grp, list_distinct(acl) AS acl FROM a WHERE len(acl) > 0 AND NOT list_contains(acl, 'project:*')),
+      n AS (SELECT grp, max(level) AS level FROM a GROUP BY 1), m AS (SELECT grp, count(*) AS m FROM r GROUP BY 1),
+      k AS (SELECT grp, p, count(*) AS c FROM (SELECT grp, unnest(acl) AS p FROM r) GROUP BY 1, 2), s AS (SELECT grp, string_agg(p, ',' ORDER BY p) AS acl FROM k JOIN m USING (grp) WHERE k.c = m.m GROUP BY 1)
+      SELECT n.grp, CASE WHEN m.m IS NULL THEN 'project:*' ELSE coalesce(s.acl, '') END AS acl, level FROM n LEFT JOIN m USING (grp) LEFT JOIN s USING (grp)""",
     "redaction_projection": f"WITH {CANDIDATES} SELECT doc_id, CAST(level AS INTEGER) AS level, CASE WHEN level <= 1 THEN kind END AS kind, CASE WHEN level <= 1 THEN source_kind END AS source_kind FROM c",
     "hidden_targets": "SELECT event_id, NOT coalesce(c_acctbal > 0, false) AS hidden FROM events LEFT JOIN customer ON c_custkey = user_id",
     "acl_parsing": "SELECT event_id, 'user:' || user_id || '|role:viewer' AS acl FROM events",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import documents as d
 from ..operators import duplicates
+from ..scratch import shared_root
 from ..sources import readers
 from ..streaming import windows
 from .common import seconds, table
@@ -45,7 +46,7 @@ def pii_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 def classify_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
-    level = d.classify(text, (F.col("doc_id") % 3).cast("int"), F.lit(1), text.rlike(d.EMAIL))
+    level = d.classify(text, (F.col("doc_id") % 3).cast("int"), F.lit(1), d.has_sensitive(text))
     return table(spark, sf, "documents").select("doc_id", level.cast("int").alias("level"))
 
 
@@ -119,10 +120,7 @@ def trace_export(spark: SparkSession, sf: str) -> DataFrame:
 
 def _drained(stream: DataFrame, spark: SparkSession) -> DataFrame:
     """Runs a stream over all there is, into a table in the shared folder, and reads it."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillstack-')}"
-    base = f"{root}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -155,6 +153,9 @@ ORACLES = {
       u AS (SELECT min(doc_id) AS id, s FROM s GROUP BY s), f AS (SELECT id, len(s) AS n, unnest(s) AS g FROM u),
       p AS (SELECT x.id AS a, y.id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c FROM f x JOIN f y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)
       SELECT a, b, round(c / (na + nb - c), 6) AS jaccard FROM p WHERE c * 100 >= (na + nb - c) * 80""",
+    "near_dup_classes": f"""WITH w AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[a-z0-9]+') AS w FROM documents),
+      s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS s FROM w WHERE len(w) > 0)
+      SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id FROM s""",
     "pii_counts": f"""SELECT doc_id, len(regexp_extract_all(text, '{_EMAIL}')) AS emails, len(regexp_extract_all(text, '{_IP}')) AS addresses,
       md5(regexp_replace(regexp_replace(text, '{_EMAIL}', '[EMAIL]', 'g'), '{_IP}', '[IP]', 'g')) AS redacted_md5 FROM documents""",
     "pii_luhn": f"""WITH c AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{d.CARD}'))) AS card FROM documents), r AS (SELECT doc_id, card, reverse(regexp_replace(card, '[^0-9]', '', 'g')) AS n FROM c)
@@ -163,7 +164,7 @@ ORACLES = {
       len(list_filter(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1), lambda c: length(trim(c)) >= 12)) AS comments FROM pages""",
     "html_title": "SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages",
     "token_estimate": f"SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(ceil(length(text) / 3.8) AS BIGINT)) END AS tokens, len(regexp_extract_all({_FOLD}, '[a-z0-9]+')) AS words, md5({_FOLD}) AS folded FROM documents",
-    "term_stats": f"""WITH w AS (SELECT lang, unnest(regexp_extract_all({_FOLD}, '[a-z0-9]+')) AS w FROM documents),
+    "term_stats": f"""WITH w AS (SELECT lang, regexp_replace(unnest(regexp_extract_all({_FOLD}, '{tx.ELIDED_WORD.replace("'", "''")}')), '{tx.ELISION.replace("'", "''")}', '') AS w FROM documents),
       k AS (SELECT lang, w FROM w WHERE (length(w) >= 3 OR regexp_full_match(w, '[0-9]+')) AND w NOT IN ({', '.join(f"'{x}'" for x in tx.STOPWORDS)}))
       SELECT lang, substr(CASE WHEN length(w) > 4 AND regexp_matches(w, '[sx]$') THEN substr(w, 1, length(w) - 1) ELSE w END, 1, 6) AS term, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) >= 50""",
     "ingest_actions": """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'create' WHEN doc_id % 10 = 1 THEN 'refused' WHEN doc_id % 3 <> 0 THEN 'metadata_only' ELSE 'new_version' END AS action,

@@ -120,9 +120,13 @@ ORACLES = {
     "forget_propagation": """SELECT l_orderkey AS lineage, CASE WHEN bool_and(l_suppkey % 3 = 0) THEN 'forget' ELSE 'weaken' END AS action, CASE WHEN bool_and(l_suppkey % 3 = 0) THEN CAST(0.0 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS factor
       FROM lineitem GROUP BY 1 HAVING bool_or(l_suppkey % 3 = 0)""",
     "promotion": "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-01' GROUP BY 1 HAVING count(*) >= 5",
-    "poisoning_burst": "SELECT user_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 8",
-    "contradiction_clusters": """WITH RECURSIVE p AS (SELECT min(l_partkey) AS a, max(l_partkey) AS b FROM lineitem WHERE l_quantity >= 49 GROUP BY l_orderkey HAVING min(l_partkey) <> max(l_partkey)),
-      e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(id, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id) SELECT id, min(root) AS root FROM r GROUP BY 1""",
+    "poisoning_burst": """WITH w AS (SELECT DISTINCT user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 24 HOURS FOLLOWING) AS n FROM events)
+      SELECT user_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS window_start, n FROM w WHERE n >= 8""",
+    # The smallest label of a vertex and its neighbours, 20 times over: the parts of all orders are near each other.
+    "contradiction_clusters": """WITH RECURSIVE p AS (SELECT DISTINCT l_partkey AS b, min(l_partkey) OVER (PARTITION BY l_orderkey) AS a FROM lineitem), e AS (SELECT a, b FROM p WHERE a <> b UNION SELECT b, a FROM p WHERE a <> b),
+      r(id, root, n) AS (SELECT a, least(a, min(b)), 0 FROM e GROUP BY a
+        UNION ALL SELECT id, root, n + 1 FROM (SELECT e.a AS id, least(x.root, min(r.root)) AS root, any_value(r.n) AS n FROM e JOIN r ON r.id = e.b JOIN r x ON x.id = e.a GROUP BY e.a, x.root) WHERE n < 20)
+      SELECT id, min(root) AS root FROM r GROUP BY 1""",
     "monthly_reflection": """WITH x AS (SELECT user_id AS lineage, event_type AS event, CASE WHEN event_type IN ('error', 'signup') THEN 'lifecycle' ELSE 'usage' END AS section, max(ts) AS last_at FROM events WHERE strftime(ts, '%Y-%m') = '2024-01' GROUP BY 1, 2, 3)
       SELECT section, lineage, event, n FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY last_at DESC, lineage, event) AS n FROM x) WHERE n <= 25""",
 }

@@ -191,7 +191,7 @@ QUERIES = {f.__name__: f for f in (bm25_topk, knn_topk, term_overlap_topk, rrf_f
 ORACLES = {
     "bm25_topk": f"WITH {_BM25} SELECT item_id, doc_id, score, rnk FROM bm",
     "knn_topk": """WITH s AS (SELECT a.vec_id, b.vec_id AS candidate, round(greatest(0, least(1, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 5) AS score
-      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 10)
+      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
       SELECT * FROM (SELECT vec_id, candidate, score, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, candidate) AS rnk FROM s) WHERE rnk <= 10""",
     "term_overlap_topk": f"WITH {_BM25} SELECT item_id, doc_id, score, rnk FROM ov",
     "rrf_fusion": f"WITH {_BM25} SELECT item_id, doc_id, rrf, best_rank, rrf_norm, position FROM fu",

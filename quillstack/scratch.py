@@ -12,10 +12,12 @@ _own_roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where it is unset and all tasks run in this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="quillstack-")
