@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import governing, measuring, processing, remembering, retrieval
+from .plans import answering, governing, ingesting, living, measuring, processing, remembering, retrieval
 
-MODULES = (retrieval, governing, remembering, measuring, processing)
+MODULES = (retrieval, governing, remembering, living, answering, measuring, processing, ingesting)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

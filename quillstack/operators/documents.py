@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.text import STOPWORDS, fold, let, sentences, words
+from ..functions.text import STOPWORDS, fold, let, normalise_document, sentences, words
 
 #: Personal data that a pattern alone recognises.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -122,12 +122,13 @@ INJECTION = (
 QUARANTINE = 0.6
 
 
-def injection_score(text: Column, hidden: Column) -> Column:
-    """1 less the product of what every sign leaves; hidden text counts 0.4."""
+def injection_score(text: Column, hidden: Column, classifier: Callable[[Column], Column] | None = None) -> Column:
+    """1 less the product of what every sign leaves; hidden text counts 0.4. ``classifier``: a further score from 0 to 1, if higher."""
     low, left = fold(text), F.lit(1.0)
     for _, pattern, weight in INJECTION:
         left = left * F.when(low.rlike(pattern), 1 - weight).otherwise(1.0)
-    return F.round(1 - left * F.when(hidden, 0.6).otherwise(1.0), 4)
+    score = 1 - left * F.when(hidden, 0.6).otherwise(1.0)
+    return F.round(F.greatest(score, classifier(text)) if classifier else score, 4)
 
 
 def hidden_counts(html: Column) -> tuple[Column, Column, Column]:
@@ -280,3 +281,42 @@ def session_summary(turns: DataFrame, most: int = 8) -> DataFrame:
     first = (F.col("role") == "user") & (F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn", "i")) == 1)
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("first"), F.desc("score"), "turn", "i"))
     return rows.withColumn("score", score).withColumn("first", first).withColumn("at", rank).where(F.col("at") <= most).select("conv_id", "turn", "i", "sentence", "score")
+
+
+#: What minutes of a meeting call themselves, on folded text.
+MEETING = r"\b(compte[ -]rendu|proces[ -]verbal|reunion|comite|sprint review|meeting|minutes of)\b"
+
+
+def is_meeting(title: Column, text: Column) -> Column:
+    return F.coalesce(fold(F.concat_ws("\n", title, text)).rlike(MEETING), F.lit(False))
+
+
+def ingest(documents: DataFrame, key: str, text: str = "text", default_level: int = 1) -> DataFrame:
+    """(key, ordinal, section, text, level, quarantined, preamble) of new documents, one row for each chunk.
+
+    The steps of an ingestion in turn: regular text, personal data replaced, level, chunks, injection signs, context line. What is to
+    be embedded follows from ``functions.vectors.embedding_input``.
+    """
+    regular = documents.select(key, normalise_document(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    marked = regular.select(key, "t", pii_spans(F.col("t")).alias("spans"))
+    judged = marked.select(key, redact(F.col("t"), F.col("spans")).alias("text"), classify(F.col("t"), F.lit(0), F.lit(default_level), F.exists("spans", lambda s: s["type"].isin(*SENSITIVE))).alias("level"))
+    levels = judged.select(F.col(key).alias("_k"), "level")
+    chunks = chunk(judged, key).join(levels, F.col(key) == F.col("_k")).drop("_k")
+    score = injection_score(F.col("text"), F.lit(False))
+    line = preamble(F.lit(None).cast("string"), F.nullif(F.col("section"), F.lit("")), F.lit(None).cast("string"), F.lit(None).cast("date"), F.array().cast("array<string>"))
+    return chunks.select(key, "ordinal", "section", "text", "level", (score >= QUARANTINE).alias("quarantined"), line.alias("preamble"))
+
+
+def reindex_plan(chunks: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(project, missing): projects with chunks that lack their context line and no re-index job that waits or runs."""
+    lacking = chunks.where(F.col("preamble").isNull()).groupBy("project").agg(F.count("*").alias("missing"))
+    return lacking.join(jobs.where(F.col("status").isin("pending", "running")).select("project"), "project", "left_anti")
+
+
+def forget_documents(chunks: DataFrame, forgotten: DataFrame, document: str = "document") -> tuple[DataFrame, DataFrame]:
+    """The chunks with the text of forgotten documents removed, and a tombstone (document, chunks, digest) for each of these."""
+    gone = forgotten.select(F.col(document).alias("_d")).distinct()
+    rows = chunks.join(gone, F.col(document) == F.col("_d"), "left")
+    left = rows.withColumns({"text": F.when(F.col("_d").isNull(), F.col("text")), "status": F.when(F.col("_d").isNull(), F.col("status")).otherwise("forgotten")}).drop("_d")
+    stones = rows.where(F.col("_d").isNotNull()).groupBy(document).agg(F.count("*").alias("chunks"), F.sha2(F.array_join(F.array_sort(F.collect_set(F.sha2("text", 256))), ","), 256).alias("digest"))
+    return left, stones

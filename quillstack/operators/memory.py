@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -149,14 +151,14 @@ def divergence(a: Column, b: Column) -> Column:
     return F.filter(marks, lambda m: m.isNotNull())
 
 
-def relate(pairs: DataFrame) -> DataFrame:
+def relate(pairs: DataFrame, judge: Callable[[Column, Column], Column] = divergence) -> DataFrame:
     """(a, b, relation, similarity) of statement pairs a (older), b: supersedes, contradicts, duplicates or none.
 
-    pairs: a, b, text_a, text_b, both_decisions, hours_apart, cosine.
+    pairs: a, b, text_a, text_b, both_decisions, hours_apart, cosine. ``judge`` gives the marks of difference of two texts.
     """
     similarity = F.greatest(F.coalesce("cosine", F.lit(0.0)), dice(topic_terms(F.col("text_a")), topic_terms(F.col("text_b"))))
     alike = dice(content_terms(F.col("text_a")), content_terms(F.col("text_b")))
-    rows = pairs.withColumn("similarity", F.round(similarity, 6)).withColumn("marks", divergence(F.col("text_a"), F.col("text_b")))
+    rows = pairs.withColumn("similarity", F.round(similarity, 6)).withColumn("marks", judge(F.col("text_a"), F.col("text_b")))
     replaced = F.lower("text_b").rlike(r"plut[oô]t qu|au lieu d|à la place d|en remplacement d|remplace|instead of|replaces")
     newer = F.col("both_decisions") & (F.col("hours_apart") >= 1)
     relation = (

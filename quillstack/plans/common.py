@@ -72,3 +72,39 @@ CANDIDATES = """c AS (SELECT doc_id, CASE WHEN doc_id % 5 < 3 THEN 'chunk' WHEN
   ['decision', 'fact', 'risk'][(doc_id % 3) + 1] AS kind, TIMESTAMP '2024-06-30' - to_days(CAST(doc_id % 400 AS INTEGER)) AS date,
   CASE WHEN doc_id % 13 = 0 THEN TIMESTAMP '2024-06-01' END AS valid_to, CASE WHEN doc_id % 17 = 0 THEN TIMESTAMP '2024-06-15' END AS expires_at,
   doc_id % 19 = 0 AS pinned, (doc_id % 100) / 100 AS score FROM documents)"""
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as memory items: a customer's orders are the versions of one lineage."""
+    k = F.col("o_orderkey")
+    pick = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(k, F.lit(n)) + 1).cast("int"))
+    version = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return table(spark, sf_dir, "orders").select(
+        k.alias("id"),
+        F.col("o_custkey").alias("lineage"),
+        version.cast("long").alias("version"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        pick(7, "decision", "fact", "constraint", "risk", "preference", "requirement", "summary").alias("kind"),
+        pick(5, "validated", "proposed", "superseded", "validated", "obsolete").alias("status"),
+        F.pmod(k, F.lit(4)).alias("level"),
+        (F.pmod(k, F.lit(10)) / 10).alias("confidence"),
+        pick(3, "project", "short_term", "long_term").alias("scope"),
+        F.col("o_orderpriority").alias("title"),
+    )
+
+
+ITEMS = """i AS (SELECT o_orderkey AS id, o_custkey AS lineage, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, o_orderdate AS created_at,
+  ['decision', 'fact', 'constraint', 'risk', 'preference', 'requirement', 'summary'][(o_orderkey % 7) + 1] AS kind, ['validated', 'proposed', 'superseded', 'validated', 'obsolete'][(o_orderkey % 5) + 1] AS status,
+  o_orderkey % 4 AS level, (o_orderkey % 10) / 10 AS confidence, ['project', 'short_term', 'long_term'][(o_orderkey % 3) + 1] AS scope, o_orderpriority AS title FROM orders),
+cur AS (SELECT * FROM (SELECT *, max(version) OVER (PARTITION BY lineage) AS newest FROM i) WHERE version = newest)"""
+
+
+def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as evidence of items: the part is the document, the supplier its source."""
+    trust = F.when(F.col("l_suppkey") % 3 == 0, "low").when(F.col("l_suppkey") % 3 == 1, "medium").otherwise("high")
+    kind = F.when(F.col("l_suppkey") % 2 == 0, "wiki").otherwise("mail")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("document"), F.concat_ws(":", "l_partkey", "l_linenumber").alias("chunk"), kind.alias("source_kind"), trust.alias("trust"))
+
+
+PROVENANCE = """pv AS (SELECT l_orderkey AS item, l_partkey AS document, l_partkey || ':' || l_linenumber AS chunk, CASE WHEN l_suppkey % 2 = 0 THEN 'wiki' ELSE 'mail' END AS source_kind,
+  ['low', 'medium', 'high'][(l_suppkey % 3) + 1] AS trust FROM lineitem)"""
