@@ -58,7 +58,7 @@ def pii_spans(text: Column) -> Column:
         return F.transform(found, lambda m: F.struct(F.lit(rank).alias("rank"), (-F.length(m["value"])).alias("short"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"), F.lit(kind).alias("type"), m["value"].alias("value")))
 
     every = F.array_sort(F.concat(*[of(kind, pattern, rank) for rank, (kind, pattern) in enumerate(PII)]))
-    empty = F.filter(every, lambda s: F.lit(False))
+    empty = F.array().cast("array<struct<rank:int,short:int,start:int,end:int,type:string,value:string>>")
     kept = F.aggregate(every, empty, lambda acc, s: F.when(F.exists(acc, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])), acc).otherwise(F.concat(acc, F.array(s))))
     return F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), s["value"].alias("value"))))
 
@@ -248,7 +248,7 @@ def salient(documents: DataFrame, key: str, text: str = "text", k: int = 5) -> D
 
 def preamble(title: Column, section: Column, source: Column, date: Column, entities: Column) -> Column:
     """One line of context put before a chunk."""
-    parts = [F.concat(F.lit("Document: "), title), F.concat(F.lit("Section: "), section), F.concat(F.lit("Source: "), source), F.concat(F.lit("Date: "), F.date_format(date, "yyyy-MM-dd")), F.concat(F.lit("About: "), F.array_join(entities, ", "))]
+    parts = [F.concat(F.lit("Document: "), title), F.concat(F.lit("Section: "), section), F.concat(F.lit("Source: "), source), F.concat(F.lit("Date: "), F.date_format(date, "yyyy-MM-dd")), F.concat(F.lit("About: "), F.nullif(F.array_join(entities, ", "), F.lit("")))]
     return F.concat_ws(" | ", *parts)
 
 

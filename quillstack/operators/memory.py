@@ -191,24 +191,44 @@ def cluster_report(items: DataFrame, edges: DataFrame) -> DataFrame:
     return members.join(per_edge, "root").select("root", "size", "n_edges", F.when(F.col("critical"), "critical").otherwise("review").alias("severity"), "keep")
 
 
-def alias_suggestions(entities: DataFrame, key: str, name: str) -> DataFrame:
-    """(a, b, score, reason): names that may mean one thing. Blocked by shared word, form or acronym, never all pairs.
+def alias_suggestions(entities: DataFrame, key: str, name: str, least: float = 0.6) -> DataFrame:
+    """(a, b, score, reason): names that may mean one thing; equal forms are one class, named by its smallest key.
 
-    Equal form 1.0, acronym 0.9, containment 0.75, Dice of the words at least 0.6.
+    Equal form 1.0 (class and member), and between classes: acronym 0.9, containment 0.75, Dice of the words at least ``least``.
+    Classes meet by equal acronym and form, by the rarest word of a form that another may contain, and by a prefix of their words in
+    order of rarity, which two sets at the threshold share: a word that everything has brings nothing together.
     """
-    rows = entities.select(F.col(key).alias("id"), squeeze(fold(F.col(name))).alias("form")).withColumn("t", content_terms(F.col("form"))).withColumn("short", acronym(F.col("form")))
-    blocks = F.concat(F.transform("t", lambda x: F.concat(F.lit("t:"), x)), F.array(F.concat(F.lit("f:"), F.replace(F.col("form"), F.lit(" "), F.lit("")))), F.when(F.size("t") > 1, F.array(F.concat(F.lit("f:"), F.col("short")))).otherwise(F.array().cast("array<string>")))
-    blocked = rows.withColumn("block", F.explode(F.array_distinct(blocks)))
-    l, r = blocked.alias("l"), blocked.alias("r")  # noqa: E741
-    pairs = l.join(r, (F.col("l.block") == F.col("r.block")) & (F.col("l.id") < F.col("r.id")))
-    flat = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    same = F.col("l.form") == F.col("r.form")
-    short = (flat("l.form") == F.col("r.short")) & (F.size("r.t") > 1) | (flat("r.form") == F.col("l.short")) & (F.size("l.t") > 1)
-    within = F.concat(F.lit(" "), F.col("l.form"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("r.form"), F.lit(" "))) | F.concat(F.lit(" "), F.col("r.form"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("l.form"), F.lit(" ")))
-    like = F.round(dice(F.col("l.t"), F.col("r.t")), 4)
-    reason = F.when(same, "form").when(short, "acronym").when(within, "containment").when(like >= 0.6, "lexical")
-    score = F.when(same, 1.0).when(short, 0.9).when(within, 0.75).otherwise(like)
-    return pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), score.alias("score"), reason.alias("reason")).where(F.col("reason").isNotNull()).distinct()
+    scratch = Scratch(entities.sparkSession, "aliases")
+    named = entities.select(F.col(key).alias("id"), squeeze(fold(F.col(name))).alias("form")).where(F.col("form") != "")
+    classes = named.groupBy("form").agg(F.min("id").alias("id"))
+    same = named.join(classes.withColumnRenamed("id", "a"), "form").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"), F.lit(1.0).alias("score"), F.lit("form").alias("reason"))
+    flat = F.replace(F.col("form"), F.lit(" "), F.lit(""))
+    rows = scratch.keep(classes.select("id", "form", content_terms(F.col("form")).alias("t"), acronym(F.col("form")).alias("short"), flat.alias("flat"), F.array_distinct(F.split("form", " ")).alias("w")), "classes")
+
+    def by_rarity(column: str) -> DataFrame:
+        each = rows.select("id", F.size(column).alias("n"), F.explode(column).alias("word"))
+        often = each.groupBy("word").agg(F.count("*").alias("df"))
+        return each.join(often, "word").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        l, r = left.toDF("x", "k"), right.toDF("y", "j")  # noqa: E741
+        return l.join(r, (F.col("k") == F.col("j")) & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    shorts = rows.where(F.size("t") > 1).select("id", "short")
+    words_of = rows.select("id", F.explode("w").alias("word"))
+    rarest = by_rarity("w").select("id", F.col("o")[0]["word"].alias("word"))
+    head = (F.col("n") - F.ceil(F.col("n") * least / (2 - least)) + 1).cast("int")
+    prefix = by_rarity("t").select("id", F.explode(F.transform(F.slice("o", F.lit(1), head), lambda e: e["word"])).alias("word"))
+    met = meet(shorts, rows.select("id", "flat")).unionByName(meet(rarest, words_of)).unionByName(meet(prefix, prefix)).distinct()
+    side = lambda n: rows.select(F.col("id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("form", "t", "short", "flat")])
+    pairs = met.join(side("a"), "a").join(side("b"), "b")
+    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    short = ((F.col("a_flat") == F.col("b_short")) & (F.size("b_t") > 1)) | ((F.col("b_flat") == F.col("a_short")) & (F.size("a_t") > 1))
+    within = padded("a_form").contains(padded("b_form")) | padded("b_form").contains(padded("a_form"))
+    like = F.round(dice(F.col("a_t"), F.col("b_t")), 4)
+    reason = F.when(short, "acronym").when(within, "containment").when(like >= least, "lexical")
+    score = F.when(short, 0.9).when(within, 0.75).otherwise(like)
+    return same.unionByName(pairs.select("a", "b", score.alias("score"), reason.alias("reason")).where(F.col("reason").isNotNull()))
 
 
 def reflect(events: DataFrame, month: str, per_section: int = 25) -> DataFrame:

@@ -127,7 +127,7 @@ def _drained(stream: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def stream_daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Event-time days closed by the watermark; the last day stays open."""
+    """Event-time days that the watermark has closed; the last day may still grow and stays in the state."""
     raw = table(spark, sf, "events")
     stream = windows.event_stream(spark, f"{sf}/events.parquet*", raw.schema, "ts", late="0 seconds")
     rows = _drained(windows.daily(stream, "ts", "value"), spark)
@@ -135,7 +135,7 @@ def stream_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions closed by the watermark, two hours apart."""
+    """Sessions of events less than two hours apart that the watermark has closed; what may still grow stays in the state."""
     raw = table(spark, sf, "events")
     stream = windows.event_stream(spark, f"{sf}/events.parquet*", raw.schema, "ts", late="0 seconds").withColumn("level", F.lit(1))
     return _drained(windows.coalesce_served(stream, ["user_id"], "ts", "2 hours"), spark).select("user_id", F.unix_micros("started").alias("started"), "n")
@@ -173,6 +173,16 @@ ORACLES = {
     "import_mapping": """SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS title, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS date, o_orderstatus || '|urgent' AS tags, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END AS classification FROM orders""",
     "trace_export": """WITH d AS (SELECT l_orderkey, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)
       SELECT o_orderkey AS request_id, coalesce(n, 0) AS decisions, coalesce(r, 0) AS feedback, coalesce(parts, 0) AS parts FROM orders LEFT JOIN d ON l_orderkey = o_orderkey""",
+    "stream_sessions": """WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events), s AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 7200000000 THEN 0 ELSE 1 END AS b FROM e),
+      g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM s), x AS (SELECT user_id, min(t) AS started, max(t) AS ended, count(*) AS n FROM g GROUP BY user_id, k)
+      SELECT user_id, started, n FROM x WHERE ended + 7200000000 <= (SELECT max(t) FROM e)""",
+    "classify_sensitivity": f"""WITH t AS (SELECT doc_id, {_FOLD} AS low, list_filter(regexp_extract_all(text, '{d.CARD}'), lambda c: list_sum(list_transform(range(1, length(regexp_replace(c, '[^0-9]', '', 'g')) + 1), lambda i: CASE
+        WHEN i % 2 = 1 THEN CAST(reverse(regexp_replace(c, '[^0-9]', '', 'g'))[i] AS INTEGER) WHEN CAST(reverse(regexp_replace(c, '[^0-9]', '', 'g'))[i] AS INTEGER) > 4 THEN CAST(reverse(regexp_replace(c, '[^0-9]', '', 'g'))[i] AS INTEGER) * 2 - 9 ELSE CAST(reverse(regexp_replace(c, '[^0-9]', '', 'g'))[i] AS INTEGER) * 2 END)) % 10 = 0) AS cards FROM documents)
+      SELECT doc_id, CAST(greatest(doc_id % 3, 1, CASE WHEN regexp_matches(low, '{d.MARKED_SECRET}') THEN 3 WHEN regexp_matches(low, '{d.MARKED_CONFIDENTIAL}') THEN 2 ELSE 0 END,
+        CASE WHEN {' + '.join(f"CASE WHEN regexp_matches(low, '{p}') THEN {w} ELSE 0 END" for p, w in d.TOPICS)} >= 3 THEN 2 ELSE 0 END, CASE WHEN len(cards) > 0 THEN 2 ELSE 0 END) AS INTEGER) AS level FROM t""",
+    "injection_score": f"""WITH t AS (SELECT page_id, {_FOLD.replace('text', 'html')} AS low, len(regexp_extract_all(html, '[\\x{{200B}}-\\x{{200F}}\\x{{2060}}\\x{{FEFF}}]')) + len(regexp_extract_all(html, '(?i)<[a-z0-9]+[^>]*(display\\s*:\\s*none|visibility\\s*:\\s*hidden|aria-hidden\\s*=\\s*.?true)[^>]*>'))
+        + len(list_filter(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1), lambda c: length(trim(c)) >= 12)) AS hidden FROM pages),
+      s AS (SELECT page_id, round(1 - {' * '.join(f"CASE WHEN regexp_matches(low, '{p}') THEN {1 - w} ELSE 1.0 END" for _, p, w in d.INJECTION)} * CASE WHEN hidden > 0 THEN 0.6 ELSE 1.0 END, 4) AS score FROM t) SELECT page_id, CAST(score AS DOUBLE) AS score, score >= 0.6 AS quarantined FROM s""",
     "stream_daily": """WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1)
       SELECT * FROM d WHERE day < (SELECT max(day) FROM d)""",
 }

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.text import STOPWORDS
+from ..operators import duplicates
 from ..operators import memory as m
 from .common import LINEAGES, events, lineages, seconds, table
 
@@ -79,14 +83,18 @@ def contradiction_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entity_aliases(spark: SparkSession, sf: str) -> DataFrame:
-    names = spark.createDataFrame([(1, "Service des Urgences"), (2, "service des urgences"), (3, "SU"), (4, "Urgences"), (5, "Plateau technique nord"), (6, "Plateau technique sud"), (7, "Regie")], "id long, name string")
-    return m.alias_suggestions(names, "id", "name")
+    """Names of parts, suppliers, nations and regions that may mean one thing."""
+    given = (("part", "p_partkey", "p_name"), ("supplier", "s_suppkey", "s_name"), ("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name"))
+    names = [table(spark, sf, t).select((F.col(k).cast("long") * 10 + n).alias("id"), F.col(c).alias("name")) for n, (t, k, c) in enumerate(given)]
+    return m.alias_suggestions(reduce(DataFrame.unionByName, names), "id", "name")
 
 
 def statement_relations(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(1, 2, "Le site compte 720 postes ouverts", "Le site compte 650 postes ouverts", False, 0.0), (3, 4, "Choix de la base native mobile", "Plutôt que la base native mobile, le web", True, 5.0), (5, 6, "Acces interdit au public", "Acces autoris au public", False, 1.0), (7, 8, "Les rappels partent le lundi matin", "Les rappels partent le lundi matin", False, 0.0)]
-    pairs = spark.createDataFrame(rows, "a long, b long, text_a string, text_b string, both_decisions boolean, hours_apart double").withColumn("cosine", F.lit(None).cast("double"))
-    return m.relate(pairs)
+    """What one of two near-duplicate documents says against the other, the one of smaller number being the older."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    near = duplicates.jaccard_pairs(docs, "doc_id").select("a", "b")
+    texts = near.join(docs.toDF("a", "text_a"), "a").join(docs.toDF("b", "text_b"), "b")
+    return m.relate(texts.select("a", "b", "text_a", "text_b", F.lit(False).alias("both_decisions"), F.lit(2.0).alias("hours_apart"), F.lit(None).cast("double").alias("cosine")))
 
 
 def monthly_reflection(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,6 +102,7 @@ def monthly_reflection(spark: SparkSession, sf: str) -> DataFrame:
     return m.reflect(log, "2024-01").select("section", "lineage", "event", "n")
 
 
+_STOP = ", ".join(f"'{x}'" for x in STOPWORDS)
 _DIFF = """k1 AS (SELECT *, row_number() OVER (PARTITION BY lineage ORDER BY version DESC) AS r FROM l WHERE created_at <= TIMESTAMP '{day}'),
 {name} AS (SELECT * FROM k1 WHERE r = 1 AND status <> 'forgotten' AND valid_from <= TIMESTAMP '{day}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{day}'))"""
 
@@ -127,6 +136,15 @@ ORACLES = {
       r(id, root, n) AS (SELECT a, least(a, min(b)), 0 FROM e GROUP BY a
         UNION ALL SELECT id, root, n + 1 FROM (SELECT e.a AS id, least(x.root, min(r.root)) AS root, any_value(r.n) AS n FROM e JOIN r ON r.id = e.b JOIN r x ON x.id = e.a GROUP BY e.a, x.root) WHERE n < 20)
       SELECT id, min(root) AS root FROM r GROUP BY 1""",
+    "entity_aliases": f"""WITH n AS (SELECT p_partkey * 10 AS id, p_name AS name FROM part UNION ALL SELECT s_suppkey * 10 + 1, s_name FROM supplier UNION ALL SELECT n_nationkey * 10 + 2, n_name FROM nation UNION ALL SELECT r_regionkey * 10 + 3, r_name FROM region),
+      f AS (SELECT id, trim(regexp_replace(replace(strip_accents(lower(name)), 'œ', 'oe'), '\\s+', ' ', 'g')) AS form FROM n), c AS (SELECT form, min(id) AS id FROM f WHERE form <> '' GROUP BY 1),
+      w AS (SELECT id, form, replace(form, ' ', '') AS flat, list_filter(regexp_extract_all(form, '[a-z0-9]+'), lambda w: w NOT IN ({_STOP})) AS w FROM c),
+      k AS (SELECT id, form, flat, array_to_string(list_transform(w, lambda x: substr(x, 1, 1)), '') AS short, list_distinct(list_transform(list_filter(w, lambda x: length(x) > 1 OR regexp_full_match(x, '[0-9]')),
+        lambda x: CASE WHEN length(x) <= 3 OR regexp_full_match(x, '[0-9]+') THEN x ELSE regexp_replace(x, '^(.{{3,}}?)(ements|ement|ations|ation|ees|ee|es|s|x|e)$', '\\1') END)) AS t FROM w),
+      p AS (SELECT x.id AS a, y.id AS b, (x.flat = y.short AND len(y.t) > 1) OR (y.flat = x.short AND len(x.t) > 1) AS acr, contains(' ' || x.form || ' ', ' ' || y.form || ' ') OR contains(' ' || y.form || ' ', ' ' || x.form || ' ') AS within,
+        round(CASE WHEN len(x.t) = 0 OR len(y.t) = 0 THEN 0 ELSE 2 * len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t)) END, 4) AS dice FROM k x JOIN k y ON x.id < y.id)
+      SELECT a, b, CAST(CASE WHEN acr THEN 0.9 WHEN within THEN 0.75 ELSE dice END AS DOUBLE) AS score, CASE WHEN acr THEN 'acronym' WHEN within THEN 'containment' ELSE 'lexical' END AS reason FROM p WHERE acr OR within OR dice >= 0.6
+      UNION ALL SELECT c.id, f.id, 1.0, 'form' FROM f JOIN c USING (form) WHERE f.id <> c.id""",
     "monthly_reflection": """WITH x AS (SELECT user_id AS lineage, event_type AS event, CASE WHEN event_type IN ('error', 'signup') THEN 'lifecycle' ELSE 'usage' END AS section, max(ts) AS last_at FROM events WHERE strftime(ts, '%Y-%m') = '2024-01' GROUP BY 1, 2, 3)
       SELECT section, lineage, event, n FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY last_at DESC, lineage, event) AS n FROM x) WHERE n <= 25""",
 }
