@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
+#: Tables of texts, which cost far more to work on than to move, and their keys.
+TEXTS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that come in fewer splits than there are cores, as one row group does, are dealt to all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and rows.rdd.getNumPartitions() < 2 * cores:
+        return rows.repartition(cores, TEXTS[name])
+    return rows
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,9 +27,13 @@ def term_overlap_topk(spark: SparkSession, sf: str) -> DataFrame:
     return search.term_overlap_rank(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id", 10)
 
 
+def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return search.lexical_lists(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id")
+
+
 def _lists(spark: SparkSession, sf: str) -> DataFrame:
-    a = bm25_topk(spark, sf).withColumn("list_name", F.lit("bm25"))
-    return a.unionByName(term_overlap_topk(spark, sf).withColumn("list_name", F.lit("terms")))
+    best, shares = _both(spark, sf)
+    return best.withColumn("list_name", F.lit("bm25")).unionByName(shares.withColumn("list_name", F.lit("terms")))
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,19 +70,24 @@ def intent_inference(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.infer_intent(turns, "turn_id", "tokens", keywords, "general").withColumn("hits", F.col("hits").cast("long"))
 
 
-def _best_texts(spark: SparkSession, sf: str) -> DataFrame:
-    best = bm25_topk(spark, sf).where("rnk <= 3").join(table(spark, sf, "documents").select("doc_id", tx.long_words(F.col("text")).alias("dw")), "doc_id")
+def _best_texts(spark: SparkSession, sf: str, found: DataFrame) -> DataFrame:
+    best = found.where("rnk <= 3").join(table(spark, sf, "documents").select("doc_id", tx.long_words(F.col("text")).alias("dw")), "doc_id")
     asked = table(spark, sf, "benchmark").select("item_id", F.array_distinct(tx.long_words(F.col("text"))).alias("qw"))
     return best.join(asked, "item_id")
 
 
-def query_coverage(spark: SparkSession, sf: str) -> DataFrame:
+def _coverage(spark: SparkSession, sf: str, found: DataFrame) -> DataFrame:
     share = F.round(tx.overlap(F.col("qw"), F.col("dw")), 4)
-    return _best_texts(spark, sf).select("item_id", "doc_id", share.alias("coverage"), (share >= 0.5).alias("covered"))
+    return _best_texts(spark, sf, found).select("item_id", "doc_id", share.alias("coverage"), (share >= 0.5).alias("covered"))
+
+
+def query_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return _coverage(spark, sf, bm25_topk(spark, sf))
 
 
 def sufficiency(spark: SparkSession, sf: str) -> DataFrame:
-    per_doc = query_coverage(spark, sf).join(bm25_topk(spark, sf).select("item_id", "doc_id", "score"), ["item_id", "doc_id"])
+    found = bm25_topk(spark, sf)
+    per_doc = _coverage(spark, sf, found).join(found.select("item_id", "doc_id", "score"), ["item_id", "doc_id"])
     rows = per_doc.groupBy("item_id").agg(F.max("coverage").alias("term_coverage"), F.avg(F.col("covered").cast("double")).alias("topic_coverage"), F.least(F.lit(1.0), F.avg("score") / 100).alias("relevance"), F.count_if(~F.col("covered")).alias("missing"))
     return ranking.sufficiency(rows, "item_id")
 
@@ -89,16 +98,18 @@ def freshness_decay(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.round(ranking.decay(ts, now), 6).alias("freshness"), F.floor(ranking.age_days(ts, now)).alias("age"))
 
 
-def _expected(spark: SparkSession, sf: str) -> DataFrame:
-    return term_overlap_topk(spark, sf).where("rnk <= 3").select("item_id", "doc_id")
+def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """What BM25 found, and what is expected: the three documents with most of the query's terms."""
+    found, shares = _both(spark, sf)
+    return found, shares.where("rnk <= 3").select("item_id", "doc_id")
 
 
 def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.recall_at_k(bm25_topk(spark, sf), _expected(spark, sf), "item_id", "doc_id", 5)
+    return evaluation.recall_at_k(*_judged(spark, sf), "item_id", "doc_id", 5)
 
 
 def ndcg_at_k(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.ndcg_at_k(bm25_topk(spark, sf), _expected(spark, sf), "item_id", "doc_id", 5)
+    return evaluation.ndcg_at_k(*_judged(spark, sf), "item_id", "doc_id", 5)
 
 
 def golden_replay(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,9 +134,13 @@ def _request_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("item_id").alias("request"), F.col("doc_id").cast("string").alias("key"), (F.col("score") / top).alias("score"), (F.col("doc_id") % 19 == 0).alias("pinned"), F.col("doc_id").alias("at"), F.col("text"), F.col("rnk"))
 
 
+def _repeats(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("shingles", tx.shingles(tx.words(F.col("text")))).withColumn("embedding", feature_hash(F.col("text"))).withColumn("candidate_type", F.lit("chunk"))
+    return selection.near_duplicates(rows.select("request", "key", "pinned", "score", "at", "shingles", "embedding", "candidate_type"))
+
+
 def near_duplicate_selection(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _request_candidates(spark, sf).withColumn("shingles", tx.shingles(tx.words(F.col("text")))).withColumn("embedding", F.lit(None).cast("array<double>"))
-    return selection.near_duplicates(rows.select("request", "key", "pinned", "score", "at", "shingles", "embedding"))
+    return _repeats(_request_candidates(spark, sf))
 
 
 def mmr_selection(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,13 +161,16 @@ def conflict_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def context_package(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole answer to every benchmark text: search, duplicates, diversity, budget, excerpts, citations, Markdown."""
+    """The whole answer to every benchmark text: search, duplicates, diversity, tiers, budget, excerpts, citations, Markdown."""
     rows = _request_candidates(spark, sf)
-    gone = near_duplicate_selection(spark, sf).select("request", "key")
+    gone = _repeats(rows).select("request", "key")
     left = rows.join(gone, ["request", "key"], "left_anti")
     ordered = selection.mmr(left.withColumn("embedding", feature_hash(F.col("text"))).select("request", "key", "score", "embedding"))
-    placed = left.join(ordered, ["request", "key"])
-    budget = placed.select("request", "key", "position", tx.estimate_tokens(F.col("text")).alias("tokens"), F.lit(350).cast("long").alias("cap"), F.lit(20).alias("overhead"), F.lit("sources").alias("section"), F.lit(6).alias("section_overhead"), F.lit(1500).alias("budget"))
+    # Pinned documents come first, the others in order of diversity.
+    tier = selection.priority_tier(F.lit("chunk"), F.lit(None).cast("string"), F.lit("active"), F.col("pinned"))
+    place = F.row_number().over(Window.partitionBy("request").orderBy(tier, "position", "key")).cast("long")
+    placed = left.join(ordered, ["request", "key"]).withColumn("position", place)
+    budget = placed.select("request", "key", "position", tx.estimate_tokens(F.col("text")).alias("tokens"), selection.item_cap(F.lit("chunk"), F.lit(1500)).alias("cap"), F.lit(20).alias("overhead"), F.lit("sources").alias("section"), F.lit(6).alias("section_overhead"), F.lit(1500).alias("budget"))
     filled = selection.fill_budget(budget).where("included")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("request"), tx.terms(F.col("text")).alias("asked"))
     items = placed.join(filled.select("request", "key", "allowance"), ["request", "key"]).join(asked, "request")

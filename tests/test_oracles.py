@@ -10,7 +10,7 @@ import pytest
 from quillstack import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"near_dup_jaccard"}
+SLOW: set[str] = set()
 NAMES = sorted(set(catalog.ORACLES) - SLOW)
 
 
