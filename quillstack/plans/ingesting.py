@@ -13,7 +13,7 @@ from ..sources import readers
 from ..streaming import windows
 from .common import CANDIDATES, candidates, events, table
 from .processing import _drained
-from .retrieval import bm25_topk
+from .retrieval import _BM25, bm25_topk
 
 
 def document_summaries(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,6 +198,7 @@ def change_upsert(spark: SparkSession, sf: str) -> DataFrame:
 _FUNCTIONS = (document_summaries, ingestion_durations, average_ratings, judge_window, compliance_report, sorted_listing, index_upsert, index_counts, regular_text, embedding_inputs, given_embedder, meeting_records, ingest_pipeline, reindex_plan, forgotten_documents, salient_names, alias_expansion, weight_update, learned_excerpts, held_budget, key_terms, mail_threads, stream_once_per_version, stream_visible, stream_fan_out, stream_bursts, change_upsert)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 _LONG = "regexp_extract_all(replace(strip_accents(lower(text)), 'œ', 'oe'), '[a-z0-9]{3,}')"
+_TERMS = "list_transform(list_filter(list_transform(regexp_extract_all(replace(strip_accents(lower(text)), 'œ', 'oe'), '{0}'), lambda w: regexp_replace(w, '{1}', '')), lambda w: (length(w) >= 3 OR regexp_full_match(w, '[0-9]+')) AND w NOT IN ({2})), lambda w: substr(CASE WHEN length(w) > 4 AND regexp_matches(w, '[sx]$') THEN substr(w, 1, length(w) - 1) ELSE w END, 1, 6))".format(tx.ELIDED_WORD.replace("'", "''"), tx.ELISION.replace("'", "''"), ", ".join(f"'{w}'" for w in tx.STOPWORDS))
 ORACLES = {
     "document_summaries": "SELECT p_partkey, p_brand, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey AND l_linestatus = 'O') AS chunks FROM part",
     "ingestion_durations": "SELECT o_orderstatus, count(*) AS jobs, round(avg(greatest(0, epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 1000000), 3) AS avg_seconds FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1",
@@ -218,6 +219,15 @@ ORACLES = {
     "alias_expansion": f"""WITH n(entity, alias) AS (VALUES (1, 'data'), (1, 'dataset'), (2, 'the'), (2, 'this'), (3, 'model'), (3, 'of')),
       t AS (SELECT item_id, replace(strip_accents(lower(text)), 'œ', 'oe') AS low FROM benchmark), w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(low, '[a-z0-9#]+')) AS word FROM t),
       m AS (SELECT DISTINCT item_id, entity FROM w JOIN n ON word = alias) SELECT DISTINCT item_id, alias FROM m JOIN n USING (entity) JOIN t USING (item_id) WHERE NOT contains(low, alias)""",
+    "given_embedder": r"SELECT doc_id, CAST(length(text) AS DOUBLE) AS size, CAST(coalesce(list_max(list_transform(regexp_extract_all(text, '\S+'), lambda w: length(w))), 0) AS DOUBLE) AS longest FROM documents",
+    "mail_threads": r"""WITH b AS (SELECT conv_id, turn, role, regexp_replace(text, '(?s)\n(On .{0,120} wrote:|Le .{0,120} a écrit\s?:|-{2,}\s?(Original Message|Message d''origine)).*\z', '') AS t FROM conversations),
+      c AS (SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(t, '(?m)^>.*\n?', '', 'g'), '(?s)\n-- \n.*\z', '')) AS t FROM b)
+      SELECT conv_id AS thread_id, md5(string_agg('### ' || role || ' — ' || strftime(TIMESTAMP '1970-01-01' + to_seconds(turn * 60), '%Y-%m-%d %H:%M') || chr(10) || t, chr(10) || chr(10) ORDER BY turn)) AS markdown_md5 FROM c GROUP BY 1""",
+    "key_terms": f"""WITH t AS (SELECT item_id, {_TERMS} AS t FROM benchmark), e AS (SELECT item_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS at_ FROM t), g AS (SELECT item_id, term, count(*) AS n, min(at_) AS first FROM e GROUP BY 1, 2),
+      r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, first) AS place FROM g) SELECT item_id, string_agg(term, ' ' ORDER BY place) AS key_terms FROM r WHERE place <= 24 GROUP BY 1""",
+    "held_budget": f"""WITH {_BM25}, x AS (SELECT item_id AS request, rnk, doc_id, doc_id % 19 = 0 AS pinned, doc_id % 90 + 10 AS tokens FROM bm),
+      u AS (SELECT *, sum(tokens) OVER (PARTITION BY request ORDER BY CASE WHEN pinned THEN 0 ELSE 1 END, rnk ROWS UNBOUNDED PRECEDING) AS upto FROM x), k AS (SELECT * FROM u WHERE upto <= 200 OR pinned)
+      SELECT request, count(*) AS items, CAST(sum(tokens) AS BIGINT) AS tokens, sha256(coalesce(string_agg(CASE WHEN doc_id % 2 = 0 THEN doc_id || chr(31) || 'x' END, chr(30) ORDER BY doc_id || chr(31) || 'x'), '')) AS prefix_hash FROM k GROUP BY 1""",
     "stream_once_per_version": "SELECT DISTINCT user_id AS item, event_type AS version FROM events",
     "stream_visible": "SELECT event_id FROM events WHERE event_id % 3 <> 1 AND event_id > 500",
     "stream_fan_out": """WITH s(subscriber, project, types) AS (VALUES ('a', 0, ['view', 'error']), ('b', 0, []), ('c', 1, ['click']), ('d', 2, []))

@@ -226,6 +226,13 @@ ORACLES = {
       SELECT item_id, score, CASE WHEN score >= 0.75 AND missing = 0 THEN 'sufficient' WHEN score >= 0.4 THEN 'partial' ELSE 'insufficient' END AS verdict FROM sc""",
     "freshness_decay": """SELECT event_id, round(pow(0.5, greatest(0, epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 86400000000 / 90), 6) AS freshness,
       CAST(floor(greatest(0, epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 86400000000) AS BIGINT) AS age FROM events""",
+    # One candidate after the other: what is left of the budget and which sections are open go from each to the next.
+    "budget_fill": f"""WITH RECURSIVE {_BM25}, x AS (SELECT item_id AS request, CAST(doc_id AS VARCHAR) AS key, rnk, doc_id % 19 = 0 AS pin, least(greatest(CASE WHEN length(text) = 0 THEN 0 ELSE CAST(ceil(length(text) / 3.8) AS BIGINT) END, 1), 350) AS want FROM bm JOIN documents USING (doc_id)),
+      r(request, key, rnk, lft, op, os, allowance) AS (SELECT DISTINCT request, '', CAST(0 AS BIGINT), CAST(1500 AS BIGINT), false, false, CAST(0 AS BIGINT) FROM x
+        UNION ALL SELECT request, key, rnk, lft - CASE WHEN got > 0 THEN cost + got ELSE 0 END, op OR (pin AND got > 0), os OR (NOT pin AND got > 0), got FROM (
+          SELECT *, CASE WHEN lft - cost > 0 AND lft - cost >= least(want, 30) THEN least(want, lft - cost) ELSE 0 END AS got FROM (
+            SELECT x.request, x.key, x.rnk, x.pin, x.want, r.lft, r.op, r.os, 20 + CASE WHEN (x.pin AND r.op) OR (NOT x.pin AND r.os) THEN 0 ELSE 6 END AS cost FROM x JOIN r ON r.request = x.request AND x.rnk = r.rnk + 1)))
+      SELECT request, key, allowance > 0 AS included, allowance FROM r WHERE rnk > 0""",
     "recall_at_k": f"""WITH {_BM25}, e AS (SELECT item_id, doc_id FROM ov WHERE rnk <= 3), f AS (SELECT e.item_id, count(*) AS n_expected, count(bm.doc_id) AS hits FROM e LEFT JOIN bm ON bm.item_id = e.item_id AND bm.doc_id = e.doc_id AND bm.rnk <= 5 GROUP BY 1)
       SELECT item_id, n_expected, round(hits / n_expected, 4) AS recall FROM f""",
     "ndcg_at_k": f"""WITH {_BM25}, e AS (SELECT item_id, doc_id FROM ov WHERE rnk <= 3), f AS (SELECT e.item_id, count(*) AS n, coalesce(sum(1 / log2(bm.rnk + 1)), 0) AS dcg FROM e LEFT JOIN bm ON bm.item_id = e.item_id AND bm.doc_id = e.doc_id AND bm.rnk <= 5 GROUP BY 1)
