@@ -63,10 +63,16 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.round(F.when(whole != 0, part / whole).otherwise(0.0), 4)
 
 
-def map_averages(df: DataFrame, json: str, last: str = "total") -> DataFrame:
-    """(stage, n, avg_value) of a JSON object's numeric members; ``last`` is ordered at the end by ``place``."""
+def _stage_place(stages: tuple[str, ...], last: str) -> Column:
+    known = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col("stage")) if stages else F.lit(0)
+    rank = F.when(F.col("stage") == last, 2).when(known > 0, 0).otherwise(1)
+    return F.row_number().over(Window.orderBy(rank, known, "stage")).cast("long")  # a row for each stage
+
+
+def map_averages(df: DataFrame, json: str, stages: tuple[str, ...] = (), last: str = "total") -> DataFrame:
+    """(stage, n, avg_value, place) of a JSON object's numeric members: known stages in their order, then others by name, then ``last``."""
     each = df.select(F.explode(F.from_json(json, "map<string,double>")).alias("stage", "v")).where(F.col("v").isNotNull())
-    return each.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.avg("v"), 4).alias("avg_value")).withColumn("place", F.when(F.col("stage") == last, 1).otherwise(0))
+    return each.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.avg("v"), 4).alias("avg_value")).withColumn("place", _stage_place(stages, last))
 
 
 def top_groups(df: DataFrame, key: str, k: int, visible: DataFrame | None = None) -> DataFrame:
@@ -181,5 +187,10 @@ def key_status(revoked: Column, expires_at: Column, misplaced: Column, now: Colu
     return F.when(misplaced, "misplaced").when(revoked, "revoked").when(F.coalesce(expires_at <= now, F.lit(False)), "expired").otherwise("active")
 
 
+def whole_days(since: Column, now: Column) -> Column:
+    """Whole days from one time to another, null for an unknown one."""
+    return F.floor((F.unix_micros(now) - F.unix_micros(since)) / F.lit(86_400_000_000))
+
+
 def cost_estimate(tokens: Column, rate: float) -> Column:
     return (tokens.cast("decimal(20,6)") / F.lit(1000) * F.lit(rate).cast("decimal(10,6)")).cast("decimal(18,6)")

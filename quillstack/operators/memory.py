@@ -76,6 +76,14 @@ def propagate_forget(provenance: DataFrame, lineage: str = "lineage") -> DataFra
     return share.where("any").select(lineage, F.when(F.col("all"), "forget").otherwise("weaken").alias("action"), F.when(F.col("all"), 0.0).otherwise(0.6).alias("factor"))
 
 
+def weaken(items: DataFrame, actions: DataFrame, lineage: str = "lineage", least: float = 0.05) -> DataFrame:
+    """Items after ``propagate_forget``: forgotten, or less sure but not below ``least``; others stay as they are."""
+    hit = actions.select(F.col(lineage).alias("_l"), "action", "factor")
+    rows = items.join(hit, F.col(lineage) == F.col("_l"), "left")
+    sure = F.when(F.col("action") == "weaken", F.greatest(F.lit(least), F.col("confidence") * F.col("factor"))).otherwise(F.col("confidence"))
+    return rows.withColumns({"status": F.when(F.col("action") == "forget", "forgotten").otherwise(F.col("status")), "confidence": sure}).drop("_l", "action", "factor")
+
+
 def promote(inclusions: DataFrame, lineage: str, at: str, now: Column, days: int = 30, least: int = 5) -> DataFrame:
     """Lineages included at least ``least`` times in the last days."""
     recent = inclusions.where(F.col(at) >= now - F.make_interval(days=F.lit(days)))

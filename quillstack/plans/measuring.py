@@ -27,7 +27,9 @@ def cache_filter_agg(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stage_latency(spark: SparkSession, sf: str) -> DataFrame:
-    return a.map_averages(table(spark, sf, "events"), "props", last="total").select("stage", "n", "avg_value")
+    """Averages over JSON objects of several stages, in the order they run; the total comes last."""
+    timings = F.to_json(F.struct(F.col("l_tax").alias("total"), F.col("l_quantity").alias("retrieve"), F.when(F.col("l_linenumber") > 2, F.col("l_discount")).alias("rerank"), F.col("l_linenumber").alias("other")))
+    return a.map_averages(table(spark, sf, "lineitem").select(timings.alias("timings")), "timings", ("understand", "retrieve", "rerank")).select("stage", "n", "avg_value", "place")
 
 
 def overview_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,7 +63,10 @@ def project_stats(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
     s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
-    return n.join(c, "k", "left").join(s, "k", "left").select("n_name", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
+    who = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("k"))
+    o = table(spark, sf, "orders").join(who, "o_custkey").groupBy("k").agg(F.count("*").alias("orders"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
+    counts = [F.coalesce(x, F.lit(0)).alias(x) for x in ("customers", "suppliers", "orders", "open")]
+    return n.join(c, "k", "left").join(s, "k", "left").join(o, "k", "left").select("n_name", *counts)
 
 
 def failed_not_retried(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,7 +129,10 @@ def digest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_offset(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(20).limit(10).select("o_orderkey", "o_totalprice")
+    """A page of a listing with the number of all its rows."""
+    orders = table(spark, sf, "orders")
+    page = orders.orderBy(F.desc("o_totalprice"), "o_orderkey").offset(20).limit(10).select("o_orderkey", "o_totalprice")
+    return page.crossJoin(F.broadcast(orders.agg(F.count("*").alias("total"))))  # one row
 
 
 def page_keyset(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,7 +156,9 @@ def cost_by_agent(spark: SparkSession, sf: str) -> DataFrame:
 def key_inventory(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     status = a.key_status(k % 5 == 0, F.when(k % 3 == 0, F.lit("2023-01-01").cast("timestamp")), k % 11 == 0, F.lit("2024-01-01").cast("timestamp"))
-    return table(spark, sf, "customer").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    made = F.lit("2023-06-01").cast("timestamp") + F.make_interval(hours=(k % 1000 * 7).cast("int"))
+    age = a.whole_days(made, F.lit("2024-01-01").cast("timestamp"))
+    return table(spark, sf, "customer").groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.min(age).alias("youngest"), F.max(age).alias("oldest"))
 
 
 def feedback_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +184,8 @@ ORACLES = {
     "totals": "SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS revenue, min(l_quantity) AS min_qty, max(l_quantity) AS max_qty, round(avg(l_discount), 6) AS avg_discount, count(*) FILTER (l_returnflag = 'R') AS returned, round(count(*) FILTER (l_returnflag = 'R') / count(*), 4) AS returned_share FROM lineitem",
     "cache_filter_agg": """WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
       SELECT event_type, count(*) AS n, count(*) FILTER (k % 2 = 0) AS hits, round(sum(CASE WHEN k % 2 = 0 THEN value ELSE 0 END), 4) AS hit_value, round(avg(value) FILTER (k > 50), 4) AS avg_high FROM e GROUP BY 1""",
-    "stage_latency": "SELECT 'k' AS stage, count(*) AS n, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 4) AS avg_value FROM events",
+    "stage_latency": """SELECT 'retrieve' AS stage, count(*) AS n, round(avg(l_quantity), 4) AS avg_value, CAST(1 AS BIGINT) AS place FROM lineitem UNION ALL SELECT 'rerank', count(*), round(avg(l_discount), 4), 2 FROM lineitem WHERE l_linenumber > 2
+      UNION ALL SELECT 'other', count(*), round(avg(l_linenumber), 4), 3 FROM lineitem UNION ALL SELECT 'total', count(*), round(avg(l_tax), 4), 4 FROM lineitem""",
     "overview_counts": f"WITH {_OVER} SELECT events, users, errors, avg_value, p95, round(errors / events, 4) AS error_rate FROM o",
     "alerts": f"""WITH {_OVER}, x AS (SELECT *, round(errors / events, 4) AS rate FROM o)
       SELECT 'high_error_rate' AS alert, 'critical' AS severity, CAST(0 AS BIGINT) AS place FROM x WHERE rate > 0.05 UNION ALL SELECT 'slow_p95', 'warning', 1 FROM x WHERE p95 > 10
@@ -182,7 +193,7 @@ ORACLES = {
     "zero_fill": "WITH t(event_type) AS (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view'), ('refund')) SELECT event_type, count(event_id) AS n FROM t LEFT JOIN events USING (event_type) GROUP BY 1",
     "top_sources": "SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1 ORDER BY n DESC, l_suppkey LIMIT 10",
     "by_agent": "SELECT n_name, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 2) AS avg_price, count(DISTINCT c_custkey) AS customers FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2",
-    "project_stats": "SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation",
+    "project_stats": "SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = n_nationkey) AS orders, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = n_nationkey AND o_orderstatus = 'O') AS open FROM nation",
     "failed_not_retried": "SELECT event_id, user_id FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.ts > e.ts)",
     "open_conflicts": "SELECT l_suppkey AS dst, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey IN (l_partkey, l_suppkey) AND p_size <= 5) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey IN (l_partkey, l_suppkey) AND s_acctbal < 0) GROUP BY 1",
     "impact_counts": "SELECT p_partkey, count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_suppkey) AS suppliers FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1",
@@ -200,11 +211,11 @@ ORACLES = {
     "turn_recency": "SELECT conv_id, turn, round(0.5 + 0.5 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) / count(*) OVER (PARTITION BY conv_id), 6) AS recency FROM conversations",
     "last_n_turns": "SELECT conv_id, turn, role, place FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM conversations) WHERE place <= 3",
     "digest": "SELECT event_type, event_id, place, n FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS place, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE place <= 10",
-    "page_offset": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 20",
+    "page_offset": "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 20",
     "page_keyset": "SELECT o_orderkey FROM orders WHERE (o_orderdate, o_orderkey) > (TIMESTAMP '1996-01-01', 100) ORDER BY o_orderdate, o_orderkey LIMIT 25",
     "filtered_listing": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_name ILIKE '%1%' AND c_acctbal BETWEEN 0 AND 5000 AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
     "cost_by_agent": "SELECT l_returnflag, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS tokens, CAST(CAST(sum(CAST(l_quantity AS BIGINT)) * 0.000002 AS DECIMAL(18, 6)) AS VARCHAR) AS cost FROM lineitem GROUP BY 1",
-    "key_inventory": "SELECT CASE WHEN c_custkey % 11 = 0 THEN 'misplaced' WHEN c_custkey % 5 = 0 THEN 'revoked' WHEN c_custkey % 3 = 0 THEN 'expired' ELSE 'active' END AS status, count(*) AS n FROM customer GROUP BY 1",
+    "key_inventory": "SELECT CASE WHEN c_custkey % 11 = 0 THEN 'misplaced' WHEN c_custkey % 5 = 0 THEN 'revoked' WHEN c_custkey % 3 = 0 THEN 'expired' ELSE 'active' END AS status, count(*) AS n, min(CAST(floor((214 * 24 - c_custkey % 1000 * 7) / 24) AS BIGINT)) AS youngest, max(CAST(floor((214 * 24 - c_custkey % 1000 * 7) / 24) AS BIGINT)) AS oldest FROM customer GROUP BY 1",
     "feedback_labels": """SELECT doc_id, CAST(coalesce(CASE WHEN doc_id % 10 = 0 THEN 1 END, CASE WHEN doc_id % 8 = 0 THEN 1 WHEN doc_id % 4 = 0 THEN 0 END, CASE WHEN doc_id % 5 + 1 >= 4 THEN 1 WHEN doc_id % 5 + 1 <= 2 THEN 0 END) AS INTEGER) AS label FROM labels
       WHERE doc_id % 10 = 0 OR doc_id % 4 = 0 OR doc_id % 5 + 1 <> 3""",
     "rollup_extension": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",

@@ -97,11 +97,19 @@ def ingest_actions(spark: SparkSession, sf: str) -> DataFrame:
     return d.ingest_actions(new, old, "doc_id")
 
 
-def sync_actions(spark: SparkSession, sf: str) -> DataFrame:
+def _sync_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, sf, "customer")
     new = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("external_id"), F.when(F.col("c_custkey") % 5 == 0, F.lit("new")).otherwise(F.col("c_mktsegment")).alias("content_hash"))
     old = c.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("external_id"), F.col("c_mktsegment").alias("content_hash"))
-    return readers.sync_actions(new, old)
+    return new, old
+
+
+def sync_actions(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.sync_actions(*_sync_sides(spark, sf))
+
+
+def sync_applied(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.apply_sync(*_sync_sides(spark, sf))
 
 
 def import_mapping(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,7 +149,7 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return _drained(windows.coalesce_served(stream, ["user_id"], "ts", "2 hours"), spark).select("user_id", F.unix_micros("started").alias("started"), "n")
 
 
-_FUNCTIONS = (exact_dup, near_dup_jaccard, near_dup_classes, pii_counts, pii_luhn, pii_spans, classify_sensitivity, injection_score, hidden_text, html_extract, html_title, chunk_documents, token_estimate, term_stats, statement_extraction, session_summary, ingest_actions, sync_actions, import_mapping, trace_export, stream_daily, stream_sessions)
+_FUNCTIONS = (exact_dup, near_dup_jaccard, near_dup_classes, pii_counts, pii_luhn, pii_spans, classify_sensitivity, injection_score, hidden_text, html_extract, html_title, chunk_documents, token_estimate, term_stats, statement_extraction, session_summary, ingest_actions, sync_actions, sync_applied, import_mapping, trace_export, stream_daily, stream_sessions)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 _FOLD = "replace(strip_accents(lower(text)), 'œ', 'oe')"
 _EMAIL = d.EMAIL
@@ -170,6 +178,7 @@ ORACLES = {
     "ingest_actions": """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'create' WHEN doc_id % 10 = 1 THEN 'refused' WHEN doc_id % 3 <> 0 THEN 'metadata_only' ELSE 'new_version' END AS action,
       CAST(CASE WHEN doc_id % 4 = 0 THEN 1 WHEN doc_id % 10 = 1 THEN 1 WHEN doc_id % 3 <> 0 THEN 1 ELSE 2 END AS BIGINT) AS version FROM documents""",
     "sync_actions": """SELECT c_custkey AS external_id, CASE WHEN c_custkey % 4 = 0 THEN 'insert' WHEN c_custkey % 3 = 0 THEN 'delete' WHEN c_custkey % 5 = 0 THEN 'update' ELSE 'keep' END AS action FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 4 <> 0""",
+    "sync_applied": """SELECT c_custkey AS external_id, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 5 = 0 THEN 'new' ELSE c_mktsegment END AS content_hash, CASE WHEN c_custkey % 3 = 0 THEN 'forgotten' ELSE 'active' END AS status FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 4 <> 0""",
     "import_mapping": """SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS title, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS date, o_orderstatus || '|urgent' AS tags, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END AS classification FROM orders""",
     "trace_export": """WITH d AS (SELECT l_orderkey, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)
       SELECT o_orderkey AS request_id, coalesce(n, 0) AS decisions, coalesce(r, 0) AS feedback, coalesce(parts, 0) AS parts FROM orders LEFT JOIN d ON l_orderkey = o_orderkey""",

@@ -66,6 +66,13 @@ def forget_propagation(spark: SparkSession, sf: str) -> DataFrame:
     return m.propagate_forget(provenance)
 
 
+def weakened_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as items whose documents, the parts of their lines, are forgotten in part or whole."""
+    provenance = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("lineage"), (F.col("l_suppkey") % 3 == 0).alias("forgotten"))
+    own = table(spark, sf, "orders").select(F.col("o_orderkey").alias("lineage"), F.lit("validated").alias("status"), ((F.col("o_orderkey") % 10) / 10).alias("confidence"))
+    return m.weaken(own, m.propagate_forget(provenance)).select("lineage", "status", F.round("confidence", 6).alias("confidence"))
+
+
 def promotion(spark: SparkSession, sf: str) -> DataFrame:
     return m.promote(events(spark, sf).where("event_type = 'view'"), "user_id", "ts", _at("2024-01-31"), 30, 5)
 
@@ -106,7 +113,7 @@ _STOP = ", ".join(f"'{x}'" for x in STOPWORDS)
 _DIFF = """k1 AS (SELECT *, row_number() OVER (PARTITION BY lineage ORDER BY version DESC) AS r FROM l WHERE created_at <= TIMESTAMP '{day}'),
 {name} AS (SELECT * FROM k1 WHERE r = 1 AND status <> 'forgotten' AND valid_from <= TIMESTAMP '{day}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{day}'))"""
 
-QUERIES = {f.__name__: f for f in (current_version, as_of_view, as_of_diff, snapshot_diff, distinct_on_latest, first_event_per_key, status_fold, confidence_decay, forget_propagation, promotion, poisoning_burst, contradiction_clusters, entity_aliases, statement_relations, monthly_reflection)}
+QUERIES = {f.__name__: f for f in (current_version, as_of_view, as_of_diff, snapshot_diff, distinct_on_latest, first_event_per_key, status_fold, confidence_decay, forget_propagation, weakened_items, promotion, poisoning_burst, contradiction_clusters, entity_aliases, statement_relations, monthly_reflection)}
 ORACLES = {
     "current_version": f"WITH {LINEAGES} SELECT lineage, version, event_id, status FROM (SELECT *, max(version) OVER (PARTITION BY lineage) AS m FROM l) WHERE version = m",
     "as_of_view": f"WITH {LINEAGES}, {_DIFF.format(day='2024-01-15', name='v')} SELECT lineage, version, event_id, status FROM v",
@@ -128,6 +135,9 @@ ORACLES = {
       SELECT c_custkey AS lineage, round(CASE WHEN o_custkey IS NOT NULL THEN (c_custkey % 10) / 10 ELSE least((c_custkey % 10) / 10, greatest(0.2, (c_custkey % 10) / 10 * 0.95)) END, 6) AS confidence FROM customer LEFT JOIN r ON o_custkey = c_custkey""",
     "forget_propagation": """SELECT l_orderkey AS lineage, CASE WHEN bool_and(l_suppkey % 3 = 0) THEN 'forget' ELSE 'weaken' END AS action, CASE WHEN bool_and(l_suppkey % 3 = 0) THEN CAST(0.0 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS factor
       FROM lineitem GROUP BY 1 HAVING bool_or(l_suppkey % 3 = 0)""",
+    "weakened_items": """WITH f AS (SELECT l_orderkey, bool_and(l_suppkey % 3 = 0) AS everything, bool_or(l_suppkey % 3 = 0) AS something FROM lineitem GROUP BY 1)
+      SELECT o_orderkey AS lineage, CASE WHEN everything THEN 'forgotten' ELSE 'validated' END AS status, round(CASE WHEN something AND NOT everything THEN greatest(0.05, (o_orderkey % 10) / 10 * 0.6) ELSE (o_orderkey % 10) / 10 END, 6) AS confidence
+      FROM orders LEFT JOIN f ON l_orderkey = o_orderkey""",
     "promotion": "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-01' GROUP BY 1 HAVING count(*) >= 5",
     "poisoning_burst": """WITH w AS (SELECT DISTINCT user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 24 HOURS FOLLOWING) AS n FROM events)
       SELECT user_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS window_start, n FROM w WHERE n >= 8""",

@@ -36,6 +36,22 @@ def detect_format(path: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), end), F.lit("unknown"))
 
 
+def sniff_format(path: Column, content: Column) -> Column:
+    """Kind of a file by its ending and, where that tells nothing, by its first bytes: archives, PDF, pages, JSON, cues, then text."""
+    head = F.lower(F.trim(F.decode(F.substring(content, 1, 256), "ISO-8859-1")))
+    by_content = (
+        F.when(F.substring(content, 1, 4) == F.unhex(F.lit("504B0304")), "docx")
+        .when(head.startswith("%pdf"), "pdf")
+        .when(head.startswith("webvtt"), "transcript")
+        .when(head.rlike(r"^(<!doctype html|<html|<head|<body)"), "html")
+        .when(head.rlike(r"^[\[{]"), "json")
+        .when(~head.rlike(r"[\x00-\x08\x0E-\x1F]"), "text")
+        .otherwise("unknown")
+    )
+    named = detect_format(path)
+    return F.when(named == "unknown", by_content).otherwise(named)
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, title, front_matter, text): one row per file; the title is the front matter's or the first heading."""
     raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
@@ -220,6 +236,20 @@ def parse_transcript(files: DataFrame) -> DataFrame:
     return rows.withColumn("speaker", speaker).drop("voice")
 
 
+def parse_spoken_lines(files: DataFrame) -> DataFrame:
+    """(path, cue, start_s, end_s, speaker, text) of plain transcripts in (path, raw): lines ``[time] Speaker: text``; others go on."""
+    lines = files.select("path", F.posexplode(F.split(F.regexp_replace("raw", "\r\n?", "\n"), "\n")).alias("cue", "line")).where(F.trim("line") != "")
+    pattern = r"^\s*(?:\[?(?:(\d+):)?(\d{1,2}):(\d{2})\]?\s*[-–]?\s*)?(?:([A-ZÀ-Ý][\w .'-]{1,40}?)\s*:\s+)?(.*)$"
+    part = lambda i: F.nullif(F.regexp_extract("line", pattern, i), F.lit(""))
+    number = lambda i: F.coalesce(part(i).cast("double"), F.lit(0.0))
+    at = F.when(part(3).isNotNull(), number(1) * 3600 + number(2) * 60 + number(3))
+    rows = lines.select("path", "cue", at.alias("at"), part(4).alias("voice"), F.trim(F.coalesce(part(5), F.lit(""))).alias("text"))
+    ordered = Window.partitionBy("path").orderBy("cue")
+    carried = lambda c: F.last(c, ignorenulls=True).over(ordered)
+    start = F.coalesce(carried("at"), F.lit(0.0))
+    return rows.select("path", "cue", start.alias("start_s"), start.alias("end_s"), carried("voice").alias("speaker"), "text")
+
+
 def merge_cues(cues: DataFrame, gap: float = 5.0, most: int = 1200) -> DataFrame:
     """(path, start_s, end_s, speaker, text): cues of one speaker in a row, while the pause is short and the text below a length."""
 
@@ -256,6 +286,14 @@ def sync_actions(incoming: DataFrame, current: DataFrame, key: str = "external_i
     return a.join(b, key, "full_outer").select(key, action.alias("action"))
 
 
+def apply_sync(incoming: DataFrame, current: DataFrame, key: str = "external_id") -> DataFrame:
+    """The table after a full sync: new and changed rows as they came, unchanged ones as they are, missing ones marked as forgotten."""
+    acts = sync_actions(incoming, current, key).select(F.col(key).alias("_k"), "action")
+    came = incoming.join(acts.where("action IN ('insert', 'update')"), F.col(key) == F.col("_k"), "left_semi").withColumn("status", F.lit("active"))
+    left = current.join(acts.where("action IN ('keep', 'delete')"), F.col(key) == F.col("_k")).withColumn("status", F.when(F.col("action") == "delete", "forgotten").otherwise("active"))
+    return came.select(key, "content_hash", "status").unionByName(left.select(key, "content_hash", "status"))
+
+
 def write_traces(requests: DataFrame, decisions: DataFrame, feedback: DataFrame, path: str, key: str = "request_id") -> None:
     """Newline-delimited JSON: each request with its decisions in rank order and its feedback."""
     trace_records(requests, decisions, feedback, key).write.mode("errorifexists").json(path)

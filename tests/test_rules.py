@@ -257,6 +257,16 @@ def test_files_by_registry(spark, tmp_path):
     assert [d["item"] for d in line["decisions"]] == ["a", "b"] and line["feedback"] == [{"rating": 5}]
 
 
+def test_formats_and_spoken_lines(spark):
+    files = spark.createDataFrame([("a", b"%PDF-1.4"), ("b", b"PK\x03\x04xx"), ("c", b"  <!DOCTYPE html><p>"), ("d", b"[1]"), ("e", b"plain"), ("f", b"\x00\x01"), ("g.md", b"%PDF"), ("h", b"WEBVTT")], "path string, content binary")
+    got = {r["path"]: r["k"] for r in files.select("path", readers.sniff_format(F.col("path"), F.col("content")).alias("k")).collect()}
+    assert got == {"a": "pdf", "b": "docx", "c": "html", "d": "json", "e": "text", "f": "unknown", "g.md": "markdown", "h": "transcript"}
+    raw = spark.createDataFrame([("f", "[00:01:05] Ana: Bonjour\nla suite\n\n1:02:03 - Bob Martin: oui")], "path string, raw string")
+    said = [(r["speaker"], r["start_s"], r["text"]) for r in readers.parse_spoken_lines(raw).orderBy("cue").collect()]
+    assert said == [("Ana", 65.0, "Bonjour"), ("Ana", 65.0, "la suite"), ("Bob Martin", 3723.0, "oui")]
+    assert one(spark, tx.make_title(F.lit("Un titre clair! Puis le reste."))) == "Un titre clair" and one(spark, tx.spotlight(F.lit("a b [S1]"))) == "a^b^(S1)"
+
+
 def test_topic_clusters(spark):
     given = [(1, 1, ["a", "b", "c"]), (1, 2, ["a", "b"]), (1, 3, ["x"]), (1, 4, ["x", "y"]), (2, 5, ["a", "b"]), (1, 6, [])]
     out = analytics.cluster_topics(spark.createDataFrame(given, "project long, topic_id long, terms array<string>"))
