@@ -226,14 +226,24 @@ STATEMENTS = (
 )
 
 
-def statements(documents: DataFrame, key: str, text: str = "text", source_delta: float = 0.0, most: int = 80) -> DataFrame:
-    """(key, i, kind, sentence, confidence): sentences of a known kind, at most the ``most`` surest of a document."""
-    rows = documents.select(key, F.posexplode(sentences(F.col(text))).alias("i", "sentence"))
+#: How much less sure statements of a source kind are, and those of a source of low trust.
+SOURCE_DELTA = {"agent_trace": -0.15, "url": -0.1, "feedback": -0.05, "crm": -0.05}
+LOW_TRUST_DELTA = -0.1
+
+
+def source_delta(kind: Column, trust: Column) -> Column:
+    by_kind = F.element_at(F.create_map(*[F.lit(x) for pair in SOURCE_DELTA.items() for x in pair]), kind)
+    return F.coalesce(by_kind, F.lit(0.0)) + F.when(trust == "low", LOW_TRUST_DELTA).otherwise(0.0)
+
+
+def statements(documents: DataFrame, key: str, text: str = "text", delta: Column | float = 0.0, most: int = 80) -> DataFrame:
+    """(key, i, kind, sentence, confidence): sentences of a known kind, at most the ``most`` surest of a document; ``delta`` is of the document."""
+    rows = documents.select(key, F.lit(delta).alias("delta") if isinstance(delta, float) else delta.alias("delta"), F.posexplode(sentences(F.col(text))).alias("i", "sentence"))
     low, kind, sure = fold(F.col("sentence")), F.lit(None).cast("string"), F.lit(None).cast("double")
     for name, pattern, confidence in reversed(STATEMENTS):
         kind = F.when(low.rlike(pattern), name).otherwise(kind)
         sure = F.when(low.rlike(pattern), confidence).otherwise(sure)
-    found = rows.withColumn("kind", kind).withColumn("confidence", F.round(F.greatest(F.lit(0.3), F.least(F.lit(0.95), sure + source_delta)), 4)).where("kind is not null")
+    found = rows.withColumn("kind", kind).withColumn("confidence", F.round(F.greatest(F.lit(0.3), F.least(F.lit(0.95), sure + F.col("delta"))), 4)).where("kind is not null").drop("delta")
     n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("confidence"), "i"))
     return found.withColumn("n", n).where(F.col("n") <= most).drop("n")
 

@@ -239,6 +239,14 @@ def alias_suggestions(entities: DataFrame, key: str, name: str, least: float = 0
     return same.unionByName(pairs.select("a", "b", score.alias("score"), reason.alias("reason")).where(F.col("reason").isNotNull()))
 
 
+def merge_entities(entities: DataFrame, merges: DataFrame, undone: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """Entities with ``entity``, the smallest of all that merges (a, b) join them with. ``undone`` (a, b): merges taken back, as if never made."""
+    pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    kept = pair(merges) if undone is None else pair(merges).join(pair(undone), ["a", "b"], "left_anti")
+    roots = clusters(kept).select(F.col("id").alias("_m"), "root")
+    return entities.join(roots, F.col(key) == F.col("_m"), "left").withColumn("entity", F.coalesce("root", key)).drop("_m", "root")
+
+
 def reflect(events: DataFrame, month: str, per_section: int = 25) -> DataFrame:
     """The events of a month by section: one per (event, lineage), the newest ``per_section`` of each. events: lineage, event, section, at."""
     inside = events.where(F.date_format("at", "yyyy-MM") == month).groupBy("event", "lineage", "section").agg(F.max("at").alias("at"))

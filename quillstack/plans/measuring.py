@@ -36,7 +36,7 @@ def overview_counts(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
     one = e.agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.avg("value"), 4).alias("avg_value"))
     slow = a.percentiles(e.withColumn("all", F.lit(1)), ["all"], "value", {"p95": 0.95}).select(F.round("p95", 4).alias("p95"))
-    one = one.join(F.broadcast(slow), how="left") if not slow.isEmpty() else one.withColumn("p95", F.lit(None).cast("double"))  # one row each
+    one = one.withColumn("p95", slow.scalar())
     return one.withColumn("error_rate", a.ratio(F.col("errors"), F.col("events")))
 
 
@@ -132,7 +132,7 @@ def page_offset(spark: SparkSession, sf: str) -> DataFrame:
     """A page of a listing with the number of all its rows."""
     orders = table(spark, sf, "orders")
     page = orders.orderBy(F.desc("o_totalprice"), "o_orderkey").offset(20).limit(10).select("o_orderkey", "o_totalprice")
-    return page.crossJoin(F.broadcast(orders.agg(F.count("*").alias("total"))))  # one row
+    return page.withColumn("total", orders.agg(F.count("*")).scalar())
 
 
 def page_keyset(spark: SparkSession, sf: str) -> DataFrame:

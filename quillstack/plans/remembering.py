@@ -96,6 +96,13 @@ def entity_aliases(spark: SparkSession, sf: str) -> DataFrame:
     return m.alias_suggestions(reduce(DataFrame.unionByName, names), "id", "name")
 
 
+def merged_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts merged with the next one within each ten, every third merge taken back."""
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+    merges = parts.where("id % 10 <> 9").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    return m.merge_entities(parts, merges, merges.where("a % 3 = 0"))
+
+
 def statement_relations(spark: SparkSession, sf: str) -> DataFrame:
     """What one of two near-duplicate documents says against the other, the one of smaller number being the older."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -113,7 +120,7 @@ _STOP = ", ".join(f"'{x}'" for x in STOPWORDS)
 _DIFF = """k1 AS (SELECT *, row_number() OVER (PARTITION BY lineage ORDER BY version DESC) AS r FROM l WHERE created_at <= TIMESTAMP '{day}'),
 {name} AS (SELECT * FROM k1 WHERE r = 1 AND status <> 'forgotten' AND valid_from <= TIMESTAMP '{day}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{day}'))"""
 
-QUERIES = {f.__name__: f for f in (current_version, as_of_view, as_of_diff, snapshot_diff, distinct_on_latest, first_event_per_key, status_fold, confidence_decay, forget_propagation, weakened_items, promotion, poisoning_burst, contradiction_clusters, entity_aliases, statement_relations, monthly_reflection)}
+QUERIES = {f.__name__: f for f in (current_version, as_of_view, as_of_diff, snapshot_diff, distinct_on_latest, first_event_per_key, status_fold, confidence_decay, forget_propagation, weakened_items, promotion, poisoning_burst, contradiction_clusters, entity_aliases, merged_entities, statement_relations, monthly_reflection)}
 ORACLES = {
     "current_version": f"WITH {LINEAGES} SELECT lineage, version, event_id, status FROM (SELECT *, max(version) OVER (PARTITION BY lineage) AS m FROM l) WHERE version = m",
     "as_of_view": f"WITH {LINEAGES}, {_DIFF.format(day='2024-01-15', name='v')} SELECT lineage, version, event_id, status FROM v",
@@ -146,6 +153,8 @@ ORACLES = {
       r(id, root, n) AS (SELECT a, least(a, min(b)), 0 FROM e GROUP BY a
         UNION ALL SELECT id, root, n + 1 FROM (SELECT e.a AS id, least(x.root, min(r.root)) AS root, any_value(r.n) AS n FROM e JOIN r ON r.id = e.b JOIN r x ON x.id = e.a GROUP BY e.a, x.root) WHERE n < 20)
       SELECT id, min(root) AS root FROM r GROUP BY 1""",
+    "merged_entities": """WITH c AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 OR (p_partkey - 1) % 3 = 0 OR NOT EXISTS (SELECT 1 FROM part x WHERE x.p_partkey = part.p_partkey - 1) THEN p_partkey END AS head FROM part)
+      SELECT id, max(head) OVER (ORDER BY id) AS entity FROM c""",
     "entity_aliases": f"""WITH n AS (SELECT p_partkey * 10 AS id, p_name AS name FROM part UNION ALL SELECT s_suppkey * 10 + 1, s_name FROM supplier UNION ALL SELECT n_nationkey * 10 + 2, n_name FROM nation UNION ALL SELECT r_regionkey * 10 + 3, r_name FROM region),
       f AS (SELECT id, trim(regexp_replace(replace(strip_accents(lower(name)), 'œ', 'oe'), '\\s+', ' ', 'g')) AS form FROM n), c AS (SELECT form, min(id) AS id FROM f WHERE form <> '' GROUP BY 1),
       w AS (SELECT id, form, replace(form, ' ', '') AS flat, list_filter(regexp_extract_all(form, '[a-z0-9]+'), lambda w: w NOT IN ({_STOP})) AS w FROM c),

@@ -267,6 +267,18 @@ def test_formats_and_spoken_lines(spark):
     assert one(spark, tx.make_title(F.lit("Un titre clair! Puis le reste."))) == "Un titre clair" and one(spark, tx.spotlight(F.lit("a b [S1]"))) == "a^b^(S1)"
 
 
+def test_statements_of_doubtful_sources(spark):
+    docs = spark.createDataFrame([(1, "We decid to go. Nothing. The risk is high.", "wiki", "high"), (2, "We decid to go.", "agent_trace", "low")], "doc_id long, text string, kind string, trust string")
+    out = documents.statements(docs, "doc_id", delta=documents.source_delta(F.col("kind"), F.col("trust")))
+    assert rows(out.select("doc_id", "kind", "confidence")) == [(1, "decision", 0.8), (1, "risk", 0.7), (2, "decision", 0.55)]
+
+
+def test_excerpts_by_similarity(spark):
+    texts = ["First sentence of the text.", "Second sentence of the text.", "Third sentence of the text."]
+    items = spark.createDataFrame([("k", 8, texts, [1.0, 0.0, 0.0], [0.0, 0.0, 1.0])], "key string, allowance long, sentences array<string>, overlaps array<double>, similarities array<double>")
+    assert selection.compress(items).first()["excerpt"] == texts[2] and selection.compress(items.drop("similarities")).first()["excerpt"] == texts[0]
+
+
 def test_topic_clusters(spark):
     given = [(1, 1, ["a", "b", "c"]), (1, 2, ["a", "b"]), (1, 3, ["x"]), (1, 4, ["x", "y"]), (2, 5, ["a", "b"]), (1, 6, [])]
     out = analytics.cluster_topics(spark.createDataFrame(given, "project long, topic_id long, terms array<string>"))
