@@ -3,6 +3,7 @@
 import itertools
 import json
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -279,6 +280,16 @@ def test_excerpts_by_similarity(spark):
     assert selection.compress(items).first()["excerpt"] == texts[2] and selection.compress(items.drop("similarities")).first()["excerpt"] == texts[0]
 
 
+def test_sampled_judgements_and_session_summaries(spark):
+    ids = [r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()]
+    assert {r["doc_id"] for r in catalog.QUERIES["judge_sample"](spark, SF).collect()} == {i for i in ids if zlib.crc32(str(i).encode()) % 100 < 20}
+    turns = spark.createDataFrame([(1, 0, "user", "Alpha beta?"), (1, 1, "assistant", "Alpha gamma 12."), (1, 2, "assistant", "Le de.")], "conv_id long, turn long, role string, text string")
+    out = {(r["turn"], r["score"]) for r in documents.session_summary(turns).collect()}
+    assert out == {(0, round(3 / 2**0.5 * 1.1, 6)), (1, round(3 / 2**0.5 * 1.15, 6))}
+    # The first question stays, whatever its score.
+    assert [r["turn"] for r in documents.session_summary(turns, most=1).collect()] == [0]
+
+
 def test_topic_clusters(spark):
     given = [(1, 1, ["a", "b", "c"]), (1, 2, ["a", "b"]), (1, 3, ["x"]), (1, 4, ["x", "y"]), (2, 5, ["a", "b"]), (1, 6, [])]
     out = analytics.cluster_topics(spark.createDataFrame(given, "project long, topic_id long, terms array<string>"))
