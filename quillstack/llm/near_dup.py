@@ -11,8 +11,8 @@ same six errors then leave little between 0.74 and 0.8 to confirm.
 
 Scale and skew. Documents with equal sets are one class from the start (a combined minimum per digest), so copies never meet
 in pairs. In a bucket of many different classes pairs are not all made: classes are compared with leaders of the bucket,
-links unite components, and only buckets that still hold more than one component go into the next round, with 64 and then four times
-as many leaders, taken from the smaller components. A leader that has met the others of its bucket leaves it, so no pair of the bucket
+links unite components, and only buckets that still hold more than one component go into the next round, with about 64 and then four
+times as many leaders, drawn by hash from all but the largest component. A leader that has met the others of its bucket leaves it, so no pair of the bucket
 is lost: when a bucket is done, each two of its classes are in one component or have met. Leaders and members meet in an
 equi-join whose condition holds the estimate, so pairs that cannot link are never written. Intermediate results are tables in
 the shared folder.
@@ -31,8 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from .common import Scratch
 from .graph import components
@@ -167,18 +165,28 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
             fine = scratch.keep(sets.join(open_ids, F.col("vid") == F.col("o_vid"), "left_semi").mapInArrow(_fine_signatures, "vid long, fine array<long>"), "fine")
             known = fine.join(reps.select(F.col("vid").alias("r_vid"), "bands"), F.col("vid") == F.col("r_vid")).select(F.col("vid").alias("f_vid"), "fine", "bands")
             active = scratch.keep(active.join(known, F.col("vid") == F.col("f_vid")).drop("f_vid"), "active")
-        sizes = active.groupBy("key", "comp").agg(F.count("*").alias("size"))
-        largest = sizes.groupBy(F.col("key").alias("g_key")).agg(F.max(F.struct("size", "comp")).alias("top"))
-        minor = active.join(largest, F.col("key") == F.col("g_key")).where(F.col("comp") != F.col("top.comp"))
-        order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "vid"), "vid"))
-        chosen = minor.select("key", "vid", "comp").withColumn("at", order).where(F.col("at") <= 16 * 4**turn)
-        named = chosen.select(F.col("key").alias("c_key"), F.col("vid").alias("c_vid"))
-        full = active.join(named, (F.col("key") == F.col("c_key")) & (F.col("vid") == F.col("c_vid")), "left_semi")
+        active = active.withColumn("draw", F.xxhash64(F.lit(turn), "vid"))
+        chosen = _choice(active, 16 * 4**turn, scratch)
+        drawn = F.shiftrightunsigned("draw", 11) * F.lit(2.0**-53)
+        full = active.join(chosen, F.col("key") == F.col("c_key")).where((F.col("comp") != F.col("main")) & ((F.col("draw") == F.col("least")) | (drawn < F.col("share"))))
         leaders = scratch.keep(full.select("key", F.col("vid").alias("l_vid"), F.col("n").alias("l_n"), F.col("sig").alias("l_sig"), F.col("comp").alias("l_comp"), F.col("fine").alias("l_fine"), F.col("bands").alias("l_bands")), "leaders")
+        active = active.drop("draw")
     scratch.drop(members, sets, reps)
     return _result(feats, classes, labels)
 
 
+def _choice(active: DataFrame, wanted: int, scratch: Scratch) -> DataFrame:
+    """(c_key, main, share, least): for each bucket its largest component, the share of the others' members to draw as leaders, and their least draw.
+
+    About ``wanted`` members are drawn and at least one. Sums and minima are combined before each shuffle, so no task sees the members of a bucket.
+    """
+    sizes = scratch.keep(active.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min("draw").alias("low")), "sizes")
+    largest = sizes.groupBy(F.col("key").alias("g_key")).agg(F.max(F.struct("size", "comp")).alias("top"))
+    minor = sizes.join(largest, F.col("key") == F.col("g_key")).where(F.col("comp") != F.col("top.comp"))
+    chosen = minor.groupBy(F.col("key").alias("c_key")).agg(F.first("top.comp").alias("main"), (F.lit(float(wanted)) / F.sum("size")).alias("share"), F.min("low").alias("least"))
+    return scratch.keep(chosen, "chosen")
+
+
 def _repeats(feats: DataFrame) -> bool:
     return feats.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -156,3 +157,33 @@ def test_quality(spark):
     assert held and all(r["predicted"] == int(r["doc_id"] % 3 > 0) for r in held)
     assert len(out) == 240 + len(ODD) and all(0 <= r["score"] <= 1 for r in out)
     assert {r["score"] for r in quality.score_documents(odd(spark), labels.limit(0)).collect()} == {0.5}
+
+
+def test_near_duplicates_of_a_bucket_that_stays_open(spark):
+    """Hundreds of variants of one text, about as many of its pairs above the threshold as below: all links, no others."""
+    rng = random.Random(7)
+    base = [f"word{i}" for i in range(120)]
+    texts = {}
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randint(0, 7)):
+            words[at] = f"other{rng.randint(0, 9999)}"
+        texts[i] = " ".join(words)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    root = list(range(300))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a in range(300):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in texts}
+    assert 10 < len(set(want.values())) < 300
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, k=5).collect()} == want
