@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .ball_tree import cluster_vectors
 from .common import table
 from .decontaminate import contamination
 from .license_scan import TEMPLATES, scan_licenses
 from .mixing import mix_plan
 from .near_dup import near_duplicates
+from .prefix_trie import prefix_trie
 from .quality import score_documents
 from .secret_scan import scan_secrets
 from .sharding import shard_documents
@@ -60,6 +62,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_secret_scan": op2_secret_scan,
@@ -71,6 +81,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op11_ball_tree": op11_ball_tree,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -144,6 +156,44 @@ q AS (SELECT page_id, octet_length(body) AS payload_bytes, {_LETTERS} AS payload
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM q
 """
 
+
+
+def _lloyd(rounds: int) -> str:
+    """Plain rounds: all distances, the least (distance, number), floors of exact means."""
+    assign = """a{r} AS (SELECT vec_id, e, min({{'d': d, 'k': k}}) AS best FROM (
+      SELECT vec_id, e, k, CAST(list_sum(list_transform(list_zip(e, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{r}) GROUP BY vec_id, e)"""
+    move = """c{n} AS (SELECT c{r}.k, coalesce(m, c) AS c FROM c{r} LEFT JOIN (SELECT k, list(x ORDER BY i) AS m FROM (
+      SELECT best.k AS k, i, CAST(floor(sum(e[i]) / count(*)) AS BIGINT) AS x FROM a{r}, range(1, 65) AS t(i) GROUP BY 1, 2) GROUP BY k) AS n ON n.k = c{r}.k)"""
+    steps = [part.format(r=r, n=r + 1) for r in range(rounds) for part in (assign, move)]
+    return f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS INTEGER) AS k, e AS c FROM v QUALIFY k < 16),
+{", ".join(steps)},
+{assign.format(r=rounds)},
+s AS (SELECT best.k AS k, CAST(sum(best.d) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY 1)
+SELECT vec_id, a.best.k AS cluster, a.best.d AS distance, cluster_inertia, CAST((SELECT sum(cluster_inertia) FROM s) AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN s ON s.k = a.best.k JOIN c{rounds} AS c ON c.k = a.best.k
+"""
+
+
+#: CRC-32 bit by bit: a byte is followed by eight shifts. A node is a distinct list of opening turns.
+_TRIE = r"""
+WITH t AS (SELECT conv_id, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(x ORDER BY p) AS own, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: list_prepend(CAST(ascii(ch) AS BIGINT), CAST([-1, -1, -1, -1, -1, -1, -1, -1] AS BIGINT[]))))),
+        lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 AS h FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) AS s FROM c LEFT JOIN c AS b ON b.conv_id = c.conv_id - c.conv_id % 20),
+m AS (SELECT conv_id, s[1:d] AS path, d, d = len(s) AS ends FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
+n AS (SELECT path, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS e,
+             (count(*) - 1) * coalesce(len(regexp_extract_all(any_value(path[d].t), '[^ 	-]+')), 0) AS own FROM m GROUP BY path),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+u AS (SELECT path[1:a] AS path, own, n_children = 0 AS leaf FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM f)),
+s AS (SELECT path, count(*) FILTER (leaf) AS n_leaves, sum(own) AS saved FROM u GROUP BY path)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(f.e) AS ends_sha256
+FROM f JOIN s USING (path) LEFT JOIN n AS up ON f.depth > 0 AND up.path = f.path[1:f.depth - 1]
+"""
+
 ORACLES: dict[str, str] = {
     "op4_url_filter": _URLS,
     "op5_license_scan": _LICENSES,
@@ -151,4 +201,6 @@ ORACLES: dict[str, str] = {
     "op7_minhash_near_dup": _NEAR,
     "op8_decontamination": _LEAKS,
     "op10_warc": _WARC,
+    "op11_ball_tree": _lloyd(3),
+    "op13_prefix_trie": _TRIE,
 }
