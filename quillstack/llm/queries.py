@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .license_scan import TEMPLATES, scan_licenses
 from .mixing import mix_plan
 from .near_dup import near_duplicates
+from .ngram_join import ngram_join
 from .prefix_trie import prefix_trie
 from .quality import score_documents
 from .secret_scan import scan_secrets
@@ -66,6 +67,10 @@ def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), k=5, percent=80)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
     "op11_ball_tree": op11_ball_tree,
+    "op12_ngram_join": op12_ngram_join,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -120,21 +126,27 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 20
 """
 
-_NEAR = """
+
+def _components(k: int) -> str:
+    """Each document's number of k-word shingles and the smallest document that it reaches by links of 0.8 and more."""
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, sh FROM (
-        SELECT doc_id, array_to_string(w[i:i + 3], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 4)
-        UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 3)),
+        SELECT doc_id, array_to_string(w[i:i + {k - 1}], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM w WHERE len(w) >= {k})
+        UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND {k - 1})),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 pairs AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(v, r) AS (SELECT a, a FROM pairs UNION SELECT pairs.b, reach.r FROM reach JOIN pairs ON pairs.a = reach.v),
 c AS (SELECT v, min(r) AS r FROM reach GROUP BY 1)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.r, w.doc_id) AS component_id, coalesce(c.r, w.doc_id) = w.doc_id AS kept
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.r, w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.v = w.doc_id
 """
 
+
+_NEAR = f"SELECT *, component_id = doc_id AS kept FROM ({_components(4)}) AS found"
+
 _LEAKS = f"""
 WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 iw AS (SELECT DISTINCT item_id, array_to_string(w[s:s + 9], ' ') AS win, least(len(w), 10) AS n
@@ -185,7 +197,7 @@ c AS (SELECT conv_id, list(x ORDER BY p) AS own, xor(list_reduce(list_prepend(CA
 r AS (SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) AS s FROM c LEFT JOIN c AS b ON b.conv_id = c.conv_id - c.conv_id % 20),
 m AS (SELECT conv_id, s[1:d] AS path, d, d = len(s) AS ends FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
 n AS (SELECT path, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS e,
-             (count(*) - 1) * coalesce(len(regexp_extract_all(any_value(path[d].t), '[^ 	-]+')), 0) AS own FROM m GROUP BY path),
+             (count(*) - 1) * coalesce(len(regexp_extract_all(any_value(path[d].t), '[^\x20\x09-\x0D]+')), 0) AS own FROM m GROUP BY path),
 k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
 f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
 u AS (SELECT path[1:a] AS path, own, n_children = 0 AS leaf FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM f)),
@@ -202,5 +214,6 @@ ORACLES: dict[str, str] = {
     "op8_decontamination": _LEAKS,
     "op10_warc": _WARC,
     "op11_ball_tree": _lloyd(3),
+    "op12_ngram_join": _components(5),
     "op13_prefix_trie": _TRIE,
 }
