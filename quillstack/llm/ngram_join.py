@@ -7,11 +7,12 @@ columns that are left after the one they meet in. What the bounds leave is multi
 ``BLOCK`` entries, rows that meet a leader of a block to parts of it of about as many, and each task sums the overlaps of its two
 blocks column by column and discards every pair below ceil(t * (n + m) / (1 + t)).
 
-Order. Columns come by hash, those posted more than ``total / HEAVY`` times last (rarest first), so passages that many
-documents share are left to documents that hold little else. There are at most ``HEAVY`` such columns by construction; each
-pass posts anew and counts until none is added, at most ``PASSES`` times. The order changes the work, never the result.
+Order. All columns are counted in ``SLOTS`` slots of their hashes, in the pass that makes the rows; a column whose slot holds 2, 4, 8 ...
+times the mean comes behind all that hold less, and by hash among its like, so passages that many documents share are left to
+documents that hold little else. The slots are a megabyte at every size; the order changes the work, never the result.
 
-Scale and skew. Copies are one class. In a column of many classes pairs are not all made: classes meet its leaders, links unite
+Scale and skew. Entries are dealt once by column, those of crowded slots also by row, and a column of one class goes before anything else
+is moved. Copies are one class. In a column of many classes pairs are not all made: classes meet its leaders, links unite
 components, and only columns with more than one component left go on, with more leaders from all but the largest component. A leader that
 has met its column leaves it, so when a column is done each two of its classes are in one component or have met there; the first column that a
 linked pair shares is one of them. Counts, minima and maxima are combined before the shuffle, joins are equi-joins that Spark splits.
@@ -36,7 +37,7 @@ from .graph import components
 from .near_dup import _choice, _relabel
 from .shingles import shingle_sets
 
-BLOCK, HEAVY, PASSES = 1 << 20, 1 << 18, 4
+BLOCK, SLOTS, SLICE, SALTS, FEW = 1 << 20, 1 << 20, 1 << 14, 64, 200_000
 
 
 def ngram_join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -44,11 +45,12 @@ def ngram_join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spark = documents.sparkSession
     scratch = Scratch(spark, "ngrams")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.keep(texts.mapInArrow(_rows(k), "doc_id long, n int, d1 long, d2 long"), "rows")
+    both = scratch.keep(texts.mapInArrow(_rows(k), "doc_id long, n int, d1 long, d2 long, slice int, counts binary"), "rows")
+    rows = both.where("slice is null").drop("slice", "counts")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("low"))
     classes = scratch.keep(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    members = _posted(texts.where("doc_id is not null"), rows, classes, k, percent, scratch)
+    members = _posted(texts.where("doc_id is not null"), _crowding(both), classes, k, percent, scratch)
     labels = _united(members, texts, classes, k, percent, scratch)
     found = classes
     if labels is not None:
@@ -60,37 +62,38 @@ def ngram_join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
 
 
-def _posted(texts: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(key, vid, n, at): the posted entries of columns that two and more classes share; ``at``: place in the row's order."""
-    total = rows.where("doc_id is not null").agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
-    bound = max(64, total // HEAVY)
-    heavy: dict[int, int] = {}
-    for turn in range(PASSES):
-        posted = texts.mapInArrow(_postings(k, percent, heavy), "key long, d1 long, n int, at int")
-        shared = posted.groupBy("key").agg(F.count("*").alias("df"), F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi")
-        shared = scratch.keep(shared.select("key", "df"), "shared")
-        more = {r["key"]: r["df"] for r in shared.where(F.col("df") > bound).collect()}  # at most HEAVY, as df sums up to the total
-        if turn == PASSES - 1 or not more.keys() - heavy.keys():
-            break
-        heavy = more | heavy
-        scratch.drop(shared)
-    s = shared.select(F.col("key").alias("s_key"))
-    once = posted.join(s, F.col("key") == F.col("s_key")).drop("s_key").distinct()
+def _crowding(rows: DataFrame) -> np.ndarray:
+    """For each slot how often its count doubles the mean, 0 up to twice the mean; in the driver one byte for each slot."""
+    slices = rows.where("slice is not null").select("slice", "counts", F.spark_partition_id().alias("salt"))
+    for by in (["slice", F.pmod("salt", F.lit(32))], ["slice"]):
+        dealt = slices.select("slice", "counts", "salt").repartition(*by).sortWithinPartitions("slice")
+        slices = dealt.mapInArrow(_summed, "slice int, counts binary, salt int")
+    total = np.zeros(SLOTS, np.int64)
+    for r in slices.collect():
+        total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64)
+    return np.floor(np.log2(np.maximum(total / max(total.mean(), 1.0), 1))).astype(np.uint8)
+
+
+def _posted(texts: DataFrame, crowding: np.ndarray, classes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(key, vid, n, at): the posted entries of columns that two and more classes may share; ``at``: place in the row's order."""
+    posted = texts.mapInArrow(_postings(k, percent, crowding), "key long, salt int, d1 long, n int, at int")
+    dealt = posted.repartition("key", "salt").sortWithinPartitions("key", "salt", "d1")
+    shared = dealt.mapInArrow(_shared, "key long, d1 long, n int, at int")
     known = classes.select(F.col("d1").alias("c1"), F.col("n").alias("cn"), F.col("cid").alias("vid"))
-    return scratch.keep(once.join(known, (F.col("d1") == F.col("c1")) & (F.col("n") == F.col("cn"))).select("key", "vid", "n", "at"), "members")
+    return scratch.keep(shared.join(known, (F.col("d1") == F.col("c1")) & (F.col("n") == F.col("cn"))).select("key", "vid", "n", "at"), "members")
 
 
 def _united(members: DataFrame, texts: DataFrame, classes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame | None:
     """(vid, label) of every class that is linked with another; none at all gives None."""
     first = members.groupBy(F.col("key").alias("f_key")).agg(F.min("vid").alias("f_vid"), F.max("vid").alias("last")).where("f_vid <> last")
     leaders = scratch.keep(members.join(first, (F.col("key") == F.col("f_key")) & (F.col("vid") == F.col("f_vid"))).select(*_led("vid")), "leaders")
-    active, labels, turn, sets = members.withColumn("comp", F.col("vid")), None, 0, None
+    active, labels, turn = members.withColumn("comp", F.col("vid")), None, 0
     while True:
         pairs = scratch.keep(_met(active, leaders, percent), "pairs")
-        if sets is None:
-            if pairs.limit(1).count() == 0:
-                return None
-            sets = _sets(texts, classes, members.select("vid").distinct(), k, scratch)
+        if turn == 0 and pairs.limit(1).count() == 0:
+            return None
+        wanted = pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).distinct()
+        sets = _sets(texts, classes, wanted, k, scratch)
         joined = components(_product(pairs, sets, percent, scratch), scratch)
         labels = scratch.keep(joined.select(F.col("v").alias("vid"), F.col("root").alias("label")) if labels is None else _relabel(labels, joined), "labels")
         gone = leaders.select(F.col("key").alias("l_key"), "l_vid")
@@ -99,9 +102,9 @@ def _united(members: DataFrame, texts: DataFrame, classes: DataFrame, k: int, pe
         rest = scratch.keep(rest, "rest")
         open_keys = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("key").alias("o_key"))
         again = scratch.keep(rest.join(open_keys, F.col("key") == F.col("o_key"), "left_semi"), "active")
-        scratch.drop(rest, leaders, active, pairs)
+        scratch.drop(rest, leaders, active, pairs, sets)
         if again.limit(1).count() == 0:
-            scratch.drop(sets, again)
+            scratch.drop(again)
             return labels
         active, turn = again, turn + 1
         drawn = active.withColumn("draw", F.xxhash64(F.lit(turn), "vid"))
@@ -132,7 +135,9 @@ def _met(active: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
 
 def _sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(vid, columns): the whole rows of the classes in ``wanted``."""
-    ids = classes.join(wanted, F.col("cid") == F.col("vid")).select("vid", "low", F.col("d1").alias("w1"), F.col("d2").alias("w2"))
+    ids = scratch.keep(classes.join(wanted, F.col("cid") == F.col("vid")).select("vid", "low", F.col("d1").alias("w1"), F.col("d2").alias("w2")), "wanted")
+    if ids.count() <= FEW:  # their 32 bytes a row go to all tasks, so that texts stay where they are
+        ids = F.broadcast(ids)
     rows = texts.join(ids, F.col("doc_id") == F.col("low")).select("vid", "text", "w1", "w2")
     return scratch.keep(rows.mapInArrow(_whole_rows(k), "vid long, columns array<long>"), "sets")
 
@@ -220,24 +225,58 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
 
 
 def _rows(k: int):
+    """A row for each text, and after the last one the slots of all columns as counts, a slice each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n", "d1", "d2", "slice", "counts"]
+        slots = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            sizes, marks = [], []
+            sizes, marks, at, held = [], [], [np.empty(0, np.int64)], 0
             for values in shingle_sets(batch.column(1), k):
                 sizes.append(len(values))
                 marks.append(_digest(values) if len(values) else (None, None))
+                at.append(_slot(values))
+                held += len(values)
+                if held > 1 << 20:
+                    slots += np.bincount(np.concatenate(at), minlength=SLOTS)
+                    at, held = [np.empty(0, np.int64)], 0
+            slots += np.bincount(np.concatenate(at), minlength=SLOTS)
             cells = [batch.column(0), pa.array(sizes, pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "n", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([*cells, pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names=names)
+        full = [i for i in range(SLOTS // SLICE) if slots[i * SLICE : (i + 1) * SLICE].any()]
+        none = [pa.nulls(len(full), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+        counts = [slots[i * SLICE : (i + 1) * SLICE].tobytes() for i in full]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(full, pa.int32()), pa.array(counts, pa.binary())], names=names)
 
     return run
 
 
-def _postings(k: int, percent: int, heavy: dict[int, int]):
-    # Sorted for the search; the rank orders heavy columns among themselves, rarest first.
-    keys = np.array(sorted(heavy), np.int64)
-    rank = np.empty(len(keys), np.int64)
-    rank[np.lexsort((keys, np.array([heavy[x] for x in keys.tolist()], np.int64)))] = np.arange(len(keys))
+def _slot(values: np.ndarray) -> np.ndarray:
+    # Not the high bits, by which columns are ordered.
+    return (values & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the counts of each slice; slices come sorted."""
+
+    def row(at: int, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sums.tobytes()], pa.binary()), pa.array([at], pa.int32())], names=["slice", "counts", "salt"])
+
+    at, sums = None, None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            counts = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
+            if batch.column(0)[i].as_py() == at:
+                sums += counts
+                continue
+            if at is not None:
+                yield row(at, sums)
+            at, sums = batch.column(0)[i].as_py(), counts.copy()
+    if at is not None:
+        yield row(at, sums)
+
 
+def _postings(k: int, percent: int, crowding: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
@@ -246,16 +285,9 @@ def _postings(k: int, percent: int, heavy: dict[int, int]):
                 if not n:
                     continue
                 first = n - -(-n * percent // 100) + 1
-                columns = values.view(np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, columns), len(keys) - 1)
-                    late = keys[at] == columns
-                    light = columns[~late][:first]
-                    fill = first - len(light)
-                    taken = np.concatenate((light, columns[late][np.argsort(rank[at[late]])[:fill]])) if fill else light
-                else:
-                    taken = columns[:first]
-                out.append((taken, _digest(values)[0], n))
+                crowd = crowding[_slot(values)]
+                taken = np.argsort(crowd, kind="stable")[:first]
+                out.append((values[taken].view(np.int64), crowd[taken], _digest(values)[0], n))
                 held += first
                 if held > 1 << 17:
                     yield _entries(out)
@@ -266,10 +298,34 @@ def _postings(k: int, percent: int, heavy: dict[int, int]):
     return run
 
 
-def _entries(rows: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries sorted by (key, salt, d1) without repeats and without those of a column with one row; columns dealt by row as well stay."""
+    names = ["key", "d1", "n", "at"]
+    held, alone = None, True  # the last entry so far, and whether it has met none of its column
+    for batch in batches:
+        cells = {name: batch.column(name).to_numpy() for name in ("key", "salt", "d1", "n", "at")}
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            cells = {name: np.concatenate((held[name], c)) for name, c in cells.items()}
+        new = np.ones(len(cells["key"]), bool)
+        new[1:] = (np.diff(cells["key"]) != 0) | (np.diff(cells["salt"]) != 0) | (np.diff(cells["d1"]) != 0)
+        cells = {name: c[new] for name, c in cells.items()}
+        like = (np.diff(cells["key"]) == 0) & (np.diff(cells["salt"]) == 0)
+        met = np.concatenate(([not alone], like)) | np.concatenate((like, [False])) | (cells["salt"] > 0)
+        kept = met[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(cells[c][:-1][kept]) for c in names], names=names)
+        held, alone = {name: c[-1:] for name, c in cells.items()}, not met[-1]
+    if held is not None and not alone:
+        yield pa.RecordBatch.from_arrays([pa.array(held[c]) for c in names], names=names)
+
+
+def _entries(rows: list[tuple[np.ndarray, np.ndarray, int, int]]) -> pa.RecordBatch:
     lengths = [len(r[0]) for r in rows]
-    cells = [np.concatenate([r[0] for r in rows]), np.repeat(np.array([r[1] for r in rows], np.int64), lengths), np.repeat(np.array([r[2] for r in rows], np.int32), lengths), np.concatenate([np.arange(x, dtype=np.int32) for x in lengths])]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["key", "d1", "n", "at"])
+    crowd, d1 = np.concatenate([r[1] for r in rows]), np.repeat(np.array([r[2] for r in rows], np.int64), lengths)
+    salt = np.where(crowd > 0, d1 % SALTS + 1, 0).astype(np.int32)
+    cells = [np.concatenate([r[0] for r in rows]), salt, d1, np.repeat(np.array([r[3] for r in rows], np.int32), lengths), np.concatenate([np.arange(x, dtype=np.int32) for x in lengths])]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["key", "salt", "d1", "n", "at"])
 
 
 def _whole_rows(k: int):

@@ -92,10 +92,8 @@ def linked(rows, k=5, percent=80):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_ngram_join_equals_all_pairs(spark, monkeypatch, small):
-    if small:  # many blocks and parts, and nearly every shared column posted last
+    if small:  # many blocks and parts
         monkeypatch.setattr(ngram_join, "BLOCK", 500)
-        monkeypatch.setattr(ngram_join, "HEAVY", 1 << 30)
-        monkeypatch.setattr(ngram_join, "max", lambda *x: 2 if x[0] == 64 else max(*x), raising=False)
     rnd = random.Random(5)
     word = lambda: f"w{rnd.randrange(3000)}"
     line = [word() for _ in range(30)]  # a passage that a third of all rows share
