@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
-#: Tables of texts, which cost far more to work on than to move, and their keys.
-TEXTS = {"documents": "doc_id", "pages": "page_id"}
+#: Tables of texts, which cost far more to work on than to move.
+TEXTS = ("documents", "pages")
+#: A table of more splits is never moved to deal it out, however many cores there are.
+FEW_SPLITS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; texts that come in fewer splits than there are cores, as one row group does, are dealt to all of them."""
+    """A table as it lies; texts in a handful of splits, as one row group is, are dealt row by row to the cores."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXTS and rows.rdd.getNumPartitions() < 2 * cores:
-        return rows.repartition(cores, TEXTS[name])
+    if name in TEXTS and rows.rdd.getNumPartitions() < min(FEW_SPLITS, spark.sparkContext.defaultParallelism):
+        return rows.repartition(spark.sparkContext.defaultParallelism)
     return rows
 
 

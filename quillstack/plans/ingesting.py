@@ -138,8 +138,8 @@ def weight_update(spark: SparkSession, sf: str) -> DataFrame:
 def learned_excerpts(spark: SparkSession, sf: str) -> DataFrame:
     """Excerpts of the best documents of every benchmark text, for 120 tokens."""
     asked = table(spark, sf, "benchmark").select("item_id", tx.terms(F.col("text")).alias("asked"))
-    rows = bm25_topk(spark, sf).where("rnk <= 2").join(table(spark, sf, "documents").select("doc_id", tx.sentences(F.col("text")).alias("sentences")), "doc_id").join(asked, "item_id")
-    shaped = rows.select(F.concat_ws(":", "item_id", "doc_id").alias("key"), F.lit(120).alias("allowance"), "sentences", F.transform("sentences", lambda s: tx.overlap(F.col("asked"), tx.terms(s))).alias("overlaps"))
+    rows = bm25_topk(spark, sf).where("rnk <= 2").join(table(spark, sf, "documents").select("doc_id", "text", tx.sentences(F.col("text")).alias("sentences")), "doc_id").join(asked, "item_id")
+    shaped = rows.select(F.concat_ws(":", "item_id", "doc_id").alias("key"), F.lit(120).alias("allowance"), "text", "sentences", F.transform("sentences", lambda s: tx.overlap(F.col("asked"), tx.terms(s))).alias("overlaps"))
     return selection.compress_learned(shaped).select("key", F.md5("excerpt").alias("excerpt_md5"), F.length("excerpt").cast("long").alias("length"))
 
 

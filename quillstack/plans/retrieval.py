@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from ..functions import text as tx
 from ..functions.vectors import feature_hash
 from ..operators import evaluation, ranking, search, selection
+from ..scratch import Scratch
 from .common import table
 
 NOW = "2024-06-30"
@@ -153,16 +154,36 @@ def budget_fill(spark: SparkSession, sf: str) -> DataFrame:
     return selection.fill_budget(rows)
 
 
+def _relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored contradictions: parts that follow each other in an order, one line returned and the other not, are documents at odds."""
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    after = line.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("p"), F.col("l_returnflag").alias("f"))
+    both = line.join(after, (F.col("l_orderkey") == F.col("o")) & (F.col("l_linenumber") == F.col("n")) & ((F.col("l_returnflag") == "R") != (F.col("f") == "R")))
+    name = lambda c: F.concat(F.lit("document:"), F.col(c).cast("string"))
+    return both.select(name("l_partkey").alias("src"), name("p").alias("dst"))
+
+
+def _conflicts(rows: DataFrame, relations: DataFrame) -> DataFrame:
+    nodes = F.array(F.concat(F.lit("chunk:"), F.col("key")), F.concat(F.lit("document:"), F.col("key")))
+    pairs = selection.contradictions_between(rows.select("request", "key", nodes.alias("nodes")), relations)
+    judged = rows.select("request", "key", (F.col("at") % 3).cast("int").alias("authority"), F.col("at").cast("double").alias("at"), F.lit(0.5).alias("confidence"), "score")
+    return selection.conflict_losers(judged, pairs)
+
+
+def package_contradictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of a request that a stored relation sets against each other."""
+    rows = bm25_topk(spark, sf).select(F.col("item_id").alias("request"), F.col("doc_id").cast("string").alias("key"))
+    return selection.contradictions_between(rows.withColumn("nodes", F.array(F.concat(F.lit("document:"), F.col("key")))), _relations(spark, sf))
+
+
 def conflict_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _request_candidates(spark, sf).select("request", "key", (F.col("at") % 3).cast("int").alias("authority"), F.col("at").cast("double").alias("at"), F.lit(0.5).alias("confidence"), "score", "rnk")
-    l, r = rows.alias("l"), rows.alias("r")  # noqa: E741
-    pairs = l.join(r, (F.col("l.request") == F.col("r.request")) & (F.col("r.rnk") == F.col("l.rnk") + 1)).select(F.col("l.request").alias("request"), F.col("l.key").alias("a"), F.col("r.key").alias("b"))
-    return selection.conflict_losers(rows, pairs)
+    return _conflicts(_request_candidates(spark, sf), _relations(spark, sf))
 
 
 def context_package(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole answer to every benchmark text: search, duplicates, diversity, tiers, budget, excerpts, citations, Markdown."""
-    rows = _request_candidates(spark, sf)
+    """The whole answer to every benchmark text: search, conflicts, duplicates, diversity, tiers, budget, excerpts, citations, Markdown."""
+    rows = Scratch(spark, "package").keep(_request_candidates(spark, sf), "candidates")
+    rows = rows.join(_conflicts(rows, _relations(spark, sf)).select("request", "key"), ["request", "key"], "left_anti")
     gone = _repeats(rows).select("request", "key")
     left = rows.join(gone, ["request", "key"], "left_anti")
     ordered = selection.mmr(left.withColumn("embedding", feature_hash(F.col("text"))).select("request", "key", "score", "embedding"))
@@ -175,7 +196,7 @@ def context_package(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("request"), tx.terms(F.col("text")).alias("asked"))
     items = placed.join(filled.select("request", "key", "allowance"), ["request", "key"]).join(asked, "request")
     parts = items.withColumn("sentences", tx.sentences(F.col("text"))).withColumn("overlaps", F.transform("sentences", lambda s: tx.overlap(F.col("asked"), tx.terms(s))))
-    shaped = parts.select(F.concat_ws(":", "request", "key").alias("key"), "allowance", "sentences", "overlaps")
+    shaped = parts.select(F.concat_ws(":", "request", "key").alias("key"), "allowance", "text", "sentences", "overlaps")
     excerpts = selection.compress(shaped).withColumnRenamed("key", "full_key")
     served = items.select("request", "key", "position", F.concat_ws(":", "request", "key").alias("full_key")).join(excerpts, "full_key", "left")
     cited = selection.assign_citations(served.select("request", "key", "position", "excerpt", F.lit("Sources").alias("section"), F.lit(1).alias("section_rank"), F.concat(F.lit("Document "), F.col("key")).alias("title")))
@@ -204,7 +225,7 @@ h AS (SELECT item_id, doc_id, round(raw, 6) AS heuristic, round(greatest(0, leas
 _COV = """qd AS (SELECT item_id, list(term) AS qw FROM q GROUP BY 1),
 cv AS (SELECT bm.item_id, bm.doc_id, bm.score, round(len(list_intersect(qd.qw, list_distinct(d.t))) / len(qd.qw), 4) AS coverage FROM bm JOIN qd USING (item_id) JOIN d USING (doc_id) WHERE rnk <= 3)"""
 
-QUERIES = {f.__name__: f for f in (bm25_topk, knn_topk, term_overlap_topk, rrf_fusion, multi_query_discount, heuristic_rerank, intent_inference, query_coverage, sufficiency, freshness_decay, recall_at_k, ndcg_at_k, golden_replay, citation_faithfulness, judge_sample, near_duplicate_selection, mmr_selection, budget_fill, conflict_resolution, context_package)}
+QUERIES = {f.__name__: f for f in (bm25_topk, knn_topk, term_overlap_topk, rrf_fusion, multi_query_discount, heuristic_rerank, intent_inference, query_coverage, sufficiency, freshness_decay, recall_at_k, ndcg_at_k, golden_replay, citation_faithfulness, judge_sample, near_duplicate_selection, mmr_selection, budget_fill, package_contradictions, conflict_resolution, context_package)}
 
 ORACLES = {
     "bm25_topk": f"WITH {_BM25} SELECT item_id, doc_id, score, rnk FROM bm",
@@ -233,6 +254,9 @@ ORACLES = {
           SELECT *, CASE WHEN lft - cost > 0 AND lft - cost >= least(want, 30) THEN least(want, lft - cost) ELSE 0 END AS got FROM (
             SELECT x.request, x.key, x.rnk, x.pin, x.want, r.lft, r.op, r.os, 20 + CASE WHEN (x.pin AND r.op) OR (NOT x.pin AND r.os) THEN 0 ELSE 6 END AS cost FROM x JOIN r ON r.request = x.request AND x.rnk = r.rnk + 1)))
       SELECT request, key, allowance > 0 AS included, allowance FROM r WHERE rnk > 0""",
+    "package_contradictions": f"""WITH {_BM25}, x AS (SELECT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE (a.l_returnflag = 'R') <> (b.l_returnflag = 'R'))
+      SELECT DISTINCT p.item_id AS request, least(CAST(p.doc_id AS VARCHAR), CAST(q.doc_id AS VARCHAR)) AS a, greatest(CAST(p.doc_id AS VARCHAR), CAST(q.doc_id AS VARCHAR)) AS b
+      FROM x JOIN bm p ON p.doc_id = s JOIN bm q ON q.doc_id = t AND q.item_id = p.item_id WHERE p.doc_id <> q.doc_id""",
     "recall_at_k": f"""WITH {_BM25}, e AS (SELECT item_id, doc_id FROM ov WHERE rnk <= 3), f AS (SELECT e.item_id, count(*) AS n_expected, count(bm.doc_id) AS hits FROM e LEFT JOIN bm ON bm.item_id = e.item_id AND bm.doc_id = e.doc_id AND bm.rnk <= 5 GROUP BY 1)
       SELECT item_id, n_expected, round(hits / n_expected, 4) AS recall FROM f""",
     "ndcg_at_k": f"""WITH {_BM25}, e AS (SELECT item_id, doc_id FROM ov WHERE rnk <= 3), f AS (SELECT e.item_id, count(*) AS n, coalesce(sum(1 / log2(bm.rnk + 1)), 0) AS dcg FROM e LEFT JOIN bm ON bm.item_id = e.item_id AND bm.doc_id = e.doc_id AND bm.rnk <= 5 GROUP BY 1)

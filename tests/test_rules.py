@@ -182,18 +182,66 @@ def test_earlier_copy_of_another_kind_stays(spark):
     assert {(r["key"], r["kept"]) for r in selection.near_duplicates(c).collect()} == {("b", "c"), ("a", "c")}
 
 
+EXCERPT = "key string, allowance long, text string, sentences array<string>, overlaps array<double>"
+
+
 def test_learned_excerpts(spark):
     texts = ["Intro of the page here.", "The answer is given in ATLAS-107 today.", "The answer is given in ATLAS-107 now.", "Unrelated words about the weather outside.", "Ok."]
-    scores = selection.sentence_scores(texts, [0.0, 1.0, 1.0, 0.0, 0.0])
-    assert scores[1] > scores[2] > scores[0] > scores[4]
-    assert selection.choose_sentences(texts, scores, 11) == [1] and selection.choose_sentences(texts, scores, 22) == [1, 2, 4]
-    for allowance in range(0, 60, 3):
-        picked = selection.choose_sentences(texts, scores, allowance)
-        assert sum(-(-len(texts[i]) * 10 // 38) for i in picked) <= allowance
-    items = spark.createDataFrame([("k", 22, texts, [0.0, 1.0, 1.0, 0.0, 0.0])], "key string, allowance long, sentences array<string>, overlaps array<double>")
-    assert selection.compress_learned(items).first()["excerpt"] == f"{texts[1]} {texts[2]} […] {texts[4]}"
+    items = spark.createDataFrame([("k", n, " ".join(texts), texts, [0.0, 1.0, 1.0, 0.0, 0.0]) for n in (11, 23, 60)], EXCERPT)
+    small, middle, whole = [r["excerpt"] for r in selection.compress_learned(items).orderBy("key", F.length("excerpt")).collect()]
+    assert small == f"… {texts[1]}" and whole == " ".join(texts)
+    # The third sentence repeats the second, but is worth more than the rest; the last fits what is left.
+    assert middle == f"… {texts[1]} {texts[2]} … {texts[4]}"
     # A model that likes the weather puts its sentence first.
-    assert texts[3] in selection.compress_learned(items, pruner=lambda s: [0, 0, 0, 1, 0]).first()["excerpt"]
+    assert texts[3] in selection.compress_learned(items.where("allowance = 23"), pruner=lambda s: [0, 0, 0, 1, 0]).first()["excerpt"]
+
+
+def test_excerpts_are_never_empty(spark):
+    long = "A sentence that is much longer than all that its allowance of tokens holds"
+    cases = [("one", 5, long, [long]), ("two", 5, f"{long}. Second one which is as long as the first sentence.", [f"{long}.", "Second one which is as long as the first sentence."]), ("fits", 40, "Short  text [S1]. End.", ["Short text [S1].", "End."]), ("none", 0, long, [long]), ("empty", 9, "", []), ("null", 9, None, None)]
+    items = spark.createDataFrame([(k, n, t, s, s and [0.5] * len(s)) for k, n, t, s in cases], EXCERPT)
+    for shorten in (selection.compress, selection.compress_learned):
+        got = {r["key"]: r["excerpt"] for r in shorten(items).collect()}
+        assert got == {"one": "A sentence that is…", "two": "A sentence that is…", "fits": "Short text (S1). End.", "none": "", "empty": "", "null": ""}
+
+
+def test_excerpts_equal_a_plain_choice(spark):
+    """The rule written plainly over whole trial texts: gap marks count, the text fits whole or sentence by sentence."""
+    import math
+    import random
+
+    def tokens(text):
+        return max(1, math.ceil(len(text) / 3.8)) if text else 0
+
+    def joined(picked, texts):
+        return "".join(("" if n == 0 and i == 0 else "… " if n == 0 else " " if picked[n - 1] == i - 1 else " … ") + texts[i] for n, i in enumerate(picked))
+
+    def plain(texts, overlaps, allowance):
+        if tokens(" ".join(texts)) <= allowance:
+            return " ".join(texts)
+        worth = [(0.7 * o + 0.3 / (1 + i)) * (0.5 if len(t.split()) < 4 else 1) for i, (o, t) in enumerate(zip(overlaps, texts, strict=True))]
+        picked = []
+        for i in sorted(range(len(texts)), key=lambda i: -worth[i]):
+            if tokens(joined(sorted([*picked, i]), texts)) <= allowance:
+                picked = sorted([*picked, i])
+        return joined(picked, texts) if picked else None
+
+    rnd = random.Random(6)
+    cases = []
+    for n in range(120):
+        texts = [" ".join("w" * rnd.randrange(1, 9) for _ in range(rnd.randrange(1, 12))) for _ in range(rnd.randrange(2, 9))]
+        cases.append((str(n), rnd.randrange(1, 70), " ".join(texts), texts, [rnd.random() for _ in texts]))
+    got = {r["key"]: r["excerpt"] for r in selection.compress(spark.createDataFrame(cases, EXCERPT)).collect()}
+    for key, allowance, _, texts, overlaps in cases:
+        want = plain(texts, overlaps, allowance)
+        assert got[key] == want if want is not None else got[key].endswith("…") and tokens(got[key][:-1]) <= allowance
+
+
+def test_contradictions_between_candidates(spark):
+    given = [(1, "a", ["c1", "d1"]), (1, "b", ["c2", "d1"]), (1, "c", ["m1", "m2"]), (2, "a", ["c1", "d1"]), (2, "z", ["m9"])]
+    c = spark.createDataFrame(given, "request long, key string, nodes array<string>")
+    r = spark.createDataFrame([("d1", "m2"), ("m2", "c1"), ("m9", "q"), ("c1", "c1"), ("m9", "c2")], "src string, dst string")
+    assert rows(selection.contradictions_between(c, r)) == [(1, "a", "c"), (1, "b", "c")]
 
 
 def test_budget_after_rendering(spark):
@@ -276,8 +324,10 @@ def test_statements_of_doubtful_sources(spark):
 
 def test_excerpts_by_similarity(spark):
     texts = ["First sentence of the text.", "Second sentence of the text.", "Third sentence of the text."]
-    items = spark.createDataFrame([("k", 8, texts, [1.0, 0.0, 0.0], [0.0, 0.0, 1.0])], "key string, allowance long, sentences array<string>, overlaps array<double>, similarities array<double>")
-    assert selection.compress(items).first()["excerpt"] == texts[2] and selection.compress(items.drop("similarities")).first()["excerpt"] == texts[0]
+    items = spark.createDataFrame([("k", 9, texts, [1.0, 0.0, 0.0], [0.0, 0.0, 1.0])], "key string, allowance long, sentences array<string>, overlaps array<double>, similarities array<double>")
+    assert selection.compress(items).first()["excerpt"] == texts[0] and selection.compress(items.withColumn("overlaps", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))).first()["excerpt"] == f"… {texts[2]}"
+    # Without vectors the place counts more.
+    assert selection.compress(items.drop("similarities").withColumn("overlaps", F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0)))).first()["excerpt"] == f"… {texts[2]}"
 
 
 def test_sampled_judgements_and_session_summaries(spark):
