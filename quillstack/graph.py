@@ -41,3 +41,24 @@ def _tidy(pairs: DataFrame) -> DataFrame:
 def _checksum(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], int(row["h"] or 0)
+
+
+def greedy_leaders(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(v, leader) of every vertex that joins an earlier one when vertices are taken in order and each joins the first leader that it has an edge with.
+
+    edges: a, b, at; a comes before b, at orders the a. The sequential result without a sequence: a vertex with no undecided earlier
+    neighbour leads, those it reaches join, and edges of the decided go; the rounds grow with the longest chain of such decisions.
+    """
+    edges = scratch.keep(edges.distinct(), "order")
+    left, joined = edges, None
+    while left.limit(1).count():
+        first = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
+        lost = scratch.keep(left.join(first, "a", "left_semi").select(F.col("b").alias("v")).distinct(), "lost")
+        joined = lost if joined is None else joined.unionByName(lost)
+        last, left = left, scratch.keep(left.join(lost, F.col("a") == F.col("v"), "left_anti").join(lost, F.col("b") == F.col("v"), "left_anti"), "left")
+        if last is not edges:
+            scratch.drop(last)
+    if joined is None:
+        return edges.select(F.col("b").alias("v"), F.col("a").alias("leader"))
+    led = edges.join(joined, F.col("a") == F.col("v"), "left_anti").groupBy("b").agg(F.min_by("a", "at").alias("leader"))
+    return scratch.keep(led.withColumnRenamed("b", "v"), "led")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..graph import greedy_leaders
 from ..scratch import Scratch
 
 
@@ -143,26 +143,32 @@ def gap_report(topics: DataFrame, now: Column, days: int) -> DataFrame:
 
 
 def cluster_topics(topics: DataFrame, project: str = "project", overlap: float = 0.6) -> DataFrame:
-    """(project, topic_id, cluster): greedy grouping of wordings, the fullest first. topics: project, topic_id, terms (distinct topics of a project)."""
-
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(size=rows["terms"].map(len)).sort_values(["size", "topic_id"], ascending=[False, True])
-        known: list[tuple[int, set]] = []
-        place = []
-        for row in rows.itertuples():
-            mine, home = set(row.terms), None
-            for name, theirs in known:
-                shared = len(mine & theirs)
-                if (mine == theirs) if 1 in (len(mine), len(theirs)) else (shared >= 2 and shared / min(len(mine), len(theirs)) >= overlap):
-                    home = name
-                    break
-            if home is None:
-                home = row.topic_id
-                known.append((home, mine))
-            place.append(home)
-        return pd.DataFrame({project: rows[project], "topic_id": rows["topic_id"], "cluster": place})
-
-    return topics.where(F.size("terms") > 0).groupBy(project).applyInPandas(group, f"{project} long, topic_id long, cluster long")
+    """(project, topic_id, cluster): wordings of a project, the fullest first, join the first fuller wording that leads and tells the same.
+
+    topics: project, topic_id, terms (distinct topics of a project). Two wordings tell the same if they share two terms and more, at least
+    ``overlap`` of the shorter; a wording of one term equals only itself. The shorter one meets the longer in one of its rarest
+    terms, equal wordings are one from the start, and the sequence is decided in rounds without a group for a project.
+    """
+    scratch = Scratch(topics.sparkSession, "topics")
+    rows = topics.where(F.size("terms") > 0).select(F.col(project).alias("project"), "topic_id", F.array_sort(F.array_distinct("terms")).alias("terms"))
+    heads = scratch.keep(rows.groupBy("project", "terms").agg(F.min("topic_id").alias("head")), "heads")
+    at = F.struct((-F.size("terms")).alias("less"), F.col("head").alias("head"))
+    each = heads.where(F.size("terms") > 1).select("project", "head", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    df = each.groupBy("project", "term").agg(F.count("*").alias("df"))
+    order = each.join(df, ["project", "term"]).groupBy("project", "head", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("o"))
+    first = (F.col("n") - F.greatest(F.lit(2), F.ceil(F.col("n") * overlap - 1e-9)) + 1).cast("int")
+    probe = order.select("project", F.col("head").alias("b"), F.explode(F.slice("o", F.lit(1), first)).alias("e")).select("project", "b", "e.term")
+    meet = probe.join(each.select("project", "term", F.col("head").alias("a")), ["project", "term"]).select("project", "a", "b").distinct()
+    side = lambda p: heads.select("project", F.col("head").alias(p), F.col("terms").alias(f"t{p}"), at.alias(f"at{p}"))
+    both = meet.join(side("a"), ["project", "a"]).join(side("b"), ["project", "b"]).where(F.col("ata") < F.col("atb"))
+    shared = F.size(F.array_intersect("ta", "tb"))
+    same = both.where((shared >= 2) & (shared >= overlap * F.size("tb") - 1e-9))
+    name = lambda p: F.struct(F.col("project").alias("project"), F.col(p).alias("head"))
+    led = greedy_leaders(same.select(name("a").alias("a"), name("b").alias("b"), F.col("ata").alias("at")), scratch)
+    led = led.select(F.col("v.project").alias("l_project"), F.col("v.head").alias("l_head"), F.col("leader.head").alias("leader"))
+    homes = heads.join(led, F.col("project").eqNullSafe(F.col("l_project")) & (F.col("head") == F.col("l_head")), "left").select(F.col("project").alias("h_project"), F.col("terms").alias("h_terms"), F.coalesce("leader", "head").alias("cluster"))
+    out = rows.join(homes, F.col("project").eqNullSafe(F.col("h_project")) & (F.col("terms") == F.col("h_terms")))
+    return out.select(F.col("project").alias(project), "topic_id", "cluster")
 
 
 def alerts(counts: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
