@@ -3,8 +3,8 @@
 A column of the incidence matrix is a word shingle (a 64-bit hash), a row a class of documents with equal sets. Two sets that reach
 the threshold share a column among the first n - ceil(n * t) + 1 of each in any common order, so only these entries of a row are
 posted. Rows meet in a column they share there, if their sizes allow the threshold: n and m by 100 * min >= t * max, and by the
-columns that are left after the one they meet in; and by ``BITS`` parities of their columns, which differ in no more places than the sets
-do. What the bounds leave is multiplied exactly: rows of leaders are dealt to blocks of about
+columns that are left after the one they meet in; and by parities of their columns, ``BITS`` and then two for each column, which differ in no
+more places than the sets do. What the bounds leave is multiplied exactly: rows of leaders are dealt to blocks of about
 ``BLOCK`` entries, rows that meet a leader of a block to parts of it of about as many, and each task sums the overlaps of its two
 blocks column by column and discards every pair below ceil(t * (n + m) / (1 + t)).
 
@@ -46,9 +46,9 @@ def ngram_join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spark = documents.sparkSession
     scratch = Scratch(spark, "ngrams")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = scratch.keep(texts.mapInArrow(_rows(k), "doc_id long, n int, d1 long, d2 long, bits array<long>, slice int, counts binary"), "rows")
+    both = scratch.keep(texts.mapInArrow(_rows(k), "doc_id long, n int, d1 long, d2 long, bits array<long>, more array<long>, slice int, counts binary"), "rows")
     rows = both.where("slice is null").drop("slice", "counts")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("low"), F.min("bits").alias("bits"))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("low"), F.min("bits").alias("bits"), F.min("more").alias("more"))
     classes = scratch.keep(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     members = _posted(texts.where("doc_id is not null"), _crowding(both), classes, k, percent, scratch)
@@ -90,7 +90,10 @@ def _united(members: DataFrame, texts: DataFrame, classes: DataFrame, k: int, pe
     leaders = scratch.keep(members.join(first, (F.col("key") == F.col("f_key")) & (F.col("vid") == F.col("f_vid"))).select(*_led("vid")), "leaders")
     active, labels, turn = members.withColumn("comp", F.col("vid")), None, 0
     while True:
-        pairs = scratch.keep(_close(scratch.keep(_met(active, leaders, percent), "met"), classes, percent), "pairs")
+        pairs = scratch.keep(_met(active, leaders, percent), "met")
+        for parities in ("bits", "more"):
+            last, pairs = pairs, scratch.keep(_close(pairs, classes, parities, percent), "pairs")
+            scratch.drop(last)
         if turn == 0 and pairs.limit(1).count() == 0:
             return None
         wanted = pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).distinct()
@@ -134,13 +137,16 @@ def _met(active: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("vid").alias("a"), F.col("l_vid").alias("b"), F.col("comp").alias("ca"), F.col("l_comp").alias("cb"), F.col("n").alias("na"), F.col("l_n").alias("nb")).distinct()
 
 
-def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _close(pairs: DataFrame, classes: DataFrame, parities: str, percent: int) -> DataFrame:
     """The pairs whose parities do not differ in more places than two sets at the threshold do."""
-    a, b = (classes.select(F.col("cid").alias(f"{x}_cid"), F.col("bits").alias(f"{x}_bits")) for x in "ab")
+    a, b = (classes.select(F.col("cid").alias(f"{x}_cid"), F.col(parities).alias(f"{x}_bits")) for x in "ab")
     both = pairs.join(a, F.col("a") == F.col("a_cid")).join(b, F.col("b") == F.col("b_cid"))
-    differing = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    # Of twice as many places the halves are laid on each other: sizes within the threshold differ by one doubling at most.
+    width = F.least(F.size("a_bits"), F.size("b_bits"))
+    folded = lambda c: F.when(F.size(c) > width, F.zip_with(F.slice(c, F.lit(1), width), F.slice(c, width + 1, width), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
+    differing = F.aggregate(F.zip_with(folded("a_bits"), folded("b_bits"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
     needed = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    return both.where(differing <= F.col("na") + F.col("nb") - 2 * needed).select(*pairs.columns)
+    return both.where(F.coalesce(differing <= F.col("na") + F.col("nb") - 2 * needed, F.lit(True))).select(*pairs.columns)
 
 
 def _sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame, k: int, scratch: Scratch) -> DataFrame:
@@ -238,24 +244,25 @@ def _rows(k: int):
     """A row for each text, and after the last one the slots of all columns as counts, a slice each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "d1", "d2", "bits", "slice", "counts"]
+        names = ["doc_id", "n", "d1", "d2", "bits", "more", "slice", "counts"]
         slots = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            sizes, marks, bits, at, held = [], [], [], [np.empty(0, np.int64)], 0
+            sizes, marks, bits, more, at, held = [], [], [], [], [np.empty(0, np.int64)], 0
             for values in shingle_sets(batch.column(1), k):
                 sizes.append(len(values))
                 marks.append(_digest(values) if len(values) else (None, None))
-                bits.append(_parities(values))
+                bits.append(_parities(values, BITS))
+                more.append(_parities(values, 1 << (2 * len(values) - 1).bit_length()) if 2 * len(values) > BITS else None)
                 at.append(_slot(values))
                 held += len(values)
                 if held > 1 << 20:
                     slots += np.bincount(np.concatenate(at), minlength=SLOTS)
                     at, held = [np.empty(0, np.int64)], 0
             slots += np.bincount(np.concatenate(at), minlength=SLOTS)
-            cells = [batch.column(0), pa.array(sizes, pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
+            cells = [batch.column(0), pa.array(sizes, pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*cells, pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names=names)
         full = [i for i in range(SLOTS // SLICE) if slots[i * SLICE : (i + 1) * SLICE].any()]
-        none = [pa.nulls(len(full), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+        none = [pa.nulls(len(full), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
         counts = [slots[i * SLICE : (i + 1) * SLICE].tobytes() for i in full]
         yield pa.RecordBatch.from_arrays([*none, pa.array(full, pa.int32()), pa.array(counts, pa.binary())], names=names)
 
@@ -267,9 +274,9 @@ def _slot(values: np.ndarray) -> np.ndarray:
     return (values & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def _parities(values: np.ndarray) -> np.ndarray:
-    """Whether an odd number of columns falls in each of ``BITS`` places, packed."""
-    odd = np.bincount((values >> np.uint64(20)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+def _parities(values: np.ndarray, places: int) -> np.ndarray:
+    """Whether an odd number of columns falls in each of so many places, packed."""
+    odd = np.bincount((values >> np.uint64(20)).astype(np.int64) & (places - 1), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
