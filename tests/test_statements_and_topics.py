@@ -18,7 +18,7 @@ WORDS = "budget retard serveur client contrat livraison equipe projet facture ba
 def statement_rows(rnd, n, start=0):
     rows = []
     for k in range(n):
-        base = random.Random(rnd.randrange(18))
+        base = random.Random(rnd.randrange(10))
         words = [base.choice(WORDS) for _ in range(16)]
         if rnd.random() < 0.3:
             words[rnd.randrange(16)] = rnd.choice(WORDS)
@@ -67,7 +67,7 @@ def sequential(spark, stored, rows):
 def test_statements_merge_like_one_after_the_other(spark, tmp_path):
     rnd = random.Random(2)
     frame = lambda rows: spark.createDataFrame([*rows, ("void", 0, 9, "fact", "  "), ("null", 0, 9, "fact", None)], "id string, doc long, i int, kind string, content string")
-    first, second = statement_rows(rnd, 70), statement_rows(rnd, 70, 100)
+    first, second = statement_rows(rnd, 40), statement_rows(rnd, 40, 100)
     index = StatementIndex(spark, str(tmp_path / "index")).start(frame(first))
     stored = []
     for delivery, rows in ((1, first), (2, second)):
