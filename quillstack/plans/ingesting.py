@@ -12,8 +12,8 @@ from ..operators import answering, documents as d, evaluation, lifecycle, search
 from ..sources import readers
 from ..streaming import windows
 from .common import CANDIDATES, candidates, events, table
-from .processing import _drained
 from .retrieval import _BM25, bm25_topk
+from .streams import in_deliveries
 
 
 def document_summaries(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,31 +160,27 @@ def mail_threads(spark: SparkSession, sf: str) -> DataFrame:
     return readers.thread_markdown(mails).select("thread_id", F.md5("markdown").alias("markdown_md5"))
 
 
-def _stream(spark: SparkSession, sf: str, late: str = "0 seconds") -> DataFrame:
-    return windows.event_stream(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema, "ts", late=late)
-
-
 def stream_once_per_version(spark: SparkSession, sf: str) -> DataFrame:
-    """The first stale event of every (item, version)."""
-    marked = _stream(spark, sf, late="60 days").select(F.col("user_id").alias("item"), F.col("event_type").alias("version"), "ts")
-    return _drained(windows.once_per_version(marked, ["item", "version"]), spark).select("item", "version")
+    """The first event of every (item, version), also where its repetitions come in later deliveries."""
+    marked = lambda stream: windows.once_per_version(stream.select(F.col("user_id").alias("item"), F.col("event_type").alias("version"), "ts"), ["item", "version"])
+    return in_deliveries(events(spark, sf), "ts", marked, late="60 days").select("item", "version")
 
 
 def stream_visible(spark: SparkSession, sf: str) -> DataFrame:
     acl = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("user:1"))).when(F.col("event_id") % 3 == 1, F.array(F.lit("user:2")))
-    return _drained(windows.replay_after(windows.visible_to(_stream(spark, sf).withColumn("acl", acl), ["user:1"]), 500).select("event_id"), spark)
+    return in_deliveries(events(spark, sf), "ts", lambda stream: windows.replay_after(windows.visible_to(stream.withColumn("acl", acl), ["user:1"]), 500).select("event_id"))
 
 
 def stream_fan_out(spark: SparkSession, sf: str) -> DataFrame:
     """Events for subscribers of a project: by named types, or all types but the opt-in ones."""
     subscriptions = spark.createDataFrame([("a", 0, ["view", "error"]), ("b", 0, []), ("c", 1, ["click"]), ("d", 2, [])], "subscriber string, project long, types array<string>")
-    given = _stream(spark, sf).withColumn("project", F.col("user_id") % 3)
-    return _drained(windows.fan_out(given, subscriptions, ["view"]).select("subscriber", "event_id"), spark).groupBy("subscriber").agg(F.count("*").alias("n"))
+    given = lambda stream: windows.fan_out(stream.withColumn("project", F.col("user_id") % 3), subscriptions, ["view"]).select("subscriber", "event_id")
+    return in_deliveries(events(spark, sf), "ts", given).groupBy("subscriber").agg(F.count("*").alias("n"))
 
 
 def stream_bursts(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly windows of a day that hold eight and more events of a user, closed by the watermark."""
-    rows = _drained(windows.sliding_bursts(_stream(spark, sf), "user_id", "ts"), spark)
+    rows = in_deliveries(events(spark, sf), "ts", lambda stream: windows.sliding_bursts(stream, "user_id", "ts"), late="0 seconds")
     return rows.select("user_id", F.unix_seconds("window_start").alias("window_start"), "n")
 
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import documents as d
 from ..operators import duplicates
-from ..scratch import shared_root
 from ..sources import readers
 from ..streaming import windows
-from .common import seconds, table
+from .common import events, seconds, table
+from .streams import in_deliveries
 
 
 def exact_dup(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,27 +127,16 @@ def trace_export(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("request_id", F.coalesce(F.size("decisions"), F.lit(0)).cast("long").alias("decisions"), F.coalesce(F.size("feedback"), F.lit(0)).cast("long").alias("feedback"), F.coalesce(F.aggregate("decisions", F.lit(0).cast("long"), lambda s, x: s + x["l_partkey"]), F.lit(0).cast("long")).alias("parts"))
 
 
-def _drained(stream: DataFrame, spark: SparkSession) -> DataFrame:
-    """Runs a stream over all there is, into a table in the shared folder, and reads it."""
-    base = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
-
-
 def stream_daily(spark: SparkSession, sf: str) -> DataFrame:
     """Event-time days that the watermark has closed; the last day may still grow and stays in the state."""
-    raw = table(spark, sf, "events")
-    stream = windows.event_stream(spark, f"{sf}/events.parquet*", raw.schema, "ts", late="0 seconds")
-    rows = _drained(windows.daily(stream, "ts", "value"), spark)
+    rows = in_deliveries(events(spark, sf), "ts", lambda stream: windows.daily(stream, "ts", "value"), late="0 seconds")
     return rows.select("day", "n", F.round("total", 4).alias("total"))
 
 
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions of events less than two hours apart that the watermark has closed; what may still grow stays in the state."""
-    raw = table(spark, sf, "events")
-    stream = windows.event_stream(spark, f"{sf}/events.parquet*", raw.schema, "ts", late="0 seconds").withColumn("level", F.lit(1))
-    return _drained(windows.coalesce_served(stream, ["user_id"], "ts", "2 hours"), spark).select("user_id", F.unix_micros("started").alias("started"), "n")
+    made = lambda stream: windows.coalesce_served(stream.withColumn("level", F.lit(1)), ["user_id"], "ts", "2 hours")
+    return in_deliveries(events(spark, sf), "ts", made, late="0 seconds").select("user_id", F.unix_micros("started").alias("started"), "n")
 
 
 _FUNCTIONS = (exact_dup, near_dup_jaccard, near_dup_classes, pii_counts, pii_luhn, pii_spans, classify_sensitivity, injection_score, hidden_text, html_extract, html_title, chunk_documents, token_estimate, term_stats, statement_extraction, session_summary, ingest_actions, sync_actions, sync_applied, import_mapping, trace_export, stream_daily, stream_sessions)

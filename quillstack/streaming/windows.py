@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, at: str, late: str = "1 hour", files: int | None = None) -> DataFrame:
@@ -55,24 +53,6 @@ def replay_after(events: DataFrame, last_id: int) -> DataFrame:
     return events.where(F.col("event_id") > last_id)
 
 
-def session_buffer(turns: DataFrame, limit: int = 500, ttl_ms: int = 43_200_000) -> DataFrame:
-    """(conv_id, n, last_turn) after each batch: a session keeps its last ``limit`` turns and is forgotten when idle for ``ttl_ms``."""
-
-    def update(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = [int(t) for t in state.get[0].split(",")] if state.exists and state.get[0] else []
-        for batch in batches:
-            held += [int(t) for t in batch["turn"]]
-        held = sorted(held)[-limit:]
-        state.update((",".join(map(str, held)),))
-        state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"conv_id": [key[0]], "n": [len(held)], "last_turn": [held[-1] if held else None]})
-
-    return turns.groupBy("conv_id").applyInPandasWithState(update, "conv_id long, n long, last_turn long", "turns string", "update", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def upsert(batch: DataFrame, current: DataFrame, key: str, at: str) -> DataFrame:
     """The table after a batch of changes (op: upsert or delete): the latest change of a key wins. For use in foreachBatch."""
     last = batch.groupBy(key).agg(F.max_by(F.struct("*"), F.col(at)).alias("c")).select("c.*")

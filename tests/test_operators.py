@@ -10,7 +10,6 @@ from quillstack.functions.vectors import cosine, feature_hash
 from quillstack.operators import documents as d
 from quillstack.operators import evaluation, governance, memory, search, selection
 from quillstack.sources import readers
-from quillstack.streaming import windows
 
 
 def one(spark, column):
@@ -135,12 +134,3 @@ def test_readers(spark, tmp_path):
     with zipfile.ZipFile(raw, "w") as z:
         z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Titre</w:t></w:r></w:p><w:p><w:r><w:t>Corps</w:t></w:r></w:p></w:body></w:document>')
     assert readers.docx_text(raw.getvalue()) == "# Titre\nCorps"
-
-
-def test_stream_state(spark, tmp_path):
-    schema = "conv_id long, turn long, text string"
-    spark.createDataFrame([(1, t, "x") for t in range(5)] + [(2, 0, "y")], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    query = windows.session_buffer(stream, limit=3).writeStream.format("memory").queryName("buffer").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(once=True).start()
-    query.awaitTermination()
-    assert {tuple(r) for r in spark.sql("SELECT conv_id, n, last_turn FROM buffer").collect()} == {(1, 3, 4), (2, 1, 0)}
