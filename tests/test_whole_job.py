@@ -3,7 +3,7 @@
 import duckdb
 
 from quillstack import catalog
-from quillstack.operators import duplicates, governance, memory, ranking, search
+from quillstack.operators import duplicates, governance, memory, neighbours, ranking, search
 from quillstack.plans import retrieval
 
 SF = "/root/testdata/sf0.001"
@@ -33,10 +33,34 @@ def test_knn_asks_every_fiftieth_vector(spark):
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, candidate) AS rnk FROM s) WHERE rnk <= 10"""
     theirs = sorted(duckdb.sql(brute).fetchall())
     assert sorted(map(tuple, catalog.QUERIES["knn_topk"](spark, sf).select("vec_id", "candidate", "score", "rnk").collect())) == theirs
-    # More queries than a block holds are searched in several blocks, with the same result.
-    v = spark.read.parquet(f"{sf}/embeddings.parquet")
-    blocked = search.knn(v.where("vec_id % 50 = 0"), v, "vec_id", "vec_id", "embedding", 10, block=3)
-    assert sorted(map(tuple, blocked.select("vec_id", "candidate", "score", "rnk").collect())) == theirs
+    plan = catalog.QUERIES["knn_topk"](spark, sf)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_knn_visits_only_cells_that_may_hold_a_neighbour(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(neighbours, "PART", 40)  # several parts and blocks a cell
+    rng = np.random.default_rng(1)
+    middles = rng.normal(0, 1, (30, 16))
+    x = middles[rng.integers(0, 30, 1500)] + rng.normal(0, 0.03, (1500, 16))
+    x[100:160] = x[100]  # copies, with ties in score
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9001, None), (9002, [0.0] * 16), (9003, [1.0] * 3), (9004, [float("nan")] * 16), (9005, [None] * 16)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen: list = []
+    found = neighbours.nearest(v.where("vec_id % 50 = 0"), v, "vec_id", "vec_id", "embedding", 7, seen=seen).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = []
+    for q in range(0, 1500, 50):
+        score = np.floor(np.clip(unit @ unit[q], 0, 1) * 1e5 + 0.5) / 1e5
+        best = sorted((-s, i) for i, s in enumerate(score.tolist()) if i != q)[:7]
+        want += [(q, i, -s, n + 1) for n, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, (r.asDict().values() for r in found))) == sorted(want)
+    assert seen[1] == 30 * 1501 and seen[0] < seen[1] / 4
+    # Opposed vectors all score 0: every cell is visited and the smaller keys win.
+    apart = spark.createDataFrame([(1, [1.0, 0.0])] + [(i, [-1.0, -0.01 * i]) for i in range(2, 40)], "vec_id long, embedding array<double>")
+    assert [(r["candidate"], r["score"]) for r in search.knn(apart.where("vec_id = 1"), apart, "vec_id", "vec_id", "embedding", 3).orderBy("rnk").collect()] == [(2, 0.0), (3, 0.0), (4, 0.0)]
+    assert search.knn(apart, apart.limit(0), "vec_id", "vec_id", "embedding", 3).collect() == []
 
 
 def test_mmr_sees_text_after_600_characters(spark, monkeypatch):
