@@ -8,8 +8,8 @@ more places than the sets do. What the bounds leave is multiplied exactly: rows
 ``BLOCK`` entries, rows that meet a leader of a block to parts of it of about as many, and each task sums the overlaps of its two
 blocks column by column and discards every pair below ceil(t * (n + m) / (1 + t)).
 
-Order. All columns are counted in ``SLOTS`` slots of their hashes, in the pass that makes the rows; a column whose slot holds 2, 4, 8 ...
-times the mean comes behind all that hold less, and by hash among its like, so passages that many documents share are left to
+Order. All columns are counted in ``SLOTS`` slots of their hashes, in the pass that makes the rows; a column whose slot holds
+clearly more than the mean comes behind all that hold less, by doublings, and by hash among its like, so passages that many documents share are left to
 documents that hold little else. The slots are a megabyte at every size; the order changes the work, never the result.
 
 Scale and skew. Entries are dealt once by column, those of crowded slots also by row, and a column of one class goes before anything else
@@ -64,7 +64,7 @@ def ngram_join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def _crowding(rows: DataFrame) -> np.ndarray:
-    """For each slot how often its count doubles the mean, 0 up to twice the mean; in the driver one byte for each slot."""
+    """For each slot 0 if its count is within four standard deviations of the mean, else 1 and one more for each doubling of what is beyond; a byte each."""
     slices = rows.where("slice is not null").select("slice", "counts", F.spark_partition_id().alias("salt"))
     for by in (["slice", F.pmod("salt", F.lit(32))], ["slice"]):
         dealt = slices.select("slice", "counts", "salt").repartition(*by).sortWithinPartitions("slice")
@@ -72,7 +72,9 @@ def _crowding(rows: DataFrame) -> np.ndarray:
     total = np.zeros(SLOTS, np.int64)
     for r in slices.collect():
         total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64)
-    return np.floor(np.log2(np.maximum(total / max(total.mean(), 1.0), 1))).astype(np.uint8)
+    mean = total.mean()
+    beyond = (total - mean) / (4 * np.sqrt(mean) + 1)
+    return np.where(beyond > 1, 1 + np.floor(np.log2(np.maximum(beyond, 1))), 0).astype(np.uint8)
 
 
 def _posted(texts: DataFrame, crowding: np.ndarray, classes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -91,7 +93,7 @@ def _united(members: DataFrame, texts: DataFrame, classes: DataFrame, k: int, pe
     active, labels, turn = members.withColumn("comp", F.col("vid")), None, 0
     while True:
         pairs = scratch.keep(_met(active, leaders, percent), "met")
-        for parities in ("bits", "more"):
+        for parities in ("more",) if turn else ("bits", "more"):
             last, pairs = pairs, scratch.keep(_close(pairs, classes, parities, percent), "pairs")
             scratch.drop(last)
         if turn == 0 and pairs.limit(1).count() == 0:
@@ -111,11 +113,15 @@ def _united(members: DataFrame, texts: DataFrame, classes: DataFrame, k: int, pe
             scratch.drop(again)
             return labels
         active, turn = again, turn + 1
+        if turn == 1:  # from here on a column has several leaders, and the parities are compared where they meet
+            known = classes.select(F.col("cid").alias("k_cid"), "bits")
+            active = scratch.keep(active.join(known, F.col("vid") == F.col("k_cid")).drop("k_cid"), "active")
+            scratch.drop(again)
         drawn = active.withColumn("draw", F.xxhash64(F.lit(turn), "vid"))
         chosen = _choice(drawn, 16 * 4**turn, scratch)
         share = F.shiftrightunsigned("draw", 11) * F.lit(2.0**-53)
         full = drawn.join(chosen, F.col("key") == F.col("c_key")).where((F.col("comp") != F.col("main")) & ((F.col("draw") == F.col("least")) | (share < F.col("share"))))
-        leaders = scratch.keep(full.select(*_led("comp")), "leaders")
+        leaders = scratch.keep(full.select(*_led("comp"), F.col("bits").alias("l_bits")), "leaders")
         scratch.drop(chosen)
 
 
@@ -133,20 +139,28 @@ def _met(active: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
         & (100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n"))
         & (left * (100 + percent) >= percent * (F.col("n") + F.col("l_n")))
     )
+    if "bits" in active.columns:
+        # Sizes first: the parities are counted only for pairs that these leave.
+        near = (active["key"] == leaders["key"]) & F.when(near, _alike("bits", "l_bits", "n", "l_n", percent)).otherwise(F.lit(False))
     met = active.join(leaders, near)
     return met.select(F.col("vid").alias("a"), F.col("l_vid").alias("b"), F.col("comp").alias("ca"), F.col("l_comp").alias("cb"), F.col("n").alias("na"), F.col("l_n").alias("nb")).distinct()
 
 
+def _alike(a: str, b: str, n: str, m: str, percent: int) -> F.Column:
+    """Whether the parities a and b differ in no more places than two sets of sizes n and m at the threshold do."""
+    # Of twice as many places the halves are laid on each other: sizes within the threshold differ by one doubling at most.
+    width = F.least(F.size(a), F.size(b))
+    folded = lambda c: F.when(F.size(c) > width, F.zip_with(F.slice(c, F.lit(1), width), F.slice(c, width + 1, width), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
+    differing = F.aggregate(F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    needed = F.ceil(percent * (F.col(n) + F.col(m)) / (100 + percent))
+    return F.coalesce(differing <= F.col(n) + F.col(m) - 2 * needed, F.lit(True))
+
+
 def _close(pairs: DataFrame, classes: DataFrame, parities: str, percent: int) -> DataFrame:
-    """The pairs whose parities do not differ in more places than two sets at the threshold do."""
+    """The pairs that their parities leave."""
     a, b = (classes.select(F.col("cid").alias(f"{x}_cid"), F.col(parities).alias(f"{x}_bits")) for x in "ab")
     both = pairs.join(a, F.col("a") == F.col("a_cid")).join(b, F.col("b") == F.col("b_cid"))
-    # Of twice as many places the halves are laid on each other: sizes within the threshold differ by one doubling at most.
-    width = F.least(F.size("a_bits"), F.size("b_bits"))
-    folded = lambda c: F.when(F.size(c) > width, F.zip_with(F.slice(c, F.lit(1), width), F.slice(c, width + 1, width), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
-    differing = F.aggregate(F.zip_with(folded("a_bits"), folded("b_bits"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
-    needed = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    return both.where(F.coalesce(differing <= F.col("na") + F.col("nb") - 2 * needed, F.lit(True))).select(*pairs.columns)
+    return both.where(_alike("a_bits", "b_bits", "na", "nb", percent)).select(*pairs.columns)
 
 
 def _sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame, k: int, scratch: Scratch) -> DataFrame:
