@@ -62,10 +62,13 @@ def decompose(tasks: DataFrame, key: str, text: str = "text") -> DataFrame:
     return found.where((F.col("n") > 1) & (F.col("place") <= MOST_PARTS)).select(key, "place", "subtopic")
 
 
+#: A long name of up to seven words with its short form in brackets.
+LONG_AND_SHORT = r"([A-ZÀ-Ý][\w'’-]+(?:[ -][\w'’-]+){0,6})\s*\(([A-Z][A-Z0-9]{1,9})\)"
+
+
 def aliases_of_titles(titles: DataFrame, title: str = "title") -> DataFrame:
     """(gram, alias) from titles of the form ``Long Name (ABBR)``, both ways; the name keeps as many last words as the short form has letters."""
-    pattern = r"([A-ZÀ-Ý][\w'’-]+(?:[ -][\w'’-]+){0,6})\s*\(([A-Z][A-Z0-9]{1,9})\)"
-    found = titles.select(F.explode(F.arrays_zip(F.regexp_extract_all(F.col(title), F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all(F.col(title), F.lit(pattern), F.lit(2)).alias("short"))).alias("m"))
+    found = titles.select(F.explode(F.arrays_zip(F.regexp_extract_all(F.col(title), F.lit(LONG_AND_SHORT), F.lit(1)).alias("name"), F.regexp_extract_all(F.col(title), F.lit(LONG_AND_SHORT), F.lit(2)).alias("short"))).alias("m"))
     words, short = F.split("m.name", " "), F.col("m.short")
     name = F.when(F.size(words) > F.length(short), F.array_join(F.slice(words, -F.length(short), F.length(short)), " ")).otherwise(F.col("m.name"))
     rows = found.select(name.alias("name"), short.alias("short"))

@@ -109,7 +109,7 @@ def classify(text: Column, declared: Column, source_default: Column, has_sensiti
     return F.greatest(F.coalesce(declared, F.lit(0)), F.coalesce(source_default, F.lit(0)), marks, F.when(points >= 3, 2).otherwise(0), F.when(has_sensitive, 2).otherwise(0))
 
 
-#: Signs of instructions hidden in content, with their weights.
+#: Signs of instructions hidden in content, with their weights: a list of our own.
 INJECTION = (
     ("override", r"(ignore|oublie|disregard|forget)\w* (all |any |toutes? |les )?(the |les )?(previous|above|prior|precedentes?) (instructions|consignes|rules)", 0.6),
     ("role", r"(you are now|tu es maintenant|act as|agis comme) (a|an|un|une|the|le|la)?", 0.35),
@@ -215,7 +215,7 @@ def chunk(documents: DataFrame, key: str, text: str = "text", **options) -> Data
     return documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, schema)
 
 
-#: What a sentence has to hold to be a kind of statement; the first that fits wins.
+#: What a sentence has to hold to be a kind of statement, the first that fits wins: a list of our own.
 STATEMENTS = (
     ("decision", r"\b(decid\w*|decision|we will|on retient|valide\w*|adopt\w*)\b", 0.8),
     ("constraint", r"\b(doit|doivent|must|shall|obligatoire|interdit|required|cannot)\b", 0.75),
@@ -293,12 +293,14 @@ def session_summary(turns: DataFrame, most: int = 8) -> DataFrame:
     return rows.withColumn("score", score).withColumn("first", first).withColumn("at", rank).where(F.col("at") <= most).select("conv_id", "turn", "i", "sentence", "score")
 
 
-#: What minutes of a meeting call themselves, on folded text.
-MEETING = r"\b(compte[ -]rendu|proces[ -]verbal|reunion|comite|sprint review|meeting|minutes of)\b"
+#: What minutes of a meeting call themselves, on folded text, and their short mark in capitals.
+MEETING = r"compte[- ]rendu|\bcomite\b|\breunion\b|sprint review|\bcopil\b|\batelier\b|kick-?off|retrospective"
+MEETING_MARK = r"(?:^|[\s(\[:])CR(?:\s|$|[-:])"
 
 
 def is_meeting(title: Column, text: Column) -> Column:
-    return F.coalesce(fold(F.concat_ws("\n", title, text)).rlike(MEETING), F.lit(False))
+    head = F.concat_ws("\n", title, text)
+    return F.coalesce(fold(head).rlike(MEETING) | head.rlike(MEETING_MARK), F.lit(False))
 
 
 def ingest(documents: DataFrame, key: str, text: str = "text", default_level: int = 1) -> DataFrame:

@@ -208,7 +208,7 @@ ORACLES = {
       SELECT lang, count(*) AS n, CAST(sum(dl) AS BIGINT) AS words FROM x GROUP BY 1""",
     "index_counts": "SELECT source, count(*) FILTER (lang <> 'es') AS n, count(*) FILTER (lang <> 'es' AND doc_id % 7 = 0 AND doc_id < 1000) AS asked FROM documents GROUP BY 1",
     "embedding_inputs": "SELECT doc_id, md5(array_to_string(list_filter(['Doc ' || doc_id, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'about' END, nullif(trim(text), '')], lambda x: x IS NOT NULL), chr(10))) AS input_md5 FROM documents",
-    "meeting_records": f"SELECT conv_id, turn, regexp_matches(replace(strip_accents(lower(role || chr(10) || text)), 'œ', 'oe'), '{d.MEETING}') AS meeting FROM conversations",
+    "meeting_records": f"SELECT conv_id, turn, regexp_matches(replace(strip_accents(lower(role || chr(10) || text)), 'œ', 'oe'), '{d.MEETING}') OR regexp_matches(role || chr(10) || text, '{d.MEETING_MARK}') AS meeting FROM conversations",
     "reindex_plan": """SELECT l_suppkey % 50 AS project, count(*) AS missing FROM lineitem WHERE l_partkey % 3 <> 0 AND l_suppkey % 50 NOT IN (SELECT s_suppkey % 50 FROM supplier WHERE s_suppkey % 4 = 0) GROUP BY 1""",
     "forgotten_documents": """WITH x AS (SELECT l_partkey, p_partkey IS NOT NULL AS gone FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size = 7)
       SELECT CASE WHEN gone THEN 'forgotten' ELSE 'active' END AS what, count(*) AS chunks, count(*) FILTER (NOT gone) AS texts FROM x GROUP BY 1 UNION ALL SELECT 'stone ' || l_partkey, count(*), 0 FROM x WHERE gone GROUP BY 1""",
