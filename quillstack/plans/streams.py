@@ -5,23 +5,29 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import delete_path, shared_root
 from ..streaming import sessions, windows
+from ..streaming.sync import SyncedTable
 from .common import table
 
 DELIVERIES = 4
 
 
+def _delivery(rows: DataFrame, at: str, deliveries: int) -> Column:
+    """The delivery of a row: equal stretches of the time that the rows span."""
+    low, high = rows.agg(F.min(F.unix_millis(at)), F.max(F.unix_millis(at))).first()
+    step = ((high or 0) - (low or 0)) // deliveries + 1
+    return F.least(F.floor((F.unix_millis(at) - F.lit(low or 0)) / step), F.lit(deliveries - 1))
+
+
 def in_deliveries(rows: DataFrame, at: str, run: Callable[[DataFrame], DataFrame], late: str = "1 second", deliveries: int = DELIVERIES) -> DataFrame:
     """What a stream makes of ``rows`` when they come in so many deliveries in order of time, with a restart from the checkpoint after each."""
     spark = rows.sparkSession
     base = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
-    low, high = rows.agg(F.min(F.unix_millis(at)), F.max(F.unix_millis(at))).first()
-    step = ((high or 0) - (low or 0)) // deliveries + 1
-    number = F.least(F.floor((F.unix_millis(at) - F.lit(low or 0)) / step), F.lit(deliveries - 1))
+    number = _delivery(rows, at, deliveries)
     with sessions.rocks_state(spark):  # as all streams here, whether they need lists and timers or not
         for n in range(deliveries):
             rows.where(number == n).write.mode("append").parquet(f"{base}/in")
@@ -68,7 +74,40 @@ def live_replay(spark: SparkSession, sf: str) -> DataFrame:
     return gaps.join(counts, ["asker", "project"], "left").select("asker", "project", "gap", F.coalesce("n", F.lit(0)).alias("n"), "first", "last")
 
 
-QUERIES = {f.__name__: f for f in (session_buffer, live_numbers, live_replay)}
+def stream_scrubbed(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that wait six hours; an error of their user in that time takes their wording."""
+    given = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
+
+    def scrub(stream: DataFrame) -> DataFrame:
+        tombstones = stream.where("event_type = 'error'").select("user_id", F.col("at").alias("forgotten_at"))
+        return windows.scrubbed(stream.where("event_type <> 'error'"), tombstones, ["event_id"], "user_id", "at")
+
+    rows = in_deliveries(given, "at", scrub)
+    return rows.select("event_id", "forgotten", F.when(F.col("forgotten"), "").otherwise(F.col("event_type")).alias("wording"))
+
+
+def stream_synced(spark: SparkSession, sf: str) -> DataFrame:
+    """A table that follows the events as changes of a day's sync: errors delete, signups are skipped, clicks of little value fail."""
+    op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "skip").when((F.col("event_type") == "click") & (F.col("value") < 5), "error").otherwise("upsert")
+    rows = table(spark, sf, "events").select(
+        F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86_400).alias("sync"),
+        F.concat_ws("-", "user_id", F.weekday("ts")).alias("external_id"),
+        F.col("ts").cast("timestamp").alias("at"),
+        op.alias("op"),
+        F.col("event_type").alias("content_hash"),
+        F.when(op == "error", "unreadable").alias("error"),
+    )
+    base = f"{shared_root(spark)}/synced-{uuid.uuid4().hex}"
+    kept, number = SyncedTable(f"{base}/table", compact_after=3), _delivery(rows, "at", DELIVERIES)
+    for n in range(DELIVERIES):
+        delivery = rows.where(number == n)
+        delivery.write.mode("append").parquet(f"{base}/in")
+        kept.follow(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), f"{base}/state")
+        kept.apply(delivery, n)  # once more, which changes nothing
+    return kept.rows(spark)
+
+
+QUERIES = {f.__name__: f for f in (session_buffer, live_numbers, live_replay, stream_scrubbed, stream_synced)}
 _NUMBERS = """e AS (SELECT CAST(user_id % 3 AS VARCHAR) AS project, event_id, epoch_ms(ts) AS ms FROM events),
 g AS (SELECT *, ms - lag(ms) OVER w AS idle FROM e WINDOW w AS (PARTITION BY project ORDER BY ms, event_id)),
 r AS (SELECT *, sum(CASE WHEN idle >= 86400000 THEN 1 ELSE 0 END) OVER w AS run, sum(CASE WHEN idle >= 900000 THEN 1 ELSE 0 END) OVER w AS stretch FROM g WINDOW w AS (PARTITION BY project ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING)),
@@ -86,4 +125,16 @@ ORACLES: dict[str, str] = {
       x AS (SELECT asker, project, after, a.ms, max({{'ms': l.ms, 'id': l.id, 'floor': l.floor}}) AS l FROM a JOIN l USING (project) WHERE l.ms <= a.ms GROUP BY 1, 2, 3, 4),
       y AS (SELECT asker, project, after + 1 < l.floor AS gap, greatest(l.floor, after + 1) AS first, l.id AS last FROM x WHERE ms - l.ms < 900000)
       SELECT asker, project, gap, greatest(0, last - first + 1) AS n, CASE WHEN first <= last THEN first END AS first, CASE WHEN first <= last THEN last END AS last FROM y""",
+    "stream_scrubbed": """WITH e AS (SELECT * FROM events WHERE event_type <> 'error'), t AS (SELECT * FROM events WHERE event_type = 'error'),
+      m AS (SELECT max(ts) - INTERVAL 1 SECOND AS mark FROM events),
+      x AS (SELECT event_id, event_type, ts, EXISTS (SELECT 1 FROM t WHERE t.user_id = e.user_id AND t.ts >= e.ts AND t.ts <= e.ts + INTERVAL 6 HOUR) AS forgotten FROM e)
+      SELECT event_id, forgotten, CASE WHEN forgotten THEN '' ELSE event_type END AS wording FROM x, m WHERE forgotten OR ts + INTERVAL 6 HOUR < mark""",
+    "stream_synced": """WITH c AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS sync, user_id || '-' || (isodow(ts) - 1) AS external_id, ts, event_type AS hash,
+        CASE WHEN event_type = 'error' THEN 'delete' WHEN event_type = 'signup' THEN 'skip' WHEN event_type = 'click' AND value < 5 THEN 'error' ELSE 'upsert' END AS op FROM events),
+      w AS (SELECT external_id, sync, max({'at': ts, 'op': op, 'hash': hash}) AS w FROM c WHERE op IN ('upsert', 'delete') GROUP BY 1, 2),
+      k AS (SELECT *, w.op AS op, sum(CASE WHEN w.op = 'upsert' THEN 1 ELSE 0 END) OVER (PARTITION BY external_id ORDER BY sync) AS known FROM w),
+      l AS (SELECT *, lag(op) OVER (PARTITION BY external_id ORDER BY sync) AS before FROM k WHERE known > 0),
+      g AS (SELECT *, min(CASE WHEN op = 'delete' AND before = 'delete' THEN sync END) OVER (PARTITION BY external_id) AS gone FROM l)
+      SELECT external_id, CASE WHEN max(gone) IS NOT NULL THEN 'forgotten' WHEN arg_max(op, sync) = 'delete' THEN 'doubted' ELSE 'active' END AS status,
+        max({'sync': sync, 'hash': w.hash}) FILTER (op = 'upsert' AND (gone IS NULL OR sync < gone)).hash AS content_hash, max(sync) AS sync FROM g GROUP BY 1""",
 }

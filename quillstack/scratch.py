@@ -60,3 +60,23 @@ class Scratch:
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file under a name that shows it whole or not at all."""
+    jvm = spark._jvm
+    target, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.draft")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(draft, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    if not files.rename(draft, target):
+        files.delete(draft, False)
+        raise OSError(f"{path} cannot be put in place")
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder, in order; none where it does not exist."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in files.listStatus(place)) if files.exists(place) else []

@@ -49,6 +49,18 @@ def fan_out(events: DataFrame, subscriptions: DataFrame, opt_in: list[str]) -> D
     return matched.where(wanted)
 
 
+def scrubbed(events: DataFrame, tombstones: DataFrame, keys: list[str], target: str, at: str, bound: str = "6 hours") -> DataFrame:
+    """Events after a wait of ``bound``, with ``forgotten``: whether a tombstone of their target came from their time on within the wait.
+
+    A left join of two streams under both watermarks: a forgotten event goes on at once, once for all its tombstones, others when nothing
+    more can come for them. Events without a target are never forgotten. keys: what tells events apart. tombstones: target, time (``forgotten_at``).
+    """
+    gone = tombstones.select(F.col(target).alias("_target"), F.col("forgotten_at").alias("_gone"))
+    until = F.col(at) + F.expr(f"INTERVAL {bound}")
+    met = events.join(gone, (F.col(target) == F.col("_target")) & (F.col("_gone") >= F.col(at)) & (F.col("_gone") <= until), "left_outer")
+    return met.withColumn("forgotten", F.col("_gone").isNotNull()).drop("_target", "_gone").dropDuplicatesWithinWatermark(keys)
+
+
 def replay_after(events: DataFrame, last_id: int) -> DataFrame:
     return events.where(F.col("event_id") > last_id)
 
