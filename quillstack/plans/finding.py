@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents as d
+from ..operators import injection
 from ..operators import phrases as p
 from .common import table
 from .processing import _FOLD
@@ -28,7 +29,22 @@ def sensitivity_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.col("sensitivity.level").alias("level"), F.array_join("sensitivity.reasons", " ").alias("reasons"))
 
 
-QUERIES = {f.__name__: f for f in (phrase_mentions, sensitivity_reasons)}
+def injection_signs(spark: SparkSession, sf: str) -> DataFrame:
+    """The signs of instructions in the source of every page and in every document, by the text alone."""
+    texts = table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    texts = texts.unionByName(table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text"))
+    rows = texts.select("kind", "id", injection.findings(F.col("text")).alias("f"))
+    return rows.select("kind", "id", F.col("f.score").alias("score"), F.array_join(F.col("f.reasons.code"), ",").alias("codes"))
+
+
+def injection_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """The signs in the visible text of every page, with what its source hides, and where each was found."""
+    visible = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), "<[^>]*>", " ")
+    rows = table(spark, sf, "pages").select("page_id", injection.findings(visible, F.col("html")).alias("f"))
+    return rows.select("page_id", F.col("f.score").alias("score"), (F.col("f.score") >= d.QUARANTINE).alias("quarantined"), F.array_join(F.col("f.reasons.code"), ",").alias("codes"), F.array_join(F.col("f.reasons.excerpt"), " | ").alias("excerpts"))
+
+
+QUERIES = {f.__name__: f for f in (phrase_mentions, sensitivity_reasons, injection_signs, injection_findings)}
 _FORM = f"trim(regexp_replace({_FOLD}, '\\s+', ' ', 'g'))"
 _EDGED = "regexp_matches(low, '(^|[^a-z0-9])(' || '{0}' || ')($|[^a-z0-9])')"
 
@@ -53,7 +69,12 @@ _ANY_LINE = lambda level: f"list_has_any(lines, string_split('{p.LINE_MARKS[leve
 _TITLED = lambda level: f"regexp_matches(title, ' ({p.TITLE_MARKS[level]}) ')"
 _LEVELS = "MAP {" + ", ".join(f"'{w}': {n}" for w, n in p.LEVEL_WORDS.items()) + "}"
 _STATED = p.STATED.removesuffix("(?![a-z0-9_])") + "(?:[^a-z0-9_]|$)"
+_SIGNS = [(code, weight, injection.sign_pattern(patterns).replace("'", "''")) for code, weight, patterns in injection.SIGNS]
+_HIDDEN = f"len(regexp_extract_all(low, '{injection.INVISIBLE}')) >= {injection.INVISIBLE_LEAST}"
 ORACLES: dict[str, str] = {
+    "injection_signs": f"""WITH t AS (SELECT kind, id, coalesce({_FOLD}, '') AS low FROM (SELECT 'page' AS kind, page_id AS id, html AS text FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents))
+      SELECT kind, id, CAST(round(1 - {' * '.join(f"CASE WHEN regexp_matches(low, '{x}') THEN 1 - CAST({w} AS DOUBLE) ELSE 1 END" for _, w, x in _SIGNS)} * CASE WHEN {_HIDDEN} THEN 0.6 ELSE 1 END, 4) AS DOUBLE) AS score,
+        concat_ws(',', {', '.join(f"CASE WHEN regexp_matches(low, '{x}') THEN '{c}' END" for c, _, x in _SIGNS)}, CASE WHEN {_HIDDEN} THEN 'HIDDEN_TEXT' END) AS codes FROM t""",
     "phrase_mentions": f"""WITH n AS (SELECT DISTINCT label, {_FORM.replace('text', 'phrase')} AS form FROM (SELECT 'part' AS label, p_name AS phrase FROM part UNION ALL SELECT 'supplier', s_name FROM supplier
         UNION ALL SELECT 'nation', n_name FROM nation UNION ALL SELECT 'benchmark', unnest(string_split(text, chr(10))) FROM benchmark)),
       t AS (SELECT doc_id, {_FORM} AS low FROM documents)
