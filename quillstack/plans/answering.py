@@ -74,10 +74,11 @@ def subtopics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def query_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    """Other names for words of the benchmark texts, from titles of the form Name (SHORT) and a table of equivalents."""
+    """Other names for words of the benchmark texts, from titles of the form Name (SHORT), the equivalents of all projects and some of these texts."""
     titles = table(spark, sf, "nation").select(F.concat(F.lit("Data Set "), F.initcap("n_name"), F.lit(" (DS)")).alias("title"))
     given = spark.createDataFrame([("the", "a"), ("data", "records"), ("of the", "from the"), ("and", "as well as"), ("model", "network")], "gram string, alias string")
-    return w.expand(table(spark, sf, "benchmark"), w.aliases_of_titles(titles).unionByName(given), "item_id")
+    every = w.synonyms(spark).unionByName(w.aliases_of_titles(titles).unionByName(given), allowMissingColumns=True)
+    return w.expand(table(spark, sf, "benchmark"), every, "item_id")
 
 
 def iterative_search(spark: SparkSession, sf: str) -> DataFrame:
