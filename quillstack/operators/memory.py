@@ -52,6 +52,20 @@ def apply_versions(items: DataFrame, changes: DataFrame, lineage: str = "lineage
     return items.unionByName(fresh, allowMissingColumns=True)
 
 
+def version_changes(items: DataFrame, fields: list[str], lineage: str = "lineage") -> DataFrame:
+    """(lineage, version, field, before, after) as text: what each version changed, and all that the first of a lineage set.
+
+    Versions count up by one; the one before is met by its number, so a long lineage is not one task's. Null is a value like others.
+    """
+    texts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
+    now = items.select(lineage, "version", texts.alias("now"))
+    old = now.select(lineage, (F.col("version") + 1).alias("version"), F.col("now").alias("old"))
+    both = now.join(old, [lineage, "version"], "left").select(lineage, "version", F.posexplode("now").alias("i", "f"), "old")
+    before = F.get("old", F.col("i"))["value"]
+    changed = both.where(~before.eqNullSafe(F.col("f.value")))
+    return changed.select(lineage, "version", "f.field", before.alias("before"), F.col("f.value").alias("after"))
+
+
 def status_fold(events: DataFrame, lineage: str = "lineage") -> DataFrame:
     """The status that a lineage's latest event leaves; restoring goes back to the last status before the closing event."""
     status = F.create_map(*[F.lit(x) for pair in {"created": "proposed", "validated": "validated", "obsoleted": "obsolete", "superseded": "superseded", "forgotten": "forgotten"}.items() for x in pair])

@@ -138,13 +138,18 @@ def version_log(spark: SparkSession, sf: str) -> DataFrame:
     return m.apply_versions(own, changes).groupBy("lineage").agg(F.max("version").alias("version"), F.max_by("title", "version").alias("title"))
 
 
+def version_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What every version of an item changed in its fields."""
+    return m.version_changes(items(spark, sf), ["kind", "status", "level", "scope", "title"])
+
+
 def contradiction_report(spark: SparkSession, sf: str) -> DataFrame:
     own = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 2 == 0, "decision").otherwise("fact").alias("kind"), F.when(F.col("p_partkey") % 3 == 0, "proposed").otherwise("validated").alias("status"), F.col("p_size").alias("at"), F.lit(0.5).alias("confidence"))
     edges = table(spark, sf, "part").where("p_partkey % 10 <> 9").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"))
     return m.cluster_report(own, edges)
 
 
-_FUNCTIONS = (kind_families, resolved_versions, provenance_rollup, provenance_floor, created_items, supersede_versions, obsolete_statements, short_term_expiry, memory_consolidation, purge_copies, conflict_list, outdated_since_snapshot, decision_trail, bulk_triage, entity_mentions, memory_graph, idle_sessions, purged_turns, shared_learnings, version_log, contradiction_report)
+_FUNCTIONS = (kind_families, resolved_versions, provenance_rollup, provenance_floor, created_items, supersede_versions, obsolete_statements, short_term_expiry, memory_consolidation, purge_copies, conflict_list, outdated_since_snapshot, decision_trail, bulk_triage, entity_mentions, memory_graph, idle_sessions, purged_turns, shared_learnings, version_log, version_changes, contradiction_report)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 _FORM = "trim(regexp_replace(replace(strip_accents(lower({0})), 'œ', 'oe'), '\\s+', ' ', 'g'))"
 _NAMES = "SELECT n_nationkey AS entity, n_name AS alias FROM nation UNION ALL SELECT r_regionkey + 1000, r_name FROM region UNION ALL VALUES (2000, 'the'), (2001, 'of the'), (2002, 'data set'), (2003, 'le')"
@@ -190,6 +195,10 @@ ORACLES = {
       g AS (SELECT ws, form, min(item) AS item, arg_min(project, item) AS origin FROM l WHERE ok GROUP BY 1, 2)
       SELECT g.item, CAST(n_nationkey AS INTEGER) AS project, 'proposed' AS status FROM g JOIN nation ON n_nationkey % 5 = g.ws WHERE n_nationkey <> g.origin AND NOT EXISTS (SELECT 1 FROM l x WHERE x.project = n_nationkey AND x.form = g.form)""",
     "version_log": f"WITH {ITEMS} SELECT lineage, CAST(max(version) + CASE WHEN lineage % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS version, CASE WHEN lineage % 3 = 0 THEN 'edited' ELSE arg_max(title, version) END AS title FROM i GROUP BY lineage",
+    "version_changes": f"""WITH {ITEMS}, s AS (SELECT lineage, version, unnest([{{'field': 'kind', 'value': kind}}, {{'field': 'status', 'value': status}}, {{'field': 'level', 'value': CAST(level AS VARCHAR)}},
+        {{'field': 'scope', 'value': ['project', 'short_term', 'long_term'][(id % 3) + 1]}}, {{'field': 'title', 'value': title}}]) AS f FROM i),
+      c AS (SELECT lineage, version, f.field AS field, lag(f.value) OVER (PARTITION BY lineage, f.field ORDER BY version) AS before, f.value AS after FROM s)
+      SELECT lineage, version, field, before, after FROM c WHERE before IS DISTINCT FROM after""",
     "contradiction_report": """WITH p AS (SELECT p_partkey AS id, p_partkey - p_partkey % 10 AS root, p_size % 2 = 0 AS firm_kind, p_partkey % 3 <> 0 AS ok, p_size FROM part),
       e AS (SELECT x.id AS a, x.root, x.firm_kind AND x.ok AND y.firm_kind AND y.ok AS critical FROM p x JOIN p y ON y.id = x.id + 1 AND y.root = x.root),
       v AS (SELECT DISTINCT root, id FROM (SELECT root, a AS id FROM e UNION ALL SELECT root, a + 1 FROM e)),
