@@ -10,7 +10,7 @@ Readers follow the newest commit, so a batch that dies in between leaves nothing
 ``compact_after`` folders they become one; the folders it replaces go with the next one. One writer at a time, as a stream is.
 
 Defined cases: changes without key, sync or time are errors; words of an older sync than the row's are stale and skipped; a delete of an unknown key
-leaves no row and no count; of equal times in a sync the upsert, then the larger hash counts; an empty batch is committed and changes no row.
+leaves no row that readers see and no count, but a state without status, so that it also takes back what an earlier batch brought of its sync; of equal times in a sync the upsert, then the larger hash counts; an empty batch is committed and changes no row.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ class SyncedTable:
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """(external_id, status, content_hash, sync) as of the newest commit."""
-        return self._states(spark, self.commit(spark)["folders"]).select("external_id", "now.status", "now.content_hash", "sync")
+        return self._states(spark, self.commit(spark)["folders"]).where(F.col("now.status").isNotNull()).select("external_id", "now.status", "now.content_hash", "sync")
 
     def log(self, spark: SparkSession) -> DataFrame:
         """(version, source, batch, counts, errors, samples) of all commits."""
@@ -106,12 +106,12 @@ class SyncedTable:
         held = self._states(spark, last["folders"]).select("external_id", "sync", "at", "now", "prior")
         decided = said.join(held, "external_id", "left").select("external_id", _folded(F.col("words")).alias("s"))
         folder = f"deltas/{version:09d}"
-        decided.select("external_id", "s.*", F.lit(version).cast("long").alias("version")).where(F.col("now.status").isNotNull()).write.mode("overwrite").parquet(f"{self.path}/{folder}")
+        decided.select("external_id", "s.*", F.lit(version).cast("long").alias("version")).write.mode("overwrite").parquet(f"{self.path}/{folder}")
 
         facts = changes.agg(F.count("*").alias("fetched"), F.count_if(~whole).alias("errors"), F.count_if(whole & (F.col("op") == "skip")).alias("skips"), F.max("at").cast("string").alias("cursor")).first()
         bad = changes.where(~whole).select(F.col("external_id").cast("string").alias("external_id"), F.coalesce("error", F.lit("incomplete change")).alias("error"))
         samples = [r.asDict() for r in bad.orderBy("external_id", "error").limit(ERROR_SAMPLES).collect()] if facts["errors"] else []
-        written = spark.read.schema(ROW).parquet(f"{self.path}/{folder}").select(F.explode("outcomes").alias("outcome")).groupBy("outcome").count().collect()
+        written = spark.read.schema(ROW).parquet(f"{self.path}/{folder}").where(F.col("now.status").isNotNull()).select(F.explode("outcomes").alias("outcome")).groupBy("outcome").count().collect()
         counts = {o: 0 for o in OUTCOMES} | {r["outcome"]: r["count"] for r in written}
         counts["skipped"] += facts["skips"]
 

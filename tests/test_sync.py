@@ -89,6 +89,19 @@ def test_sources_count_their_own_batches_and_empty_ones_commit(spark, tmp_path):
     assert table.commit(spark)["batches"] == {"mail": 0, "wiki": 0} and list(table.commit(spark)["cursor"]) == ["wiki"]
 
 
+@pytest.mark.parametrize("cuts", [(0, 4), (0, 1, 2, 3, 4)])
+def test_a_delete_takes_back_what_an_earlier_batch_brought_of_its_sync(spark, tmp_path, cuts):
+    at = lambda minutes: START + timedelta(minutes=minutes)
+    rows = [(1, "new", at(0), "upsert", "x", None), (1, "new", at(1), "delete", None, None), (1, "back", at(2), "delete", None, None), (1, "back", at(1), "upsert", "y", None)]
+    table = sync.SyncedTable(str(tmp_path / "t"), compact_after=2)
+    for n, (start, end) in enumerate(zip(cuts, cuts[1:])):  # noqa: B905
+        assert table.apply(spark.createDataFrame(rows[start:end], SCHEMA), n)
+    assert table.rows(spark).collect() == []
+    assert table.apply(spark.createDataFrame([(2, "new", at(9), "upsert", "z", None)], SCHEMA), len(cuts))
+    assert [tuple(r) for r in table.rows(spark).collect()] == [("new", "active", "z", 2)]
+    assert table.log(spark).orderBy("version").collect()[-1]["counts"]["created"] == 1
+
+
 def test_scrubbing_before_within_and_after_the_bound(spark):
     at = lambda minutes: START + timedelta(minutes=minutes)
     rows = [("e", i, "t" if i else None, at(m)) for i, m in enumerate((5, 10, 200, 700, 2000))]
