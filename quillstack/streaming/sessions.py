@@ -15,6 +15,7 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Turns that a session keeps, entries and seconds of a live log, seconds after which an idle sequence starts anew.
@@ -120,9 +121,17 @@ def replay(log: DataFrame, asks: DataFrame, seconds: int = LOG_SECONDS) -> tuple
 
     log: ``ENTRY`` rows. asks: asker, project, after, at (milliseconds). The log is gone ``seconds`` after its last entry.
     """
-    # Of a sequence that started anew the latest run counts: the last entry before the ask names it.
-    last = asks.join(log.withColumnRenamed("at", "e_at"), "project").where(F.col("e_at") <= F.col("at")).groupBy("asker", "project", "after", "at")
-    last = last.agg(F.max(F.struct("e_at", "id", "floor")).alias("l")).where(F.col("at") - F.col("l.e_at") < seconds * 1000)
+    # Of a sequence that started anew the latest run counts: the last entry before the ask names it. It lies in the ask's own stretch of
+    # ``seconds``, where one walk in order of time finds it, or is the last one of the stretch before: no ask meets the whole log.
+    stretch = lambda at: F.floor(F.col(at) / (seconds * 1000))
+    entries = log.select("project", stretch("at").alias("stretch"), F.struct(F.col("at").alias("e_at"), "id", "floor").alias("e"))
+    asked = asks.select("asker", "project", "after", "at").distinct().withColumn("stretch", stretch("at"))
+    both = entries.select("project", "stretch", "e", F.col("e.e_at").alias("at")).unionByName(asked.withColumn("ask", F.lit(True)), allowMissingColumns=True)
+    walk = Window.partitionBy("project", "stretch").orderBy("at", F.col("ask").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn("own", F.max("e").over(walk)).where("ask").select("asker", "project", "after", "at", "stretch", "own")
+    before = entries.groupBy("project", (F.col("stretch") + 1).alias("stretch")).agg(F.max("e").alias("before"))
+    last = own.join(before, ["project", "stretch"], "left").select("asker", "project", "after", "at", F.coalesce("own", "before").alias("l"))
+    last = last.where(F.col("at") - F.col("l.e_at") < seconds * 1000)
     first = F.greatest(F.col("l.floor"), F.col("after") + 1)
     gaps = last.select("asker", "project", (F.col("after") + 1 < F.col("l.floor")).alias("gap"))
     wanted = last.where(first <= F.col("l.id")).select("asker", "project", F.explode(F.sequence(first, F.col("l.id"))).alias("id"))  # at most the log's size

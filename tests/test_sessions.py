@@ -1,5 +1,7 @@
 """Session buffers and live logs over several deliveries with restarts, against plain lists."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quillstack.plans.streams import in_deliveries
@@ -35,3 +37,26 @@ def test_live_log_numbers_and_replay(spark):
     wanted, gaps = sessions.replay(log, asks.select("asker", "project", "after", ((F.col("s") + 1_000_000) * 1000).alias("at")))
     assert sorted((r["asker"], r["id"]) for r in wanted.collect()) == [("anew", 1), ("anew", 2), ("held", 7), ("held", 8), ("moved on", 6), ("moved on", 7), ("moved on", 8)]
     assert {(r["asker"], r["gap"]) for r in gaps.collect()} == {("held", False), ("moved on", True), ("nothing new", False), ("anew", False)}
+
+
+def test_replay_meets_two_stretches_of_the_log_alone(spark):
+    rng = random.Random(8)
+    log, at = [], {"p": 0, "q": 500}
+    for i in range(1, 400):
+        for project in at:
+            at[project] += rng.choice([0, 1_000, 60_000, 60_000, 899_999, 900_000, 1_900_000])
+            log.append((project, i, f"e{i}", "k", at[project], max(1, i - 9)))
+    asks = [(f"a{n}", rng.choice("pqr"), rng.randint(0, 400), rng.choice([rng.randint(0, 120_000_000), rng.choice(log)[4] + rng.choice([0, 899_999, 900_000])])) for n in range(300)]
+    asks += asks[:5]
+    gaps_wanted, ids_wanted = set(), set()
+    for asker, project, after, when in asks:
+        before = [(e[4], e[1], e[5]) for e in log if e[0] == project and e[4] <= when]
+        if before and when - max(before)[0] < 900_000:
+            _, number, floor = max(before)
+            gaps_wanted.add((asker, project, after + 1 < floor))
+            ids_wanted |= {(asker, project, i) for i in range(max(floor, after + 1), number + 1)}
+    wanted, gaps = sessions.replay(spark.createDataFrame(log, sessions.ENTRY), spark.createDataFrame(asks, "asker string, project string, after long, at long"))
+    found, ids = list(map(tuple, gaps.collect())), list(map(tuple, wanted.collect()))
+    assert set(found) == gaps_wanted and len(found) == len(gaps_wanted) and set(ids) == ids_wanted and len(ids) == len(ids_wanted)
+    joins = [x for x in gaps._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and all("stretch" in x for x in joins)
