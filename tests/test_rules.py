@@ -110,6 +110,33 @@ def test_names_of_one_thing(spark):
     assert sum(1 for k in found if k[0] >= 7) == 60 * 59 // 2
 
 
+def test_names_that_share_one_of_two_words_do_not_meet(spark):
+    names = [f"Supplier#{i:06d}" for i in range(3000)] + ["supplier", "supplier 000007", "supplier 000007 old", "7 supplier of goods"]
+    rows = memory.alias_suggestions(spark.createDataFrame(list(enumerate(names)), "id long, name string"), "id", "name")
+    found = {(r["a"], r["b"]): (r["score"], r["reason"]) for r in rows.collect()}
+    assert {k: v for k, v in found.items() if k[0] != 3000 and k[1] != 3000} == {(7, 3001): (1.0, "lexical"), (7, 3002): (0.8, "lexical"), (3001, 3002): (0.75, "containment")}
+    # The one word that all share is two thirds of two words each.
+    assert sum(k[0] == 3000 or k[1] == 3000 for k in found) == 3003 and found[0, 3000] == (0.6667, "lexical")
+    plan = rows._jdf.queryExecution()
+    nodes, joined = [plan.executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if node.nodeName().endswith("QueryStage"):
+            node = node.plan()
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            joined.append(node.metrics().apply("numOutputRows").value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert joined and max(joined) < 100_000
+
+
+def test_texts_of_a_pair_are_cut_once(spark):
+    pairs = spark.createDataFrame([], "a long, b long, text_a string, text_b string, both_decisions boolean, hours_apart double, cosine double")
+    plan = memory.relate(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_extract_all(") < 40
+
+
 def test_consolidation_equals_brute_force(spark):
     base = [f"mot{i}" for i in range(20)]
     texts = [" ".join(base), " ".join(base), " ".join(base[:19]), " ".join(base[:15]), " ".join([*base, "9 postes"]), " ".join([*base, "8 postes"]), " ".join(base).upper()]
