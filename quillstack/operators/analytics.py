@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..graph import greedy_leaders
 from ..scratch import Scratch
 
 
@@ -146,31 +147,57 @@ def cluster_topics(topics: DataFrame, project: str = "project", overlap: float =
     """(project, topic_id, cluster): wordings of a project, the fullest first, join the first fuller wording that leads and tells the same.
 
     topics: project, topic_id, terms (distinct topics of a project). Two wordings tell the same if they share two terms and more, at least
-    ``overlap`` of the shorter; a wording of one term equals only itself. The shorter one meets the longer in one of its rarest
-    terms, equal wordings are one from the start, and the sequence is decided in rounds without a group for a project.
+    ``overlap`` of the shorter; a wording of one term equals only itself. Equal wordings are one from the start, and the sequence is
+    decided in rounds without a group for a project: a wording that no undecided earlier one tells leads, those it tells are members. Pairs are
+    judged where they meet and only their minima leave the task, so that no table of pairs is moved or written.
     """
     scratch = Scratch(topics.sparkSession, "topics")
     rows = topics.where(F.size("terms") > 0).select(F.col(project).alias("project"), "topic_id", F.array_sort(F.array_distinct("terms")).alias("terms"))
-    heads = scratch.keep(rows.groupBy("project", "terms").agg(F.min("topic_id").alias("head")), "heads")
-    at = F.struct((-F.size("terms")).alias("less"), F.col("head").alias("head"))
-    each = heads.where(F.size("terms") > 1).select("project", "head", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    df = each.groupBy("project", "term").agg(F.count("*").alias("df"))
-    order = each.join(df, ["project", "term"]).groupBy("project", "head", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("o"))
-    first = (F.col("n") - F.greatest(F.lit(2), F.ceil(F.col("n") * overlap - 1e-9)) + 1).cast("int")
-    probe = order.select("project", F.col("head").alias("b"), F.explode(F.slice("o", F.lit(1), first)).alias("e")).select("project", "b", "e.term")
-    meet = probe.join(each.select("project", "term", F.col("head").alias("a")), ["project", "term"]).select("project", "a", "b").distinct()
-    side = lambda p: heads.select("project", F.col("head").alias(p), F.col("terms").alias(f"t{p}"), at.alias(f"at{p}"))
-    both = meet.join(side("a"), ["project", "a"]).join(side("b"), ["project", "b"]).where(F.col("ata") < F.col("atb"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    same = both.where((shared >= 2) & (shared >= overlap * F.size("tb") - 1e-9))
-    name = lambda p: F.struct(F.col("project").alias("project"), F.col(p).alias("head"))
-    led = greedy_leaders(same.select(name("a").alias("a"), name("b").alias("b"), F.col("ata").alias("at")), scratch)
-    led = led.select(F.col("v.project").alias("l_project"), F.col("v.head").alias("l_head"), F.col("leader.head").alias("leader"))
-    homes = heads.join(led, F.col("project").eqNullSafe(F.col("l_project")) & (F.col("head") == F.col("l_head")), "left").select(F.col("project").alias("h_project"), F.col("terms").alias("h_terms"), F.coalesce("leader", "head").alias("cluster"))
-    out = rows.join(homes, F.col("project").eqNullSafe(F.col("h_project")) & (F.col("terms") == F.col("h_terms")))
+    rows = scratch.keep(rows, "rows")
+    heads = rows.groupBy("project", "terms").agg(F.min("topic_id").alias("head")).orderBy(F.desc(F.size("terms")), "head")
+    heads = scratch.keep(heads.withColumn("no", F.monotonically_increasing_id()), "heads")  # its place in the sequence
+    each = heads.where(F.size("terms") > 1).select("project", "no", F.explode("terms").alias("term"))
+    rarest = each.groupBy("project", "term").agg(F.count("*").alias("df")).orderBy("df", "term").select("project", "term", F.monotonically_increasing_id().alias("place"))
+    sets = each.join(scratch.keep(rarest, "terms"), ["project", "term"]).groupBy("no").agg(F.array_sort(F.collect_list("place")).alias("o"))
+    least = F.greatest(F.lit(2), F.ceil(F.size("o") * overlap - 1e-9)).cast("int")
+    sets = scratch.keep(sets.select("no", "o", least.alias("least")), "sets")
+
+    leaders, left = [], sets
+    while left.limit(1).count():
+        later = _told(left, left).select(F.col("b").alias("no"))
+        lead = scratch.keep(left.join(later.distinct(), "no", "left_anti"), "lead")
+        lost = _told(lead, left).select(F.col("b").alias("no")).unionByName(lead.select("no")).distinct()
+        leaders.append(lead)
+        last, left = left, scratch.keep(left.join(scratch.keep(lost, "lost"), "no", "left_anti"), "left")
+        if last is not sets:
+            scratch.drop(last)
+    every = scratch.keep(reduce(DataFrame.unionByName, leaders), "every") if leaders else sets
+    members = scratch.keep(sets.join(every.select("no"), "no", "left_anti"), "members")
+    led = scratch.keep(_told(every, members), "led").join(heads.select(F.col("no").alias("a"), F.col("head").alias("leader")), "a").select(F.col("b").alias("no"), "leader")
+    homes = heads.join(led, "no", "left").select(F.col("project").alias("h_project"), F.col("terms").alias("h_terms"), F.coalesce("leader", "head").alias("cluster"))
+    out = rows.join(scratch.keep(homes, "homes"), F.col("project").eqNullSafe(F.col("h_project")) & (F.col("terms") == F.col("h_terms")))
     return out.select(F.col("project").alias(project), "topic_id", "cluster")
 
 
+def _told(first: DataFrame, later: DataFrame) -> DataFrame:
+    """(b, a): for each of the ``later`` wordings that any of the ``first`` before it tells, the first of these.
+
+    Both are (no, o, least): terms by rarity, and how many of them another wording that is as full has to share. Two that ask for the same number
+    share their two rarest common terms in the first places of both; where the shorter asks for fewer, the rarest common term. A pair counts at those alone.
+    """
+    ends = "size(o) - least + 2"
+    pairs = F.expr(f"flatten(transform(sequence(1, {ends} - 1), i -> transform(sequence(i + 1, {ends}), j -> struct(o[i - 1] AS x, o[j - 1] AS y))))")
+    by_two = lambda s, no, o: s.select("least", F.col("no").alias(no), F.col("o").alias(o), F.explode(pairs).alias("k")).select("least", "k.*", no, o)
+    common = F.array_intersect("oa", "ob")
+    alike = by_two(first, "a", "oa").join(by_two(later, "b", "ob").hint("merge"), ["least", "x", "y"])
+    alike = alike.where((F.col("a") < F.col("b")) & (F.size(common) >= F.col("least")) & (F.slice(common, 1, 2) == F.array("x", "y")))
+    fuller = first.where("least > 2").select(F.col("no").alias("a"), F.col("o").alias("oa"), F.explode(F.sequence(F.lit(2), F.col("least") - 1)).alias("least"))
+    fuller = fuller.select("a", "oa", "least", F.explode(F.expr("slice(oa, 1, size(oa) - least + 1)")).alias("x"))
+    short = later.select(F.col("no").alias("b"), F.col("o").alias("ob"), "least", F.explode(F.expr("slice(o, 1, size(o) - least + 1)")).alias("x"))
+    mixed = fuller.join(short.hint("merge"), ["least", "x"]).where((F.size(common) >= F.col("least")) & (F.slice(common, 1, 1) == F.array("x")))
+    return alike.select("b", "a").unionByName(mixed.select("b", "a")).groupBy("b").agg(F.min("a").alias("a"))
+
+
 def alerts(counts: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
     """(alert, severity, place) of one row of counts: a row for each rule (name, severity, condition) that holds, the gravest first."""
     rank = {"critical": 0, "warning": 1, "info": 2}

@@ -125,3 +125,18 @@ def test_topics_cluster_like_the_sequence(spark):
             want[i] = i if home is None else home
     frame = spark.createDataFrame(topics, "project long, topic_id long, terms array<string>")
     assert {r["topic_id"]: r["cluster"] for r in analytics.cluster_topics(frame).collect()} == want
+
+
+def test_no_table_of_like_topics_is_written(spark, monkeypatch):
+    """200 wordings that all tell the same, and shorter ones: pairs are judged where they meet, none is kept."""
+    topics = [("p", i, ["a", "b", "c", "d", "e", "f", f"g{i}", f"h{i}"]) for i in range(200)] + [("p", 200 + i, ["a", "b", "c", f"g{i}"]) for i in range(50)]
+    sizes, keep = [], Scratch.keep
+
+    def counted(self, df, name):
+        sizes.append((table := keep(self, df, name)).count())
+        return table
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    frame = spark.createDataFrame(topics, "project string, topic_id long, terms array<string>")
+    assert {r["cluster"] for r in analytics.cluster_topics(frame).collect()} == {0}
+    assert max(sizes) <= 2 * len(topics)
