@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import answering as w
 from ..operators import governance, search, selection
 from .common import CANDIDATES, ITEMS, candidates, items, table
-from .retrieval import _BM25, bm25_topk, term_overlap_topk
+from .retrieval import _BM25, _both, _lists, bm25_topk
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,8 +43,7 @@ def filtered_knn(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merged_sources(spark: SparkSession, sf: str) -> DataFrame:
-    both = bm25_topk(spark, sf).withColumn("list_name", F.lit("bm25")).unionByName(term_overlap_topk(spark, sf).withColumn("list_name", F.lit("terms")))
-    return w.merge_sources(both, "item_id", "doc_id")
+    return w.merge_sources(_lists(spark, sf), "item_id", "doc_id")
 
 
 def filter_clauses(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,8 +93,9 @@ def follow_up_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def request_gap(spark: SparkSession, sf: str) -> DataFrame:
-    before = bm25_topk(spark, sf).select("item_id", "doc_id", (F.col("rnk") <= 5).alias("included"))
-    after = term_overlap_topk(spark, sf).select("item_id", "doc_id", F.when(F.col("doc_id") % 5 == 0, "INCLUDED_PINNED").otherwise("INCLUDED_RELEVANT").alias("reason_code"))
+    found, shares = _both(spark, sf)
+    before = found.select("item_id", "doc_id", (F.col("rnk") <= 5).alias("included"))
+    after = shares.select("item_id", "doc_id", F.when(F.col("doc_id") % 5 == 0, "INCLUDED_PINNED").otherwise("INCLUDED_RELEVANT").alias("reason_code"))
     return w.newly_served(before, after, "item_id", "doc_id")
 
 
