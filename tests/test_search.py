@@ -2,7 +2,10 @@
 
 import math
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -50,3 +53,9 @@ def test_nothing_asked_finds_nothing(spark):
     docs = spark.createDataFrame([(1, "word")], "doc long, text string")
     assert search.bm25(docs, docs.limit(0).withColumnRenamed("doc", "q"), "doc", "q").collect() == []
     assert search.bm25(docs.limit(0), spark.createDataFrame([(1, "word")], "q long, text string"), "doc", "q").collect() == []
+
+
+def test_queries_are_named_without_a_session():
+    """The entry can be read before any session exists."""
+    root = Path(__file__).resolve().parents[1]
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries()"], cwd=root, check=True)
