@@ -19,11 +19,13 @@ CARD = r"\b[3-6][0-9](?:[ -]?[0-9]){11,17}\b"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b"
 PHONE = r"(?<![0-9])(?:\+33[ .-]?|0)[1-9](?:[ .-]?[0-9]{2}){4}(?![0-9])"
 SOCIAL = r"\b[12][ ]?[0-9]{2}[ ]?(?:0[1-9]|1[0-2])[ ]?(?:[0-9]{2}|2[AB])[ ]?[0-9]{3}[ ]?[0-9]{3}[ ]?[0-9]{2}\b"
-#: Names after a civility, which itself stays.
-PERSON = r"(?<=\b(?:M\.|Mme|Mlle|Monsieur|Madame|Mademoiselle|Dr|Docteur|Pr|Mr|Mrs|Ms)[.]?\s)[A-ZÀ-Ý][\w'’-]+(?:\s+[A-ZÀ-Ý][\w'’-]+)?"
+#: Names after a civility, which itself stays. Only capitals look back: a look back of varying length tries each of its lengths.
+PERSON = r"(?=[A-ZÀ-Ý])(?<=\b(?:M\.|Mme|Mlle|Monsieur|Madame|Mademoiselle|Dr|Docteur|Pr|Mr|Mrs|Ms)[.]?\s)[A-ZÀ-Ý][\w'’-]+(?:\s+[A-ZÀ-Ý][\w'’-]+)?"
 #: The order in which overlapping finds win, and the types that make a content sensitive.
 PII = (("IBAN", IBAN), ("CARD", CARD), ("NIR", SOCIAL), ("EMAIL", EMAIL), ("PHONE", PHONE), ("IP", IPV4), ("PERSON", PERSON))
 SENSITIVE = ("IBAN", "CARD", "NIR")
+#: What every card, social or phone number holds (eight digits in a row: a Corsican department cuts a social number), and every address.
+DIGITS, AT = r"[0-9](?:[ .-]?[0-9]){7}", "@"
 
 
 def luhn(digits: Column) -> Column:
@@ -51,13 +53,15 @@ def social_ok(number: Column) -> Column:
 def pii_spans(text: Column) -> Column:
     """array<struct<start,end,type,value>> of valid finds without overlaps: an earlier type of the list, then the longer one, wins."""
 
-    def of(kind: str, pattern: str, rank: int) -> Column:
+    def of(kind: str, pattern: str, rank: int, numbered: Column) -> Column:
         valid = {"CARD": luhn, "IBAN": iban_ok, "NIR": social_ok}.get(kind)
+        lacks = {"CARD": ~numbered, "NIR": ~numbered, "PHONE": ~numbered, "EMAIL": ~F.contains(text, F.lit(AT))}.get(kind)
         found = _places(text, pattern)
+        found = found if lacks is None else F.when(lacks, _no_places()).otherwise(found)
         found = F.filter(found, lambda m: F.coalesce(valid(m["value"]), F.lit(False))) if valid else found
         return F.transform(found, lambda m: F.struct(F.lit(rank).alias("rank"), (-F.length(m["value"])).alias("short"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"), F.lit(kind).alias("type"), m["value"].alias("value")))
 
-    every = F.array_sort(F.concat(*[of(kind, pattern, rank) for rank, (kind, pattern) in enumerate(PII)]))
+    every = let(text.rlike(DIGITS), lambda numbered: F.array_sort(F.concat(*[of(kind, pattern, rank, numbered) for rank, (kind, pattern) in enumerate(PII)])))
     empty = F.array().cast("array<struct<rank:int,short:int,start:int,end:int,type:string,value:string>>")
     kept = F.aggregate(every, empty, lambda acc, s: F.when(F.exists(acc, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])), acc).otherwise(F.concat(acc, F.array(s))))
     return F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), s["value"].alias("value"))))
@@ -69,17 +73,23 @@ def has_sensitive(text: Column) -> Column:
     return found(IBAN, iban_ok) | found(CARD, luhn) | found(SOCIAL, lambda n: F.coalesce(social_ok(n), F.lit(False)))
 
 
+def _no_places() -> Column:
+    return F.array().cast("array<struct<start:int,value:string>>")
+
+
 def _places(text: Column, pattern: str) -> Column:
-    """array<struct<start, value>> of a pattern's matches: what splits a text and what is split out of it take turns."""
-    between, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
+    """array<struct<start, value>> of a pattern's matches: what splits a text and what is split out of it take turns. Texts without a match are read once."""
+    start = F.struct(F.lit(0).alias("at"), _no_places().alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         at = acc["at"] + F.length(pair["between"])
         return F.struct((at + F.length(pair["found"])).alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), pair["found"].alias("value")))).alias("out"))
 
-    pairs = F.filter(F.arrays_zip(between.alias("between"), found.alias("found")), lambda p: p["found"].isNotNull())
-    return F.aggregate(pairs, start, step)["out"]
+    def placed(found: Column) -> Column:
+        pairs = F.filter(F.arrays_zip(F.split(text, pattern).alias("between"), found.alias("found")), lambda p: p["found"].isNotNull())
+        return F.when(F.size(found) == 0, _no_places()).otherwise(F.aggregate(pairs, start, step)["out"])
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def redact_simple(text: Column) -> Column:
