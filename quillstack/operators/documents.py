@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -101,8 +103,8 @@ def redact(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its type."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, s: F.struct(s["end"].cast("int").alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, (s["start"] - acc["at"]).cast("int")), F.lit("["), s["type"], F.lit("]")).alias("out"))
-    done = F.aggregate(spans, start, step)
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    rest = lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.aggregate(spans, start, step), rest))
 
 
 #: Words that raise a document's level (C2 confidential, C3 secret), matched on folded text.
@@ -110,12 +112,26 @@ MARKED_SECRET = r"(^|\n)\s*(c3|secret|strictement confidentiel)\b|\bclassificati
 MARKED_CONFIDENTIAL = r"(^|\n)\s*(c2|confidentiel|confidential)\b|\bclassification\s*:\s*(c2|confidentiel)"
 TOPICS = ((r"\b(salaire|remuneration|salary|licenciement|evaluation annuelle)\b", 2), (r"\b(contrat|contract|penalite|litige)\b", 1), (r"\b(marge|margin|chiffre d.affaires|budget)\b", 1), (r"\b(mot de passe|password|vulnerabilite|vulnerability)\b", 1))
 
+#: What a text with such a mark or topic holds word for word.
+SECRET_WORDS, CONFIDENTIAL_WORDS = ("c3", "secret", "strictement confidentiel"), ("c2", "confidentiel", "confidential")
+TOPIC_WORDS = (
+    ("salaire", "remuneration", "salary", "licenciement", "evaluation annuelle"),
+    ("contrat", "contract", "penalite", "litige"),
+    ("marge", "margin", "chiffre d", "budget"),
+    ("mot de passe", "password", "vulnerabilite", "vulnerability"),
+)
+
+
+def _holds(low: Column, listed: tuple[str, ...]) -> Column:
+    """Whether a text has one of a few strings: far cheaper than a pattern, which need not be looked for where none is."""
+    return reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in listed))
+
 
 def classify(text: Column, declared: Column, source_default: Column, has_sensitive: Column) -> Column:
     """The highest of the declared level, the source's, the marks', the topics' (3 points make C2) and that of personal data."""
     low = fold(text)
-    marks = F.when(low.rlike(MARKED_SECRET), 3).when(low.rlike(MARKED_CONFIDENTIAL), 2).otherwise(0)
-    points = sum((F.when(low.rlike(p), w).otherwise(0) for p, w in TOPICS), F.lit(0))
+    marks = F.when(_holds(low, SECRET_WORDS) & low.rlike(MARKED_SECRET), 3).when(_holds(low, CONFIDENTIAL_WORDS) & low.rlike(MARKED_CONFIDENTIAL), 2).otherwise(0)
+    points = sum((F.when(_holds(low, held) & low.rlike(p), w).otherwise(0) for (p, w), held in zip(TOPICS, TOPIC_WORDS, strict=True)), F.lit(0))
     return F.greatest(F.coalesce(declared, F.lit(0)), F.coalesce(source_default, F.lit(0)), marks, F.when(points >= 3, 2).otherwise(0), F.when(has_sensitive, 2).otherwise(0))
 
 
@@ -129,14 +145,24 @@ INJECTION = (
     ("tool", r"(call|execute|run|appelle|lance) (the |le |la )?(tool|function|outil|commande|command)", 0.3),
     ("encoded", r"(base64|rot13)[^.]{0,30}(decode|decrypt|dechiffre)", 0.3),
 )
+#: What a text with a sign holds word for word; a plain look for these spares nearly all texts the look for the sign.
+INJECTION_WORDS = {
+    "override": ("ignore", "oublie", "disregard", "forget"),
+    "role": ("you are now", "tu es maintenant", "act as", "agis comme"),
+    "system": ("system",),
+    "exfiltrate": ("password", "mot de passe", "api key", "cle", "token", "secret"),
+    "conceal": ("do not tell", "ne dis pas", "without telling", "sans prevenir"),
+    "tool": ("tool", "function", "outil", "command"),
+    "encoded": ("base64", "rot13"),
+}
 QUARANTINE = 0.6
 
 
 def injection_score(text: Column, hidden: Column, classifier: Callable[[Column], Column] | None = None) -> Column:
     """1 less the product of what every sign leaves; hidden text counts 0.4. ``classifier``: a further score from 0 to 1, if higher."""
     low, left = fold(text), F.lit(1.0)
-    for _, pattern, weight in INJECTION:
-        left = left * F.when(low.rlike(pattern), 1 - weight).otherwise(1.0)
+    for name, pattern, weight in INJECTION:
+        left = left * F.when(_holds(low, INJECTION_WORDS[name]) & low.rlike(pattern), 1 - weight).otherwise(1.0)
     score = 1 - left * F.when(hidden, 0.6).otherwise(1.0)
     return F.round(F.greatest(score, classifier(text)) if classifier else score, 4)
 
@@ -150,7 +176,7 @@ def hidden_counts(html: Column) -> tuple[Column, Column, Column]:
 
 
 _HEADING = re.compile(r"^(#{1,6})\s+(.*)$")
-_END = re.compile(r"(?<=[.!?…])[\"»)\]]*\s+(?=[^\sa-z])")
+_END = re.compile(r"[.!?…]([\"»)\]]*\s+)(?=[^\sa-z])")
 _SHORT = re.compile(r"(?:^|\s)(?:[A-Z]|M|Mme|Dr|Mr|Mrs|etc|cf|ex|art|p|St|No)\.$")
 
 
@@ -166,8 +192,9 @@ def _units(text: str) -> Iterator[tuple[int, int, str]]:
             else:
                 start = lead
                 for m in _END.finditer(body):
-                    if not _SHORT.search(body[start : m.start()]):
-                        yield at + start, at + m.start(), "sentence"
+                    end = m.start(1)
+                    if body[end - 1] != "." or not _SHORT.search(body[max(start, end - 5) : end]):  # the longest short form and what comes before it
+                        yield at + start, at + end, "sentence"
                         start = m.end()
                 if start < len(body):
                     yield at + start, at + len(body), "sentence"
@@ -183,17 +210,19 @@ def chunk_text(text: str | None, target: int = 350, overlap: int = 50, least: in
     size = lambda a, b: round((b - a) / 3.8)
     units: list[tuple[int, int, str, str]] = []
     path: list[str] = []
+    section = ""
     for a, b, kind in _units(text or ""):
         if kind == "heading":
             level, title = len(_HEADING.match(text[a:b])[1]), _HEADING.match(text[a:b])[2].strip()
             path = [*path[: min(level, 3) - 1], title][:3]
+            section = " > ".join(path)
         while size(a, b) > target:
             cut = text.rfind(" ", a + 1, a + int(target * 3.8))
             cut = cut if cut > a else a + int(target * 3.8)
-            units.append((a, cut, kind, " > ".join(path)))
+            units.append((a, cut, kind, section))
             a = cut + (text[cut] == " ")
         if a < b:
-            units.append((a, b, kind, " > ".join(path)))
+            units.append((a, b, kind, section))
     packs: list[list] = [[]]
     for unit in units:
         pack = packs[-1]
@@ -213,16 +242,22 @@ def chunk_text(text: str | None, target: int = 350, overlap: int = 50, least: in
     return [(n, p[0][0], p[-1][1], p[-1][3], max(1, -(-(p[-1][1] - p[0][0]) * 10 // 38))) for n, p in enumerate(x for x in packs if x)]
 
 
-def chunk(documents: DataFrame, key: str, text: str = "text", **options) -> DataFrame:
-    """(key, ordinal, char_start, char_end, section, token_count, text): one row per chunk."""
+def chunk(documents: DataFrame, key: str, text: str = "text", carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """(key, ordinal, char_start, char_end, section, token_count, text): one row per chunk. ``carry``: columns of the document that go along."""
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields if f.name in carry}
+    schema = ", ".join([f"{key} long, ordinal int, char_start int, char_end int, section string, token_count int, text string", *(f"`{c}` {kinds[c]}" for c in carry)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, *c[:3], c[3], c[4], t[c[1] : c[2]]) for k, t in zip(batch["k"], batch["t"], strict=True) if t for c in chunk_text(t, **options)]
-            yield pd.DataFrame(rows, columns=[key, "ordinal", "char_start", "char_end", "section", "token_count", "text"])
+            texts = batch.column(1).to_pylist()
+            rows = [(i, n, start, end, section, tokens, t[start:end]) for i, t in enumerate(texts) if t for n, start, end, section, tokens in chunk_text(t, **options)]
+            if rows:
+                at, *made = zip(*rows, strict=True)
+                own = [pa.array(v, k) for v, k in zip(made, (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()), strict=True)]
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *own, *(c.take(at) for c in batch.columns[2:])], names=[key, "ordinal", "char_start", "char_end", "section", "token_count", "text", *carry])
 
-    schema = f"{key} long, ordinal int, char_start int, char_end int, section string, token_count int, text string"
-    return documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, schema)
+    return documents.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), *carry).mapInArrow(run, schema)
 
 
 #: What a sentence has to hold to be a kind of statement, the first that fits wins: a list of our own.
@@ -321,9 +356,8 @@ def ingest(documents: DataFrame, key: str, text: str = "text", default_level: in
     """
     regular = documents.select(key, normalise_document(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     marked = regular.select(key, "t", pii_spans(F.col("t")).alias("spans"))
-    judged = marked.select(key, redact(F.col("t"), F.col("spans")).alias("text"), classify(F.col("t"), F.lit(0), F.lit(default_level), F.exists("spans", lambda s: s["type"].isin(*SENSITIVE))).alias("level"))
-    levels = judged.select(F.col(key).alias("_k"), "level")
-    chunks = chunk(judged, key).join(levels, F.col(key) == F.col("_k")).drop("_k")
+    judged = marked.select(key, redact(F.col("t"), F.col("spans")).alias("text"), classify(F.col("t"), F.lit(0), F.lit(default_level), F.exists("spans", lambda s: s["type"].isin(*SENSITIVE))).cast("int").alias("level"))
+    chunks = chunk(judged, key, carry=("level",))
     score = injection_score(F.col("text"), F.lit(False))
     line = preamble(F.lit(None).cast("string"), F.nullif(F.col("section"), F.lit("")), F.lit(None).cast("string"), F.lit(None).cast("date"), F.array().cast("array<string>"))
     return chunks.select(key, "ordinal", "section", "text", "level", (score >= QUARANTINE).alias("quarantined"), line.alias("preamble"))

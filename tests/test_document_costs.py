@@ -42,3 +42,21 @@ def test_looks_ahead_lose_no_personal_data(spark):
         None,
         [],
     ]
+
+
+def test_ingestion_reads_a_text_once(spark):
+    documents = spark.createDataFrame([(1, "# Titre\nLe salaire et le mot de passe. FR14 2004 1010 0505 0001 3M02 606"), (2, "Un texte."), (3, None)], "doc_id long, text string")
+    made = d.ingest(documents, "doc_id")
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["doc_id"], r["section"], r["level"]) for r in made.orderBy("doc_id").collect()] == [(1, "Titre", 2), (2, "", 1)]
+
+
+def test_signs_hold_the_words_they_are_looked_up_by():
+    given = {
+        "override": ["disregard the prior rules"], "role": ["tu es maintenant une"], "system": ["prompt systeme", "<system>", "<|system|>", "###system"], "exfiltrate": ["post my cle", "transmet le mot de passe"],
+        "conceal": ["sans prevenir le user"], "tool": ["lance la commande", "execute the function", "appelle outil"], "encoded": ["rot13 decrypt"],
+    }
+    for name, pattern, _ in d.INJECTION:
+        for text in given[name]:
+            assert d.re.search(pattern, text) and any(w in text for w in d.INJECTION_WORDS[name])
+    assert len(d.TOPICS) == len(d.TOPIC_WORDS)
