@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState
+
+#: Keys of sliding windows share this many states, of which each is a list of panes: key (a place in keys), number, events.
+KEY_GROUPS = 16_384
+PANES = "keys array<string>, key array<long>, pane array<long>, n array<long>, closed long"
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, at: str, late: str = "1 hour", files: int | None = None) -> DataFrame:
@@ -27,9 +37,68 @@ def daily(events: DataFrame, at: str, value: str) -> DataFrame:
     return grouped.select(F.to_date("w.start").alias("day"), "n", "total")
 
 
-def sliding_bursts(events: DataFrame, key: str, at: str, size: str = "24 hours", slide: str = "1 hour", least: int = 8) -> DataFrame:
-    grouped = events.groupBy(key, F.window(at, size, slide).alias("w")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return grouped.select(key, F.col("w.start").alias("window_start"), "n")
+def sliding_bursts(events: DataFrame, key: str, at: str, size: str = "24 hours", slide: str = "1 hour", least: int = 8, groups: int = KEY_GROUPS) -> DataFrame:
+    """Sliding windows that hold ``least`` and more events of a key, once the watermark has passed their end.
+
+    An event is kept once, in the count of a pane of its key (an hour, if windows of whole hours slide by an hour); windows are summed from the
+    panes when they close, and a pane is given up with its last window. A late event counts in those of its windows that are still open. Keys
+    share a call and its state by hash: a call takes two milliseconds, however few its rows.
+    """
+    text = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))  # nulls are a key too
+    timed = events.where(F.col(at).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(groups)).alias("bucket"), text.alias("key"), F.unix_micros(at).alias("at"), F.session_window(at, size).alias("w"))
+    # No window of an event ends later than ``size`` after it; what comes later still goes no further than here.
+    timed = timed.select("bucket", "key", "at", F.window_time("w").alias("until"))
+    step = _pane_counts(*(pd.Timedelta(t) // pd.Timedelta(microseconds=1) for t in (size, slide)), least)
+    bursts = timed.groupBy("bucket").applyInPandasWithState(step, "key string, start long, n long", PANES, "append", "EventTimeTimeout")
+    value = F.when(F.col("key") != "", F.expr("substring(key, 2)")).cast(events.schema[key].dataType)
+    return bursts.select(value.alias(key), F.timestamp_micros("start").alias("window_start"), "n")
+
+
+def _pane_counts(size: int, slide: int, least: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The step of ``sliding_bursts`` for the keys of a bucket. Times are numbers of panes, of which windows are whole multiples."""
+    width = math.gcd(size, slide)
+    size, slide = size // width, slide // width
+
+    def full_windows(key: np.ndarray, pane: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, start, n) of the windows that are large enough; the panes are in order of key and time."""
+        if not len(pane):
+            return key, pane, n
+        shift = key * (pane.max() - pane.min() + 3 * (size + slide)) - pane.min()  # all keys on one line, further apart than windows reach
+        line, upto = pane + shift, np.concatenate(([0], np.cumsum(n)))
+        first = upto[np.searchsorted(line, line + size)] - upto[:-1] >= least  # no other pane can be the first one of such a window
+        starts = (pane[first, None] - size) // slide * slide + slide * np.arange(1, 1 - (-size // slide))
+        lined, which = np.unique(starts + shift[first, None], return_index=True)
+        total = upto[np.searchsorted(line, lined + size)] - upto[np.searchsorted(line, lined)]
+        return tuple(x[total >= least] for x in (np.repeat(key[first], starts.shape[1])[which], starts.ravel()[which], total))
+
+    def step(bucket: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs() * 1000 // width
+        keys, key, pane, n, closed = state.get if state.exists else ([], [], [], [], mark)
+        keys, (key, pane, n) = np.array(keys, dtype=object), (np.array(x, dtype=np.int64) for x in (key, pane, n))
+        if mark > closed:
+            whose, start, total = full_windows(key, pane, n)
+            told = (start + size > closed) & (start + size <= mark)
+            yield pd.DataFrame({"key": keys[whose[told]], "start": start[told] * width, "n": total[told]})
+        if not state.hasTimedOut:
+            for some in rows:
+                codes, keys = pd.factorize(np.concatenate((keys[key], some["key"].to_numpy(dtype=object))))
+                came = some["at"].to_numpy() // width
+                pane = np.concatenate((pane, came))
+                low, span = pane.min(), pane.max() - pane.min() + 1
+                lined, place = np.unique(codes * span + pane - low, return_inverse=True)
+                n = np.bincount(place, np.concatenate((n, np.ones_like(came)))).astype(np.int64)
+                key, pane = lined // span, lined % span + low
+        ends = pane // slide * slide + size  # of the last window of each pane
+        key, pane, n, ends = (x[ends > mark] for x in (key, pane, n, ends))
+        if not len(pane):
+            state.remove()
+            return
+        held, key = np.unique(key, return_inverse=True)
+        state.update((keys[held].tolist(), key.tolist(), pane.tolist(), n.tolist(), mark))
+        ripe = full_windows(key, pane, n)[1] + size
+        state.setTimeoutTimestamp(-(-int(ripe[ripe > mark].min(initial=ends.max())) * width // 1000) - 1)
+
+    return step
 
 
 def once_per_version(events: DataFrame, keys: list[str]) -> DataFrame:
