@@ -140,3 +140,24 @@ def test_no_table_of_like_topics_is_written(spark, monkeypatch):
     frame = spark.createDataFrame(topics, "project string, topic_id long, terms array<string>")
     assert {r["cluster"] for r in analytics.cluster_topics(frame).collect()} == {0}
     assert max(sizes) <= 2 * len(topics)
+
+
+def test_equal_sets_of_terms_are_compared_once(spark, tmp_path, monkeypatch):
+    """150 wordings of the same terms in two deliveries, and 100 that share half of them: no table of pairs is kept."""
+    rnd, sizes, keep = random.Random(4), [], Scratch.keep
+    mixed = [("m", k, 0, "fact", " ".join(rnd.sample(WORDS[:12], 12)) + "." * (k % 3)) for k in range(150)]
+    half = [("h", 200 + k, 0, "fact", " ".join([*WORDS[:6], *(f"mot{k}n{j}" for j in range(6))])) for k in range(100)]
+    rows = [(f"{r[0]}{r[1]:03d}", *r[1:]) for r in mixed + half]
+
+    def counted(self, df, name):
+        sizes.append((table := keep(self, df, name)).count())
+        return table
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    frame = lambda part: spark.createDataFrame(rows[part::2], "id string, doc long, i int, kind string, content string")
+    index = StatementIndex(spark, str(tmp_path / "index")).start(frame(0))
+    first = {r["id"]: (r["action"], r["target"]) for r in merge_statements(index, frame(0), 1).collect()}
+    assert first == {r[0]: ("new", r[0]) if r[0] == "m000" or r[0][0] == "h" else ("twin", "m000") for r in rows[0::2]}
+    second = {r["id"]: (r["action"], r["target"]) for r in merge_statements(index, frame(1), 2).collect()}
+    assert second == {r[0]: ("new", r[0]) if r[0][0] == "h" else ("stored", "m000") for r in rows[1::2]}
+    assert max(sizes) <= len(rows)
