@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState
@@ -15,6 +15,9 @@ from pyspark.sql.streaming.state import GroupState
 #: Keys of sliding windows share this many states, of which each is a list of panes: key (a place in keys), number, events.
 KEY_GROUPS = 16_384
 PANES = "keys array<string>, key array<long>, pane array<long>, n array<long>, closed long"
+#: Targets of scrubbed events share this many states: the events that wait (and those told, as long as they may be repeated) and the tombstones.
+TARGET_GROUPS = 4_096
+WAITING = "row array<string>, key array<string>, target array<string>, at array<long>, told array<boolean>, gone array<string>, gone_at array<long>"
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, at: str, late: str = "1 hour", files: int | None = None) -> DataFrame:
@@ -118,16 +121,93 @@ def fan_out(events: DataFrame, subscriptions: DataFrame, opt_in: list[str]) -> D
     return matched.where(wanted)
 
 
-def scrubbed(events: DataFrame, tombstones: DataFrame, keys: list[str], target: str, at: str, bound: str = "6 hours") -> DataFrame:
+def scrubbed(events: DataFrame, tombstones: DataFrame, keys: list[str], target: str, at: str, bound: str = "6 hours", groups: int = TARGET_GROUPS) -> DataFrame:
     """Events after a wait of ``bound``, with ``forgotten``: whether a tombstone of their target came from their time on within the wait.
 
-    A left join of two streams under both watermarks: a forgotten event goes on at once, once for all its tombstones, others when nothing
-    more can come for them. Events without a target are never forgotten. keys: what tells events apart. tombstones: target, time (``forgotten_at``).
+    A forgotten event goes on at once, once for all its tombstones, others when nothing more can come for them. Events without a target are
+    never forgotten, those without a time never go on. keys: what tells events apart. tombstones: target, time (``forgotten_at``). Events and
+    tombstones meet in one keyed state; targets share a call and its state by hash, as a call costs much the same for one row and for hundreds.
     """
-    gone = tombstones.select(F.col(target).alias("_target"), F.col("forgotten_at").alias("_gone"))
-    until = F.col(at) + F.expr(f"INTERVAL {bound}")
-    met = events.join(gone, (F.col(target) == F.col("_target")) & (F.col("_gone") >= F.col(at)) & (F.col("_gone") <= until), "left_outer")
-    return met.withColumn("forgotten", F.col("_gone").isNotNull()).drop("_target", "_gone").dropDuplicatesWithinWatermark(keys)
+    fields = events.schema.fields
+    text = lambda names: F.to_json(F.array(*[_as_text(F.col(f.name), f.dataType) for f in fields if f.name in names]))
+    bucket = F.pmod(F.xxhash64(target), F.lit(groups)).alias("bucket")
+    whose = F.col(target).cast("string").alias("target")
+    waits = events.select(F.col(at).alias("time"), bucket, whose, F.unix_micros(at).alias("at"), text(keys).alias("key"), text(events.columns).alias("row"))
+    gone = tombstones.where(F.col(target).isNotNull()).select(F.col("forgotten_at").alias("time"), bucket, whose, F.unix_micros("forgotten_at").alias("at"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("row"))
+    both = waits.union(gone).where(F.col("at").isNotNull())
+    step = _scrubbing(pd.Timedelta(bound) // pd.Timedelta(microseconds=1))
+    told = both.groupBy("bucket").applyInPandasWithState(step, "row string, forgotten boolean", WAITING, "append", "EventTimeTimeout")
+    told = told.select(F.from_json("row", "array<string>").alias("row"), "forgotten")
+    return told.select(*[_from_text(F.get("row", F.lit(i)), f.dataType).alias(f.name) for i, f in enumerate(fields)], "forgotten")
+
+
+_MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _as_text(value: Column, kind: T.DataType) -> Column:
+    """A value as text from which ``_from_text`` makes the same value again."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.base64(value)
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(F.struct(value.alias("v")), _MICROS)
+    return value.cast("string")
+
+
+def _from_text(text: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(text.cast("long"))
+    if isinstance(kind, T.BinaryType):
+        return F.unbase64(text)
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.from_json(text, T.StructType([T.StructField("v", kind)]), _MICROS)["v"]
+    return text.cast(kind)
+
+
+def _scrubbing(bound: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The step of ``scrubbed`` for the targets of a bucket. Times are microseconds."""
+
+    def step(bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs() * 1000
+        row, key, target, at, told, gone, gone_at = state.get if state.exists else ([], [], [], [], [], [], [])
+        row, key, target, gone = (np.array(x, dtype=object) for x in (row, key, target, gone))
+        at, told, gone_at = np.array(at, dtype=np.int64), np.array(told, dtype=bool), np.array(gone_at, dtype=np.int64)
+        came = [] if state.hasTimedOut else list(frames)
+        if came:
+            new = pd.concat(came).sort_values("at", kind="stable")
+            dead, live = new[new["row"].isna()], new[new["row"].notna()]
+            gone, gone_at = np.r_[gone, dead["target"].to_numpy(dtype=object)], np.r_[gone_at, dead["at"].to_numpy()]
+            row, key, target = (np.r_[x, live[c].to_numpy(dtype=object)] for x, c in ((row, "row"), (key, "key"), (target, "target")))
+            at, told = np.r_[at, live["at"].to_numpy()], np.r_[told, np.zeros(len(live), dtype=bool)]
+            once = ~pd.Series(key).duplicated().to_numpy()
+            row, key, target, at, told = (x[once] for x in (row, key, target, at, told))
+        # Each event meets the next tombstone of its target: all are put in order of target and time, events before tombstones.
+        codes, n = pd.factorize(np.r_[target, gone])[0], len(row)
+        times, dead = np.r_[at, gone_at], np.arange(len(codes)) >= n
+        order = np.lexsort((dead, times, codes))
+        following = np.minimum.accumulate(np.where(dead[order], np.arange(len(order)), len(order))[::-1])[::-1]
+        met = following < len(order)
+        here, there = order[met], order[following[met]]
+        hit = np.zeros(len(order), dtype=bool)
+        hit[here] = (codes[here] == codes[there]) & (codes[here] >= 0) & (times[there] - times[here] <= bound)
+        hit = hit[:n] & ~told
+        ripe = ~hit & ~told & (at + bound < mark)
+        out = hit | ripe
+        if out.any():
+            yield pd.DataFrame({"row": row[out], "forgotten": hit[out]})
+        told = told | hit
+        # What is told is kept as long as it may come again, a tombstone as long as an event before it may come.
+        left, still = ~ripe & (~told | (at >= mark)), gone_at >= mark
+        row, key, target, at, told, gone, gone_at = *(x[left] for x in (row, key, target, at, told)), *(x[still] for x in (gone, gone_at))
+        if not len(row) + len(gone):
+            state.remove()
+            return
+        state.update(tuple(x.tolist() for x in (row, key, target, at, told, gone, gone_at)))
+        until = int((at[~told] + bound).min()) if (~told).any() else int(np.r_[at, gone_at].max())
+        state.setTimeoutTimestamp(until // 1000)
+
+    return step
 
 
 def replay_after(events: DataFrame, last_id: int) -> DataFrame:

@@ -114,3 +114,30 @@ def test_scrubbing_before_within_and_after_the_bound(spark):
 
     found = in_deliveries(spark.createDataFrame(rows, "kind string, id long, target string, at timestamp"), "at", scrub).collect()
     assert sorted(map(tuple, found)) == [(0, False), (1, True), (2, True), (3, False), (4, False), (98, True)]
+
+
+def test_scrubbing_keeps_all_values_and_tells_repeated_events_once(spark):
+    """Values of every kind pass unchanged; events and tombstones are repeated within a delivery and over two; many targets share a state."""
+    at = lambda minutes: START + timedelta(minutes=minutes, microseconds=7)
+    rows = [("e", i, f"t{i % 40}", at(10 * i), 2**60 + i, i / 3, bytes([i]), [{"x": None if i % 2 else i}]) for i in range(200)]
+    rows += [("x", 1000 + i, f"t{i}", at(10 * i + 900), None, None, None, None) for i in range(0, 40, 4)]
+    rows += [("e", 999, "end", at(9000), 1, 1.0, b"", []), ("e", 998, None, at(5), 2**53 + 1, None, None, None)]
+    rows = rows + rows[::3] + [r for r in rows if r[0] == "x"]
+    schema = "kind string, id long, target string, at timestamp, big long, part double, raw binary, list array<struct<x: int>>"
+
+    def scrub(stream):
+        gone = stream.where("kind = 'x'").select("target", F.col("at").alias("forgotten_at"))
+        return windows.scrubbed(stream.where("kind = 'e'"), gone, ["id"], "target", "at", groups=3)
+
+    made = in_deliveries(spark.createDataFrame(rows, schema), "at", scrub)
+    assert made.columns == [*(c.split()[0] for c in schema.split(", ")[:7]), "list", "forgotten"]
+    stones = [(r[2], r[3]) for r in rows if r[0] == "x"]
+    want = {r[1]: (*r[:4], r[4], r[5], r[6], r[7], any(t == r[2] and r[3] <= g <= r[3] + timedelta(hours=6) for t, g in stones)) for r in rows if r[0] == "e" and r[1] != 999}
+    got = made.collect()
+    assert len(got) == len(want) and any(x[-1] for x in want.values())
+    for r in got:
+        mine = (*tuple(r)[:3], r["at"].replace(tzinfo=START.tzinfo), r["big"], r["part"], r["raw"] and bytes(r["raw"]), r["list"] and [x.asDict() for x in r["list"]], r["forgotten"])
+        assert mine == (*want[r["id"]][:6], want[r["id"]][6] and bytes(want[r["id"]][6]), *want[r["id"]][7:])
+    # One keyed state with a row for a group of targets, no join of streams with a row for each event.
+    plan = scrub(spark.createDataFrame(rows, schema).withWatermark("at", "1 second"))._jdf.queryExecution().logical().toString()
+    assert "Join" not in plan and "Union" in plan
